@@ -192,11 +192,11 @@ def cost_as_of(spark, d):
 
 
 def backtest_daily(spark, d):
-    return rounded(_daily(spark, d), 6)
+    return rounded(_daily(spark, d), 4)
 
 
 def backtest_limited(spark, d):
-    return rounded(_daily(spark, d, LIMITED), 6)
+    return rounded(_daily(spark, d, LIMITED), 4)
 
 
 def trade_blotter(spark, d):
@@ -206,7 +206,7 @@ def trade_blotter(spark, d):
 
 def trade_blotter_limited(spark, d):
     own = _signals(spark, d).withColumn("run", F.lit("base"))
-    return rounded(bt.trade_blotter(own, bt.run_backtest(own, LIMITED, ["run"]), LIMITED, ["run"]), 5)
+    return rounded(bt.trade_blotter(own, bt.run_backtest(own, LIMITED, ["run"]), LIMITED, ["run"]), 3)
 
 
 def equity_curve(spark, d):
