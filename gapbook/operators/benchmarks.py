@@ -78,7 +78,8 @@ def relative_metrics(strategy: DataFrame, benchmarks: DataFrame, risk_free: floa
         (F.stddev_pop("b") * root).alias("benchmark_volatility"),
         over(F.avg("b") * periods - risk_free, F.stddev_pop("b") * root).alias("benchmark_sharpe"),
         F.min("_dd").alias("benchmark_max_drawdown"),
-        F.corr("s", "b").alias("correlation"),
+        # corr() fails on a constant series under ANSI arithmetic
+        ratio(F.covar_pop("s", "b"), F.stddev_pop("s") * F.stddev_pop("b")).alias("correlation"),
         over(F.covar_pop("s", "b"), F.var_pop("b")).alias("beta"),
         (F.avg("s") * periods).alias("_s"),
         (F.avg("b") * periods).alias("_b"),

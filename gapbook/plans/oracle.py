@@ -265,12 +265,12 @@ STEPS: dict[str, str] = {
 }
 _RECURSIVE = {
     "folded_raw": """
-  SELECT k, signal_date, exit_date, trade_count, rate, CAST(1000000 AS DOUBLE) AS start_eq, CAST(600000 AS DOUBLE) AS deployed,
-    list_sum(list_transform(book, lambda t: abs(least(t.w, t.a * 2.0 / 600000)))) AS x, list_sum(list_transform(book, lambda t: least(t.w, t.a * 2.0 / 600000) * t.r)) AS g
+  SELECT k, signal_date, exit_date, trade_count, rate, CAST(1000000 AS DOUBLE) AS start_eq, CAST(600011.7 AS DOUBLE) AS deployed,
+    list_sum(list_transform(book, lambda t: abs(least(t.w, t.a * 1.93719::DOUBLE / 600011.7::DOUBLE)))) AS x, list_sum(list_transform(book, lambda t: least(t.w, t.a * 1.93719::DOUBLE / 600011.7::DOUBLE) * t.r)) AS g
   FROM rated_days WHERE k = 1
   UNION ALL
-  SELECT d.k, d.signal_date, d.exit_date, d.trade_count, d.rate, q.eq, least(q.eq, 600000),
-    list_sum(list_transform(d.book, lambda t: abs(least(t.w, t.a * 2.0 / least(q.eq, 600000))))), list_sum(list_transform(d.book, lambda t: least(t.w, t.a * 2.0 / least(q.eq, 600000)) * t.r))
+  SELECT d.k, d.signal_date, d.exit_date, d.trade_count, d.rate, q.eq, least(q.eq, 600011.7::DOUBLE),
+    list_sum(list_transform(d.book, lambda t: abs(least(t.w, t.a * 1.93719::DOUBLE / least(q.eq, 600011.7::DOUBLE))))), list_sum(list_transform(d.book, lambda t: least(t.w, t.a * 1.93719::DOUBLE / least(q.eq, 600011.7::DOUBLE)) * t.r))
   FROM (SELECT k, start_eq + deployed * (g - 2 * x * rate / 10000) + (start_eq - deployed) * 0.02 / 252 AS eq FROM folded_raw) q JOIN rated_days d ON d.k = q.k + 1""",
 }
 
@@ -388,7 +388,7 @@ FROM (SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM m
         "backtest_daily": f"SELECT run, signal_date, exit_date, trade_count, {_rounded(DAILY, 4)} FROM daily",
         "backtest_limited": f"SELECT run, signal_date, exit_date, trade_count, {_rounded(DAILY, 4)} FROM limited",
         "trade_blotter": f"SELECT run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 5)} FROM ({trades})",
-        "trade_blotter_limited": f"SELECT run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 3)} FROM ({_blotter('limited', 'least(weight, adv_dollars * 2.0 / deployed_capital)')})",
+        "trade_blotter_limited": f"SELECT run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 3)} FROM ({_blotter('limited', 'least(weight, adv_dollars * 1.93719::DOUBLE / deployed_capital)')})",
         "equity_curve": f"SELECT run, date, {_rounded('equity, drawdown', 6)} FROM ({_CURVE})",
         "equity_curve_range": f"SELECT run, date, {_rounded('equity, drawdown', 6)} FROM ({_CURVE}) WHERE date >= (SELECT max(exit_date) FROM daily) - 1095",
         "performance": _metrics_query("daily", "run", 0.01),
@@ -448,7 +448,7 @@ FROM complete c JOIN (SELECT symbol, quantile_cont(ret, 0.02) AS a, quantile_con
 SELECT symbol, round(1.0 / 10000 + 2.0 / 10000 * greatest(0.25, least(4.0, v / m)), 10) AS rate
 FROM (SELECT symbol, stddev_pop(overnight_return) AS v FROM rets GROUP BY symbol), (SELECT avg(v) AS m FROM (SELECT stddev_pop(overnight_return) AS v FROM rets GROUP BY symbol))""",
         "constant_mix_path": f"""
-SELECT portfolio, date AS exit_date, date AS signal_date, trade_count, {_rounded("gross_return, cost_return, gross_exposure, round_trip_turnover, net_return, ending_equity, starting_equity", 6)}
+SELECT portfolio, date AS exit_date, date AS signal_date, trade_count, {_rounded("gross_return, cost_return, gross_exposure, round_trip_turnover, net_return, ending_equity, starting_equity", 4)}
 FROM ({_compounded("(SELECT *, gross_return - cost_return AS net_return FROM mix_days)", str(CAPITAL), "portfolio", "date")})""",
         "constant_mix_statistics": f"""
 SELECT 'equal' AS portfolio, {_rounded("expected_return, volatility, sharpe, var_95, cvar_95", 7)} FROM (SELECT avg(gross_return) * 252 AS expected_return, stddev_pop(gross_return) * sqrt(252.0) AS volatility,

