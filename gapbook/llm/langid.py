@@ -103,9 +103,9 @@ class LanguageModel:
     """Automata of all languages in one table.
 
     ``table[state + code]`` is the following state. Where a phrase ends before this character, it
-    is ~r, with r the state after the character that begins the next phrase; a character that occurs
-    nowhere in a language leads back to its root and so is a phrase of its own. ``roots[k]`` is the
-    state of language k before a text.
+    is ~r, with r the state after the character that begins the next phrase. A character that occurs
+    nowhere in a language is a phrase of its own. ``roots[k]`` is the state of language k before a
+    block of text.
     """
 
     languages: list[str]
@@ -125,10 +125,14 @@ class LanguageModel:
         for p in points.values():
             codes = code[p]
             t = SuffixAutomaton(codes[codes > 0].tolist(), width).next
-            after = np.where(t[0] >= 0, t[0], 0)  # where the next phrase stands after its first character
-            tables.append(np.where(t >= 0, (t + at) * width, ~((after + at) * width)).astype(np.int32))
+            # one state more, after a character that is a phrase alone: there every phrase is new
+            alone = len(t)
+            after = np.where(t[0] >= 0, t[0], alone)  # where a phrase stands after its first character
+            rows = np.where(t >= 0, (t + at) * width, ~((after + at) * width))
+            rows[0] = (after + at) * width  # at the root a block begins, and no phrase ends
+            tables.append(np.vstack([rows, ~((after + at) * width)[None]]).astype(np.int32))
             roots.append(at * width)
-            at += len(t)
+            at += alone + 1
         table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         return cls(list(points), table, np.array(roots, np.int32), code)
 
