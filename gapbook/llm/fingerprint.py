@@ -121,11 +121,14 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     """Fingerprints of every whole text and its edited text, and their likeness.
 
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``. A null text counts as empty; a lone document is its own next one. Ids are taken
-    as unique; rows that repeat an id with the same text are all given, each with the same result.
-    Rows without an id are left out. Other columns are ignored.
+    near_next``. A null text counts as empty; a lone document is its own next one. Rows
+    that repeat an id are one document, with the smallest of their texts; rows without an id are
+    left out. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias(text_col)).where(F.col(id_col).isNotNull())
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if not repeated.isEmpty():
+        docs = materialise(docs.groupBy(id_col).agg(F.min(text_col).alias(text_col)), "one-per-id")
     pairs = with_edited(docs, text_col, id_col)
     both = pairs.select(
         "id", "next_id", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v")

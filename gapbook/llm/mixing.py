@@ -64,12 +64,12 @@ def rates(docs: DataFrame, source_col: str = "source", power: float = POWER, tar
 
 
 def _with_rates(docs: DataFrame, tables: DataFrame, source_col: str, id_col: str) -> DataFrame:
-    tables = materialise(tables, "mix-rates").select(F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in ("rate", "parts", "cdf")))
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    tables = materialise(tables, "mix-rates").select(F.col("source").alias("__mix_source"), *(F.col(c).alias(f"__mix_{c}") for c in ("rate", "parts", "cdf")))
+    same = F.col(source_col).eqNullSafe(F.col("__mix_source"))
     if tables.count() <= BROADCAST_SOURCES:
         return docs.join(F.broadcast(tables), same, "left")
-    salted = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return docs.join(salted, same & (F.pmod(F.xxhash64(id_col), F.lit(SALTS)) == F.col("_salt")), "left").drop("_salt")
+    salted = tables.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.join(salted, same & (F.pmod(F.xxhash64(id_col), F.lit(SALTS)) == F.col("__mix_salt")), "left").drop("__mix_salt")
 
 
 def mix(
@@ -92,16 +92,16 @@ def mix(
     own = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))]
     rows = _with_rates(docs, rates(docs, source_col, power, targets), source_col, id_col)
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")),
+        F.sequence(F.lit(1), F.col("__mix_parts")),
         F.lit(0),
         lambda total, part: total
-        + F.size(F.filter("_cdf", lambda c: c < uniform(*own, F.lit("count"), part.cast("string")))),
+        + F.size(F.filter("__mix_cdf", lambda c: c < uniform(*own, F.lit("count"), part.cast("string")))),
     )
     return (
-        rows.withColumn("_count", count)
-        .where("_count > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+        rows.withColumn("__mix_count", count)
+        .where("__mix_count > 0")
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_count") - 1)))
         .withColumn("mix_order", F.round(uniform(*own, F.lit("order"), F.col("mix_copy").cast("string")), 12))
-        .select(*columns, F.col("_rate").alias("mix_rate"), "mix_copy", "mix_order")
+        .select(*columns, F.col("__mix_rate").alias("mix_rate"), "mix_copy", "mix_order")
         .repartition("mix_order")
     )

@@ -47,11 +47,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     named = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)").alias("doc_id"))
     bad = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_filter.url_verdicts(pages, named.join(bad, "doc_id").select("page_id", "bad"))
+    found = url_filter.url_verdicts(pages, named.join(bad, "doc_id").select("page_id", "bad"))
+    return found.withColumn("purity", F.round("purity", 9))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("mix_rate", F.round("mix_rate", 9))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 9) for c in ("near_edited", "near_next")})
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +86,104 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1 = r"""
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
+
+OP5 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, least(len(ws), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS id, doc_id AS to_id FROM n UNION SELECT r.id, e.y FROM r JOIN e ON r.to_id = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.to_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.id = d.doc_id GROUP BY d.doc_id"""
+
+
+def _op6() -> str:
+    rules = [(v, *r.partition("/")[::2], r) for v, r in url_filter.RULES]
+    values = ", ".join(f"('{v}', '{h}', '/{p}', '{r}')" for v, h, p, r in rules)
+    depth, many, rare = url_filter.DEPTH, url_filter.MANY, url_filter.RARE
+    levels = "".join(
+        f"""
+g{k} AS (SELECT t.host, t.raw, CASE WHEN r.rare THEN list_concat(t.template[1:{k - 1}], ['*'], t.template[{k + 1}:]) ELSE t.template END AS template, t.pages, t.labelled, t.bad
+  FROM g{k - 1} t LEFT JOIN (SELECT n.host, n.above, n.here, true AS rare FROM n{k} n
+      JOIN (SELECT host, above, count(*) AS siblings, sum(n) AS total FROM n{k} GROUP BY 1, 2) p ON n.host = p.host AND n.above = p.above WHERE siblings > {many} AND n < {rare} * total) r
+    ON r.host = t.host AND r.above = t.template[1:{k - 1}] AND r.here = t.template[{k}]),"""
+        for k in range(1, depth + 1)
+    )
+    # the nodes of each level come before the templates that rest on them
+    for k in range(1, depth + 1):
+        levels = levels.replace(f"\ng{k} AS", f"\nn{k} AS (SELECT host, template[1:{k - 1}] AS above, template[{k}] AS here, sum(pages) AS n FROM g{k - 1} WHERE template[{k}] IS NOT NULL GROUP BY 1, 2, 3),\ng{k} AS")
+    return rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS rawhost, rest FROM u),
+p AS (SELECT page_id, url, translate(rawhost, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(rawhost) + 1), '^[^?#]*') AS path FROM h),
+q AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)?$') ELSE s END) AS parts FROM p),
+rows AS (SELECT page_id, url, host, path, CASE WHEN len(parts) > {depth} THEN list_append(parts[1:{depth}], '**') ELSE parts END AS raw FROM q),
+lab AS (SELECT page_id, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad FROM rows r JOIN labels l ON l.doc_id = try_cast(regexp_extract(r.url, '/([0-9]+)', 1) AS BIGINT)),
+g0 AS (SELECT host, raw, raw AS template, count(*) AS pages, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM rows r LEFT JOIN (SELECT page_id, max(bad) AS bad FROM lab GROUP BY 1) b ON r.page_id = b.page_id GROUP BY 1, 2),{levels}
+nodes AS (SELECT host, template, template[1:greatest(len(template) - 1, 0)] AS parent, sum(labelled) AS n, sum(bad) AS b FROM g{depth} GROUP BY 1, 2),
+pool AS (SELECT host, parent, sum(n) AS pn, sum(b) AS pb FROM nodes GROUP BY 1, 2),
+tested AS (SELECT o.host, o.template, o.parent, o.n, o.b, pn - n AS onn, pb - b AS ob, pb / nullif(pn, 0) AS share FROM nodes o JOIN pool l ON o.host = l.host AND o.parent = l.parent),
+branch AS (SELECT *, CASE WHEN coalesce(sqrt(share * (1 - share) * (1 / nullif(n, 0) + 1 / nullif(onn, 0))) > 0 AND abs(b / nullif(n, 0) - ob / nullif(onn, 0)) > {url_filter.Z} * sqrt(share * (1 - share) * (1 / nullif(n, 0) + 1 / nullif(onn, 0))), false)
+    THEN template ELSE list_append(parent, '*') END AS branch FROM tested),
+pure AS (SELECT host, branch, 1 - (sum(b) + {url_filter.PRIOR} * (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) FROM branch)) / (sum(n) + {url_filter.PRIOR}) AS purity FROM branch GROUP BY 1, 2),
+fit AS (SELECT r.page_id, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict FROM rows r JOIN (VALUES {values}) AS v(verdict, rhost, rpath, rule)
+  ON (r.host = v.rhost OR ends_with(r.host, '.' || v.rhost)) AND starts_with(r.path, v.rpath) GROUP BY r.page_id)
+SELECT r.page_id, r.host, r.path, f.rule, coalesce(f.verdict, CASE WHEN purity < {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(b.branch, '/') AS template, round(purity, 9) AS purity
+FROM rows r LEFT JOIN fit f ON f.page_id = r.page_id LEFT JOIN g{depth} t ON t.host = r.host AND t.raw = r.raw LEFT JOIN branch b ON b.host = t.host AND b.template = t.template
+  LEFT JOIN pure ON pure.host = b.host AND pure.branch = b.branch"""
+
+
+def _uniform(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+#: For rates up to PART_MEAN, where a count is a single variate.
+OP7 = f"""
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, n, sum(n) OVER () * pow(n, {mixing.POWER}) / sum(pow(n, {mixing.POWER})) OVER () / n AS rate FROM c),
+f AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM (SELECT source, rate, unnest(generate_series(0, 80)) AS k FROM r)),
+d AS (SELECT *, {_uniform(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|count|1'")} AS u FROM documents),
+m AS (SELECT d.* EXCLUDE (u), rate, (SELECT count(*) FROM f WHERE f.source = d.source AND cdf < u) AS copies FROM d JOIN r ON r.source = d.source)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, CAST(copy AS INTEGER) AS mix_copy,
+  round({_uniform(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|order|' || copy")}, 12) AS mix_order
+FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS copy FROM m WHERE copies > 0)"""
+
+
+def _op9() -> str:
+    lanes = ", ".join(f"coalesce(sum((bits >> {i}) & 1), 0)" for i in range(fingerprint.LANES))
+    def shown(v: str) -> str:
+        return f"printf('%X', {v}.pieces) || '-' || printf('%X', {v}.a) || '-' || printf('%X', {v}.b) || '-' || array_to_string(list_transform({v}.lanes, lambda x: printf('%X', x)), '.')"
+
+    def centred(v: str) -> str:
+        return f"list_transform({v}.lanes, lambda x: CAST(2 * x - {v}.pieces AS DOUBLE))"
+
+    def near(x: str, y: str) -> str:
+        dot = f"list_dot_product({centred(x)}, {centred(y)})"
+        norm = f"sqrt(list_dot_product({centred(x)}, {centred(x)})) * sqrt(list_dot_product({centred(y)}, {centred(y)}))"
+        same = f"{x}.pieces = {y}.pieces AND {x}.a = {y}.a AND {x}.b = {y}.b AND {x}.lanes = {y}.lanes"
+        return f"round(CASE WHEN {same} THEN 1.0 WHEN {norm} > 0 THEN greatest(0.0, least(1.0, {dot} / ({norm}))) ELSE 0.0 END, 9)"
+
+    return rf"""
+WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next_id FROM documents),
+e AS (SELECT d.*, substr(d.text, 1, d.n - d.n // 4) || substr(x.text, 1, d.n // 4) AS edited FROM d JOIN d x ON x.id = d.next_id),
+t AS (SELECT id, 0 AS which, text AS t FROM e UNION ALL SELECT id, 1, edited FROM e),
+m AS (SELECT id, which, md5(unnest(regexp_extract_all(t, '{fingerprint._PIECE}'))) AS digest FROM t),
+v AS (SELECT id, which, CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS bits, CAST('0x' || substr(digest, 16, 10) AS BIGINT) AS a, CAST('0x' || substr(digest, 26, 7) AS BIGINT) AS b FROM m),
+f AS (SELECT t.id, t.which, count(bits) AS pieces, CAST(coalesce(sum(a), 0) % {fingerprint.WIDE_A_MOD} AS BIGINT) AS a, CAST(coalesce(sum(b), 0) % {fingerprint.WIDE_B_MOD} AS BIGINT) AS b,
+    CAST([{lanes}] AS BIGINT[]) AS lanes FROM t LEFT JOIN v ON v.id = t.id AND v.which = t.which GROUP BY 1, 2)
+SELECT e.id AS doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, {shown("o")} AS fingerprint, {shown("c")} AS edited_fingerprint, {near("o", "c")} AS near_edited, {near("o", "x")} AS near_next
+FROM e JOIN f o ON o.id = e.id AND o.which = 0 JOIN f c ON c.id = e.id AND c.which = 1 JOIN f x ON x.id = e.next_id AND x.which = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Without SQL: personal data (offsets of matches), sharding and language models, tokenizers."""
+    return {"op1_exact_dedup": OP1, "op5_ngram_join": OP5, "op6_url_filters": _op6(), "op7_mixing": OP7, "op9_fingerprints": _op9()}

@@ -1,0 +1,516 @@
+"""The text operators against brute force, exact round trips, held-out accuracy and odd inputs."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gapbook.llm import components, exact_dedup, fingerprint, langid, mixing, ngram_join, pii, queries, sentencepiece_codec, sharding, token_counts, url_filter
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " ", "\n\t", "a", "A", "a b", "a  B\n", "x" * 5000, "  two  spaces ", "日本語 テキスト 🙂", "▁ marker", "<|endoftext|> special", "é" * 40, "0 1 2", None]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a null id, a repeated row, and columns whose names clash with those inside."""
+    data = [(k, t, None, "s", 0) for k, t in enumerate(ODD)] + [(3, "a", None, "s", 0), (99, None, "en", None, None)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    return frame.withColumns({c: F.lit(1) for c in ("key", "group", "keep_id", "size", "_rate", "_count", "id", "next_id", "set", "mix_copy")})
+
+
+OPERATORS = {
+    "exact": exact_dedup.exact_dedup,
+    "pii": pii.personal_data,
+    "shard": sharding.shard,
+    "tokens": token_counts.token_counts,
+    "jaccard": ngram_join.jaccard_components,
+    "mix": mixing.mix,
+    "lang": lambda d: langid.identify(d, langid.learn(d)),
+    "keep": lambda d: langid.keep_identified(d, langid.learn(d)),
+    "print": fingerprint.edited_fingerprints,
+    "pieces": sentencepiece_codec.round_trip,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_tables(spark, odd, name):
+    found = OPERATORS[name](odd)
+    n = found.count()
+    if name not in ("mix", "keep", "print"):
+        assert n == odd.count()
+    assert OPERATORS[name](odd.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None)], SCHEMA)
+    assert OPERATORS[name](nulls).count() <= (4 if name == "mix" else 1)
+
+
+# -- exact dedup
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_dedup_against_brute_force(docs, rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[normal(t)].append(i)
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    for t, ids in groups.items():
+        for i in ids:
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(ids), len(ids), i == min(ids))
+            assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("limit", [None, 600])
+def test_trie_with_and_without_spill(limit):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(400)]
+    words += [b"common prefix " + w for w in words]
+    trie, expected = exact_dedup.PatriciaTrie(limit), {}
+    for k, w in enumerate(words):
+        owner = rng.choice([k, None])
+        trie.insert(w, owner, 1)
+        a, n = expected.get(w, (None, 0))
+        expected[w] = (a if owner is None else owner if a is None else min(a, owner), n + 1)
+    got = list(trie.items())
+    assert {w: (o, n) for w, o, n in got} == expected and len(got) == len(expected)
+    assert bool(trie.spills) == (limit is not None)
+
+
+# -- personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_on_random_text():
+    rng = random.Random(0)
+    for letters in ("ab1.5@ -+(9%", "1234 -+.0", "4 0-1"):
+        for _ in range(4000):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+            assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_personal_data_of_documents(docs, rows):
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for i, t in rows:
+        spans = brute_spans(t)
+        shown = ",".join(f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in spans)
+        assert got[i].base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert got[i].n_email == sum(k == 0 for _, k, _ in spans) and set(filter(None, shown.split(","))) <= set(got[i].spans.split(","))
+
+
+def test_contextual_patterns_find_what_base_patterns_miss(spark):
+    texts = [f"please write to user{k}@mail.example.com about it" for k in range(40)]
+    texts += ["please write to user77(at)mail.example.com about it", "nothing 12345 here at all"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    assert got[40].spans == f"email:16:{16 + len('user77(at)mail.example.com')}" and got[40].n_email == 0
+    assert got[41].spans == "" and got[0].n_added == 0
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "@" * 300_000):
+        pii.base_spans(text)
+
+
+# -- sharding
+
+
+def test_jump_hash_is_consistent_and_slots_are_gapless(docs, rows):
+    def one(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    keys = np.random.default_rng(0).integers(0, 2**63, 500).astype(np.uint64)
+    assert sharding.jump_hash(keys, 24).tolist() == [one(int(k), 24) for k in keys]
+    got = sharding.shard(docs).collect()
+    by = {i: t for i, t in rows}
+    slots = defaultdict(list)
+    for r in got:
+        data = by[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(data) + 8, zlib.crc32(data)) and 0 <= r.shard < 24
+        assert r.grown_shard in (r.shard, 24)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+# -- token counts
+
+
+def test_token_counts_against_the_library(docs, rows):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_counts.tokenizer_path())
+    expected = {i: len(tok.encode(t, add_special_tokens=False)) for i, t in rows}
+    for chunk in (token_counts.CHUNK, 300):
+        got = {r.doc_id: r for r in token_counts.token_counts(docs, chunk=chunk).collect()}
+        assert {i: r.n_tokens for i, r in got.items()} == expected
+        assert all(r.over_limit == (r.n_tokens > 1024) for r in got.values())
+
+
+def test_resynchronisation_of_hard_texts():
+    small = token_counts.ChunkedCounter(token_counts.tokenizer_path(), chunk=200, overlap=8)
+    hard = ["x" * 2000, " " * 900, "a\n\n b  \n c<|endoftext|> d" * 60, "日本語" * 300, "don't  we'll 12 345\t\tx " * 40, "12345" * 100 + " ab" * 500, *filter(None, ODD)]
+    assert small.counts(hard) == [len(small.tok.encode(t, add_special_tokens=False)) for t in hard]
+    assert small.widened > 0
+
+
+# -- n-gram Jaccard join
+
+
+def shingles(text, w):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + w]) for i in range(len(words) - w + 1)} if len(words) >= w else {tuple(words)} if words else set()
+
+
+def brute_components(rows, w, p):
+    sets = {i: shingles(t, w) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= p * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghijklmnop") + rng.choice("qrstuv") for _ in range(rng.choice([4, 8, 30, 120]))] for _ in range(12)]
+    texts = []
+    for k in range(160):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            words[rng.randrange(len(words))] = rng.choice("xyz") + str(rng.randint(0, 5))
+        texts.append((k, " ".join(words)))
+    return texts
+
+
+@pytest.mark.parametrize(("w", "p", "tile"), [(3, 90, 512), (5, 80, 4), (1, 50, 7)])
+def test_components_against_brute_force(spark, w, p, tile):
+    data = near_copies(w)
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame, w, p, tile=tile).collect()}
+    assert got == brute_components(data, w, p)
+
+
+def test_components_of_documents(docs, rows):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("p", [80, 90])
+def test_linked_sets_share_a_key(p):
+    rng, ends, links = np.random.default_rng(p), ngram_join.bands(p), 0
+    for k in range(3000):
+        a = rng.integers(0, 2**63, int(rng.integers(2, 30 if k % 2 else 400))).astype(np.uint64) * np.uint64(2)
+        b = a[rng.random(len(a)) > rng.random() * (100 - p) / 100]
+        b = np.append(b, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 10))).astype(np.uint64))
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= p * (len(a) + len(b) - both):
+            links += 1
+            assert len(np.intersect1d(ngram_join.part_keys(a, ends, p), ngram_join.part_keys(b, ends, p)))
+    assert links > 500
+
+
+def test_shingle_hashes_of_slices():
+    texts = pa.array(["one two three four", None, "", "a b", "One  two\nthree four"])
+    whole = ngram_join.shingle_sets(texts.fill_null(""), 3)
+    assert [len(s) for s in whole] == [2, 0, 0, 1, 2] and (whole[0] == whole[4]).all()
+    part = ngram_join.shingle_sets(texts.fill_null("").slice(3, 2), 3)
+    assert (part[0] == whole[3]).all() and (part[1] == whole[4]).all()
+
+
+def test_connected_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {i: i for e in links for i in e}
+    for _ in range(80):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    for i, r in root.items():
+        if i in got:
+            assert got[i] == r
+    assert set(got) == {i for a, b in links if a != b for i in (a, b)}
+
+
+# -- URL filters
+
+
+def test_rules(spark):
+    urls = [
+        ("https://Sub.Example.ORG/es/x?q", "sub.example.org", "/es/x", "example.org/es/", "block"),
+        ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+        ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
+        ("http://a.com/fr/", "a.com", "/fr/", "com/fr/", "allow"),
+        ("http://a.com/de/9#x", "a.com", "/de/9", "com/de/", "block"),
+        ("http://a.org", "a.org", "", None, "allow"),
+        ("no scheme", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("http://a.net?x=/y", "a.net", "", None, "allow"),
+    ]
+    frame = spark.createDataFrame([(k, u[0]) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(frame).collect()}
+    assert [got[k] for k in range(len(urls))] == [u[1:] for u in urls]
+
+
+def test_impure_templates_are_rejected(spark):
+    pages = [(k, f"http://h.net/{'spam' if k % 2 else 'news'}/{k}") for k in range(200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(frame, labels).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(200))
+
+
+# -- mixing
+
+
+def test_mix_reaches_target_weights(spark):
+    frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "a").when(F.col("id") < 5990, "b").otherwise("c").alias("source"))
+    targets = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "source string, weight double")
+    out = mixing.mix(frame, targets)
+    got = Counter(r.source for r in out.collect())
+    assert got["a"] == pytest.approx(1500, rel=0.1) and got["b"] == pytest.approx(3000, rel=0.08) and got["c"] == pytest.approx(1500, rel=0.15)
+    per_doc = out.where("source = 'b'").groupBy("doc_id").count().groupBy("count").count().collect()
+    zero = 1990 - sum(r[1] for r in per_doc)
+    assert zero / 1990 == pytest.approx(np.exp(-3000 / 1990), abs=0.04)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixing.mix(frame.repartition(7), targets).collect()}
+
+
+# -- language ID
+
+
+def test_suffix_automaton_knows_all_substrings():
+    rng = random.Random(2)
+    text = [rng.randint(1, 3) for _ in range(200)]
+    table = langid.SuffixAutomaton(text, 4).next
+
+    def has(codes):
+        s = 0
+        for c in codes:
+            s = table[s, c]
+            if s < 0:
+                return False
+        return True
+
+    joined = "".join(map(str, text))
+    for _ in range(2000):
+        w = [rng.randint(1, 3) for _ in range(rng.randint(1, 8))]
+        assert has(w) == ("".join(map(str, w)) in joined)
+
+
+def test_phrase_counts_against_brute_force():
+    train = {"x": "abracadabra arcade bar", "y": "hello world low held"}
+    model = langid.LanguageModel.train(train)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdehlorw ") for _ in range(rng.randint(1, 3000))) for _ in range(12)] + ["zzz", "é a"]
+    points, sizes = langid.folded(texts)
+    got = model.phrases(points, sizes)
+    at = 0
+    for row, n in zip(got, sizes, strict=True):
+        text, at = "".join(map(chr, points[at : at + n])), at + n
+        for k, lang in enumerate(model.languages):
+            phrases = 0
+            for b in range(0, n, langid.BLOCK):
+                block, i = text[b : b + langid.BLOCK], 0
+                while i < len(block):
+                    j = i + 1
+                    while j < len(block) and block[i : j + 1] in train[lang]:
+                        j += 1
+                    phrases, i = phrases + 1, j
+            assert row[k] == phrases or n == 0
+
+
+def test_held_out_accuracy(docs):
+    found = langid.identify(docs, langid.learn(docs)).join(docs, "doc_id").where(langid.held_out())
+    right = found.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.95
+    assert docs.select(F.sum(langid.held_out().cast("int"))).first()[0] == sum(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs.collect())
+
+
+# -- fingerprints
+
+
+def brute_vector(text):
+    pieces = re.findall(r"[^ \n]+(?: +[^ \n]+){0,3}", text)
+    lanes, a, b = [0] * fingerprint.LANES, 0, 0
+    for p in pieces:
+        d = hashlib.md5(p.encode()).hexdigest()
+        bits = int(d[:15], 16)
+        lanes = [x + (bits >> i & 1) for i, x in enumerate(lanes)]
+        a, b = a + int(d[15:25], 16), b + int(d[25:], 16)
+    return len(pieces), lanes, a % fingerprint.WIDE_A_MOD, b % fingerprint.WIDE_B_MOD
+
+
+def printed(v):
+    return "-".join([f"{v[0]:X}", f"{v[2]:X}", f"{v[3]:X}", ".".join(f"{x:X}" for x in v[1])])
+
+
+def test_fingerprints_against_brute_force(docs, rows):
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i].fingerprint == printed(brute_vector(t)) and got[i].edited_fingerprint == printed(brute_vector(edited))
+    near = [r.near_edited - r.near_next for r in got.values()]
+    assert np.mean([r.near_edited for r in got.values()]) > 0.6 and np.mean(near) > 0.4
+
+
+def test_fingerprints_add_and_ignore_order(spark):
+    frame = spark.createDataFrame([(0, "a b c\nd e f g h"), (1, "d e f g h\na b c"), (2, "a b c"), (3, "d e f g h")], "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(frame).collect()}
+    assert prints[0] == prints[1]
+    v = {r.doc_id: r for r in fingerprint.vectors(frame, "text", ["doc_id"]).collect()}
+    one = "struct(pieces, lanes, wide_a, wide_b)"
+    both = fingerprint.vectors(frame, "text", ["doc_id"]).selectExpr("doc_id", f"{one} as v")
+    pair = both.where("doc_id = 2").select(F.col("v").alias("p")).join(both.where("doc_id = 3").select(F.col("v").alias("q")))
+    added = pair.select(fingerprint.insert(F.col("p"), F.col("q")).alias("s"), "p", "q")
+    row = added.select("s", fingerprint.insert(F.col("s"), F.col("q"), -1).alias("back"), "p").first()
+    assert (row.s.lanes, row.s.wide_a, row.s.pieces) == (v[0].lanes, v[0].wide_a, v[0].pieces) and row.back == row.p
+
+
+# -- pieces
+
+
+def as_library(pieces):
+    """The same pieces and scores as a unigram model file of the library."""
+    import sentencepiece
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def part(tag, data):
+        return varint(tag << 3 | 2) + varint(len(data)) + data
+
+    def number(tag, n):
+        return varint(tag << 3) + varint(n)
+
+    data, of_bytes = b"", set(pieces.byte_ids.tolist())
+    for i, text in enumerate(pieces.texts):
+        kind = 6 if i in of_bytes else 1 if pieces.normal[i] else 2 if i == 0 else 3
+        data += part(1, part(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", pieces.scores[i]) + number(3, kind))
+    data += part(2, number(3, 1) + number(35, 1) + number(40, 0) + number(41, 1) + number(42, 2))
+    data += part(3, part(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return sentencepiece_codec.codec()
+
+
+def test_pieces_against_the_library(codec, rows):
+    lib, scores = as_library(codec.pieces), codec.pieces.scores
+    texts = [t for _, t in rows[:120]] + ["", "  a  b ", "日本語 x 漢 🙂 ñ", "a\n\tb", "x" * 700, " "]
+    flat, ends = codec.encode_batch(texts)
+    same = 0
+    for k, t in enumerate(texts):
+        own, theirs = flat[ends[k] : ends[k + 1]].tolist(), lib.encode(t)
+        same += own == theirs
+        # equal sums may be split differently
+        assert sum(scores[own]) == pytest.approx(sum(scores[theirs]), rel=1e-4, abs=1e-2)
+        assert codec.decode(own) == t == codec.decode(theirs)
+    assert same > 0.9 * len(texts)
+
+
+def test_wide_stretches_and_round_trips(codec):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefghij") for _ in range(3000))
+    alone = codec._as_ids(" " + long[:200], codec._split_alone(" " + long[:200]))
+    assert np.frombuffer(alone, np.int32).tolist() == codec.encode_batch([long[:200]])[0].tolist()
+    texts = [long, *(t for t in ODD if t is not None), "".join(map(chr, range(1, 400))), "▁a ▁"]
+    flat, ends = codec.encode_batch(texts)
+    assert [codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)] == texts
+
+
+def test_encode_and_decode_tables(spark, docs, codec):
+    encoded = sentencepiece_codec.encode(docs, model=codec)
+    back = sentencepiece_codec.decode(encoded, model=codec)
+    assert back.exceptAll(docs.select("doc_id", "text")).count() == 0
+    assert sentencepiece_codec.round_trip(docs, model=codec).where("not exact").count() == 0
+
+
+# -- the pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(9000, "12 34 !!", "en", "s", 8), (9001, None, None, "s", None)], SCHEMA)
+    docs = docs.select(*cp.COLUMNS).unionByName(extra)
+    one = cp.language(spark, docs, SF)
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in one.collect()} == {9000, 9001}
+    two = cp.exact(spark, one, SF)
+    least = {}
+    for r in one.collect():
+        least[normal(r.text)] = min(r.doc_id, least.get(normal(r.text), r.doc_id))
+    assert {r.doc_id for r in two.collect()} == set(least.values())
+    three = cp.near(spark, two, SF)
+    assert {r.doc_id for r in three.collect()} == {c for _, c in brute_components([(r.doc_id, r.text) for r in two.collect()], 5, 80).values()}
+    four = cp.mix(spark, three, SF)
+    assert four.columns == cp.COLUMNS and {r.doc_id for r in four.collect()} <= {r.doc_id for r in three.collect()}
+    five = cp.pieces(spark, four, SF)
+    assert five.count() == four.count() and five.where("not exact").count() == 0
+
+
+def test_queries_are_registered(spark):
+    names = queries.queries()
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert set(queries.oracle_sql()) <= set(names)
