@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python task; bounds the memory of vectorised steps.
 SLICE_BYTES = 2 << 20
+#: Spark's setting to remove shuffle files when a query ends, not when the driver collects garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that
-    outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    outlives any executor. What the write has shuffled is removed as soon as it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(text_col: str) -> Column:
