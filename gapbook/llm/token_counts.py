@@ -11,6 +11,7 @@ between them are encoded once and remembered.
 from __future__ import annotations
 
 import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -59,15 +60,12 @@ class ChunkedCounter:
     """Counts tokens of a ``tokenizers`` tokenizer whose pre-tokeniser is the byte-level one."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.chunk, self.overlap, self.run = chunk, overlap, run
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        #: how the byte-level pre-tokeniser writes each byte, read off the library itself
         self.alphabet = _alphabet()
         self.known: dict[str, int] = {"": 0}
         self.widened = 0
@@ -106,8 +104,8 @@ class ChunkedCounter:
         hard = []
         for p in new:
             word = p.rstrip(".,")
-            if word.lstrip(" ").isalpha() and len(p) - len(word) < 2 and p[1:2] != " ":
-                # one pre-token of letters, perhaps a full stop or comma after it
+            if word.lstrip(" ").isalpha() and len(p) - len(word) < 2 and p[1:2] != " " and max(word) < "\u0530":
+                # one pre-token of letters old in Unicode, perhaps a full stop or comma after it
                 self.known[p] = self._word(word) + len(p) - len(word)
             else:
                 hard.append(p)
