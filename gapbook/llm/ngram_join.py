@@ -10,8 +10,9 @@ their union. The work runs in five steps:
    range is cut into d + 1 parts and some spare ones, so linked sets agree in all of one that is not
    empty. Sets that share a part's content meet under a key and are tied to the smallest id there:
    first inside each map task, so that a key leaves a task once however many copies hold it, then
-   across tasks. There are no more ties than keys. Two sets that share a key are tied to one id, so
-   the sets tied to an id are a group in which every link of theirs shows up.
+   across tasks. There are no more ties than keys. Two sets that share a key may be tied to different
+   ids, those of their tasks, and these to a third; so groups are the connected components of the
+   ties, in which every link shows up.
 3. *Bit counts.* Groups are cut into size-banded tiles; each pair of tiles whose sizes allow a link is
    work of its own. There, hashed bitmap signatures bound the overlap of each pair from above by a
    bit count; pairs that pass, and are not yet connected in that tile, are kept. Their connected
@@ -463,11 +464,10 @@ def _candidate_groups(rows: DataFrame, words: int, at_least: int, tile: int) ->
     """``doc_id, group`` of the documents that pass a bit count with another one."""
     keys = _meeting_keys(rows, words, at_least)
     least = F.min("doc_id").over(Window.partitionBy("key"))
-    ties = keys.withColumn("group", least).where("doc_id <> group").select("doc_id", "group").distinct()
-    ties = materialise(ties, "ties")
-    met = materialise(ties.unionByName(ties.select(F.col("group").alias("doc_id"), "group").distinct()), "met")
-    tied = materialise(met.select("doc_id").distinct(), "tied")
-    signed = materialise(_signatures(rows.join(_small(tied), "doc_id").select("doc_id", "text"), words), "signatures")
+    ties = keys.withColumn("least", least).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    met = connected_components(ties, "ties").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    met = materialise(met, "met")
+    signed = materialise(_signatures(rows.join(_small(met.select("doc_id")), "doc_id").select("doc_id", "text"), words), "signatures")
     pairs = materialise(_tile_pairs(met.join(signed.select("doc_id", "n"), "doc_id"), at_least, tile), "tile-pairs")
     passed = connected_components(_decide(signed, pairs, "bits", at_least), "candidates")
     return materialise(passed.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "candidate-groups")

@@ -249,6 +249,26 @@ def test_components_of_documents(docs, rows):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_near_copies_meet_across_runs(spark, monkeypatch):
+    """In each run smaller ids, linked with nothing, hold every key of the one copy that links with those
+    of other runs."""
+    monkeypatch.setattr(ngram_join, "HELD_KEYS", 1000)
+    rng, runs, stars, words = random.Random(7), 4, 60, 240
+    base, data = [f"w{k}" for k in range(words)], []
+    for run in range(runs):
+        for k in range(stars):
+            fresh = [f"f{run}_{k}_{i}" for i in range(words // 7)]
+            at = rng.randrange(words - len(fresh))
+            data.append((run * stars + k, " ".join(base[:at] + fresh + base[at + len(fresh) :])))
+        copy = list(base)
+        copy[run * 30 + 10] = f"copy{run}"
+        data.append((10_000 + run, " ".join(copy)))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(data, runs), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame).collect()}
+    assert got == brute_components(data, 5, 80)
+    assert {got[10_000 + run][1] for run in range(runs)} == {10_000}
+
+
 @pytest.mark.parametrize("p", [80, 90])
 def test_linked_sets_share_a_key(p):
     rng, ends, links = np.random.default_rng(p), ngram_join.bands(p), 0
