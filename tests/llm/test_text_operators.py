@@ -530,6 +530,27 @@ def test_pipeline_against_brute_force(spark):
     assert five.count() == four.count() and five.where("not exact").count() == 0
 
 
+def test_stages_judge_each_row(spark):
+    """Null ids and repeated ids, with texts of their own and with copies."""
+    import corpus_pipeline
+
+    def text(k, change=None):
+        return " ".join("changed" if i == change else f"w{k}_{i}" for i in range(60))
+
+    def kept(stage, data):
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], SCHEMA).repartition(3)
+        return Counter((r.doc_id, r.text) for r in stage(spark, frame, SF).collect())
+
+    data = [(None, text(0)), (None, text(1)), (1, text(2)), (2, text(2)), (2, text(3)), (3, text(4)), (3, text(4)), (5, text(5)), (None, text(5)), (None, text(6)), (None, text(6))]
+    alone = {(None, text(0)), (None, text(1)), (1, text(2)), (2, text(3)), (3, text(4)), (5, text(5)), (None, text(6))}
+    assert kept(corpus_pipeline.exact, data) == Counter(alone)
+    assert kept(corpus_pipeline.near, data) == Counter(alone)
+    more = [(4, text(2, 30)), (None, text(5, 30)), (7, text(0, 0)), (1, text(7))]
+    assert kept(corpus_pipeline.near, data + more) == Counter(alone - {(None, text(0))} | {(7, text(0, 0)), (1, text(7))})
+    spaced = kept(corpus_pipeline.exact, [(1, "a b"), (1, "a  b"), (2, "a b")])
+    assert spaced.total() == 1 and set(spaced) <= {(1, "a b"), (1, "a  b")}
+
+
 def test_queries_are_registered(spark):
     names = queries.queries()
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
