@@ -2,20 +2,77 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to remove shuffle files when a query ends, not when the driver collects garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def materialise(frame: DataFrame, tag: str) -> DataFrame:
-    """``frame`` written as Parquet and read back: computed once, and safe from lost executors. The
-    folder is ``spark.checkpoint.dir``; only where the cluster names none is it a temporary one."""
-    spark = frame.sparkSession
+_lock = threading.Lock()
+_writers: dict[int, list] = {}
+_folders: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master, whose executors
+    share the driver's disk, may do without; then it is a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gapbook-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    return base.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it is deleted when Python ends."""
+    folder = f"{shared_dir(spark)}/gapbook-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders[folder] = spark
+        atexit.register(remove_folder, folder)
+    return folder
+
+
+def remove_folder(folder: str) -> None:
+    """Delete what an application has written, if its session still runs. Tables read back from there
+    can no longer be used."""
+    spark = _folders.pop(folder, None)
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries inside go when each query ends. Writers in several threads share the
+    session's setting: the first turns it on, the last puts back what was there."""
+    with _lock:
+        held = _writers.setdefault(id(spark), [0, spark.conf.get(CLEAN_SHUFFLES, "false")])
+        held[0] += 1
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(CLEAN_SHUFFLES, held[1])
+                del _writers[id(spark)]
+
+
+def materialise(frame: DataFrame, tag: str) -> DataFrame:
+    """``frame`` written as Parquet and read back: computed once, a cut in the lineage, and safe from
+    lost executors."""
+    spark = frame.sparkSession
+    path = f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
