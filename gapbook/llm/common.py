@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapbook.sources.scratch import materialise
+
+__all__ = ["SLICE_BYTES", "materialise", "sliced", "table", "text_or_empty"]
+
 #: Text bytes handled at once inside a Python task; bounds the memory of vectorised steps.
 SLICE_BYTES = 2 << 20
-#: Spark's setting to remove shuffle files when a query ends, not when the driver collects garbage.
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gapbook-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that
-    outlives any executor. What the write has shuffled is removed as soon as it ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(text_col: str) -> Column:
