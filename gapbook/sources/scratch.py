@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _lock = threading.Lock()
-_writers: dict[int, list] = {}
+_writers: dict[str, list] = {}
 _folders: dict[str, SparkSession] = {}
 
 
@@ -54,8 +54,9 @@ def remove_folder(folder: str) -> None:
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of queries inside go when each query ends. Writers in several threads share the
     session's setting: the first turns it on, the last puts back what was there."""
+    session = spark._jsparkSession.sessionUUID()
     with _lock:
-        held = _writers.setdefault(id(spark), [0, spark.conf.get(CLEAN_SHUFFLES, "false")])
+        held = _writers.setdefault(session, [0, spark.conf.get(CLEAN_SHUFFLES, "false")])
         held[0] += 1
         spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
@@ -65,7 +66,7 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             held[0] -= 1
             if not held[0]:
                 spark.conf.set(CLEAN_SHUFFLES, held[1])
-                del _writers[id(spark)]
+                del _writers[session]
 
 
 def materialise(frame: DataFrame, tag: str) -> DataFrame:
