@@ -2,30 +2,34 @@
 
 For each language a suffix automaton of labelled text is trained. A text is parsed from left to
 right into the longest pieces that occur in a language's training text; the language that needs the
-fewest phrases for each character wins. Texts are parsed in blocks of ``BLOCK`` characters, all
-blocks of a batch and all languages in step, so the whole of every text is read by vectorised table
-look-ups.
+fewest phrases for each character wins.
+
+Whole texts are parsed. So that one long text does not run alone, the parse also starts afresh every
+``BLOCK`` characters, all blocks and languages in step; each parse then goes on beyond its block
+until it meets a phrase boundary of the next one's. A longest match depends on where it begins alone,
+so from there on both are the same, and their counts are spliced to exactly that of the whole text.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapbook.llm.common import sliced, text_or_empty
 
-#: Characters of training text for each language, and for all languages together; characters of one
-#: document that go into it; the most frequent characters that get a code of their own.
-TRAIN_CHARS, ALL_TRAIN_CHARS, DOC_CHARS, ALPHABET = 40_000, 640_000, 1_200, 96
+#: Labelled documents sampled for each language, and characters of them that go into its automaton.
+TRAIN_ROWS, TRAIN_CHARS = 400, 40_000
+#: Characters after which the parse of a text also starts afresh, so that long texts run in parallel.
 BLOCK = 1024
 UNDETERMINED = "und"
+BLANK = 32
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -33,143 +37,231 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-BLANK = 32
-
-
 @functools.lru_cache(maxsize=1)
-def _folding() -> np.ndarray:
-    """For each code point its lower-case letter, or a blank where it is no letter."""
-    out = np.full(0x110000, BLANK, np.uint32)
+def _folding() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case letter, or a blank where it is neither letter nor combining
+    mark; and whether it is a letter."""
+    out, letter = np.full(0x110000, BLANK, np.uint32), np.zeros(0x110000, bool)
     for i in range(0x110000):
-        if (c := chr(i)).isalpha():
+        c = chr(i)
+        if c.isalpha():
+            letter[i] = True
             out[i] = ord(low) if len(low := c.lower()) == 1 else i
-    return out
+        elif unicodedata.category(c)[0] == "M":
+            out[i] = i
+    return out, letter
 
 
 def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts in a row, each run of other characters than letters as
-    one blank and none at a text's start, and the number of points of each text."""
+    """Lower-case code points of all texts in a row, each run of other characters than letters and
+    their marks as one blank and none at a text's start, and the number of points of each text: 0
+    for one without a letter."""
+    table, letter = _folding()
     sizes = np.array([len(t) for t in texts], np.int64)
-    points = _folding()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points, ends = table[raw], np.cumsum(sizes)
+    letters = np.concatenate([[0], np.cumsum(letter[raw])])
+    some = letters[ends] > letters[ends - sizes]
     blank = points == BLANK
     again = np.empty(len(points), bool)
     again[1:] = blank[:-1]
-    again[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    kept = ~(blank & again)
+    again[(ends - sizes)[sizes > 0]] = True
+    kept = ~(blank & again) & np.repeat(some, sizes)
     before = np.concatenate([[0], np.cumsum(kept)])
-    ends = np.cumsum(sizes)
     return points[kept], before[ends] - before[ends - sizes]
 
 
-class SuffixAutomaton:
-    """The minimal automaton of all substrings of a sequence of codes, as a dense table:
-    ``next[state, code]`` is the following state, or -1."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The minimal automaton of all substrings of a sequence of codes: for each state the following
+    state by code. State 0 is the root."""
+    follow: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
+    for c in codes:
+        new = len(follow)
+        follow.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if length[p] + 1 == length[q]:
+                link[new] = q
+            else:
+                copy = len(follow)
+                follow.append(dict(follow[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return follow
+
+
+class EdgeTable:
+    """The edges of several automata in one array, as long as there are edges, whatever the alphabet.
+
+    A state is known by its place d, different for each in its automaton. Its edge by a code stands at
+    (d + spread(code)) modulo 2 ** bits of its automaton's part, as d << 32 | place of the following
+    state. ``root`` and ``lone`` are for each automaton the places of its first state and of a further
+    one without edges.
+    """
 
-    def __init__(self, codes: list[int], alphabet: int):
-        follow: list[dict[int, int]] = [{}]
-        link, length = [-1], [0]
-        last = 0
-        for c in codes:
-            new = len(follow)
-            follow.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in follow[p]:
-                follow[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = follow[p][c]
-                if length[p] + 1 == length[q]:
-                    link[new] = q
-                else:
-                    copy = len(follow)
-                    follow.append(dict(follow[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and follow[p].get(c) == q:
-                        follow[p][c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-        self.next = np.full((len(follow), alphabet), -1, np.int32)
+    def __init__(self, automata: list[list[dict[int, int]]], codes: int):
+        most = max((max(sum(map(len, a)), len(a)) for a in automata), default=1)
+        self.bits = max(8, codes.bit_length(), (3 * most // 2).bit_length())
+        size = 1 << self.bits
+        self.mask, self.part = size - 1, np.arange(len(automata), dtype=np.int64) * size
+        self.edge = np.full(size * len(automata), -1, np.int64)
+        self.lone, self.root = np.zeros(len(automata), np.int64), np.zeros(len(automata), np.int64)
+        # different codes have different places; that of code 0 is 0
+        self.spread = ((np.arange(codes, dtype=np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(size - 1)).astype(np.int64)
+        for k, follow in enumerate(automata):
+            self._lay_out([*follow, {}], k)
+
+    def _lay_out(self, follow: list[dict[int, int]], k: int) -> None:
+        used, taken, place = bytearray(self.mask + 1), bytearray(self.mask + 1), [0] * len(follow)
+        draws, at = np.random.default_rng(0).integers(0, self.mask + 1, 1 << 20).tolist(), 0
+        spread, mask = self.spread.tolist(), self.mask
+        # states of many edges first, while there is room
+        for s in sorted(range(len(follow)), key=lambda s: -len(follow[s])):
+            steps = [spread[c] for c in follow[s]]
+            while True:
+                d = draws[at & 0xFFFFF] ^ (at >> 20)
+                at += 1
+                if not taken[d] and not any(used[(d + x) & mask] for x in steps):
+                    break
+            place[s], taken[d] = d, 1
+            for x in steps:
+                used[(d + x) & mask] = 1
+        own = self.edge[self.part[k] :]
         for s, edges in enumerate(follow):
             for c, t in edges.items():
-                self.next[s, c] = t
+                own[(place[s] + spread[c]) & mask] = place[s] << 32 | place[t]
+        self.root[k], self.lone[k] = place[0], place[-1]
+
+    def follow(self, state: np.ndarray, spread: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The following states, or -1 where there is no edge."""
+        found = np.take(self.edge, ((state + spread) & self.mask) + part, mode="clip")
+        return np.where(found >> 32 == state, found & 0xFFFFFFFF, -1)
 
 
 @dataclass
 class LanguageModel:
     """Automata of all languages in one table.
 
-    ``table[state + code]`` is the following state. Where a phrase ends before this character, it
-    is ~r, with r the state after the character that begins the next phrase. A character that occurs
-    nowhere in a language is a phrase of its own. ``roots[k]`` is the state of language k before a
-    block of text.
+    ``code`` numbers every character of the training texts, from 1; 0 is any other, by which no state
+    has an edge. ``begun[code, k]`` is the state of language k after the first character of a phrase:
+    where the language lacks it, the lone state, so that the character is a phrase of its own.
     """
 
     languages: list[str]
-    table: np.ndarray
-    roots: np.ndarray
+    edges: EdgeTable
+    begun: np.ndarray
     code: np.ndarray
 
     @classmethod
-    def train(cls, texts: dict[str, str], alphabet: int = ALPHABET) -> LanguageModel:
+    def train(cls, texts: dict[str, str]) -> LanguageModel:
         points = {k: folded([v])[0] for k, v in sorted(texts.items())}
-        counts = sum((np.bincount(p, minlength=0x110000) for p in points.values()), np.zeros(0x110000, np.int64))
-        common = np.argsort(-counts, kind="stable")[: min(alphabet, int((counts > 0).sum()))]
-        # code 0 is any other character; training texts are read without it
-        code, width = np.zeros(0x110000, np.uint8), len(common) + 1
-        code[common] = np.arange(1, width)
-        tables, roots, at = [], [], 0
-        for p in points.values():
-            codes = code[p]
-            t = SuffixAutomaton(codes[codes > 0].tolist(), width).next
-            # one state more, after a character that is a phrase alone: there every phrase is new
-            alone = len(t)
-            after = np.where(t[0] >= 0, t[0], alone)  # where a phrase stands after its first character
-            rows = np.where(t >= 0, (t + at) * width, ~((after + at) * width))
-            rows[0] = (after + at) * width  # at the root a block begins, and no phrase ends
-            tables.append(np.vstack([rows, ~((after + at) * width)[None]]).astype(np.int32))
-            roots.append(at * width)
-            at += alone + 1
-        table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        return cls(list(points), table, np.array(roots, np.int32), code)
+        known = np.unique(np.concatenate([np.zeros(0, np.uint32), *points.values()]))
+        code = np.zeros(0x110000, np.int32)
+        code[known] = np.arange(1, len(known) + 1)
+        e = EdgeTable([suffix_automaton(code[p].tolist()) for p in points.values()], len(known) + 1)
+        begun = np.empty((len(known) + 1, len(points)), np.int64)
+        for k in range(len(points)):
+            after = e.follow(e.root[k], e.spread, e.part[k])
+            begun[:, k] = np.where(after >= 0, after, e.lone[k])
+        return cls(list(points), e, begun, code)
 
     def phrases(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases that each folded text needs in each language: (texts, languages)."""
+        """Phrases that each whole folded text needs in each language: (texts, languages)."""
         codes = self.code[points]
-        begins = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(sizes)), blocks)
-        nth = np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]
-        begin = begins[owner] + nth * BLOCK
-        size = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
-        order = np.argsort(-size, kind="stable")
-        out = np.zeros((len(sizes), len(self.languages)), np.int64)
-        for a in range(0, len(order), 2048):
-            own = order[a : a + 2048]
-            np.add.at(out, owner[own], self._parse(codes, begin[own], size[own]))
+        text = np.repeat(np.arange(len(sizes)), blocks)
+        nth = np.arange(len(text)) - (np.cumsum(blocks) - blocks)[text]
+        begin = first[text] + nth * BLOCK
+        end = np.minimum(begin + BLOCK, (first + sizes)[text])
+        starts, states = self._parse(codes, begin, end - begin)
+        follows = np.flatnonzero(nth + 1 < blocks[text])
+        exits, more, lost = self._go_on(codes, starts, states, follows, end, (first + sizes)[text])
+        many = len(self.languages)
+        out = np.zeros((len(sizes), many), np.int64)
+        for k in range(many):
+            before = np.concatenate([[0], np.cumsum(starts[:, k], dtype=np.int64)])
+            entry = begin.copy()
+            entry[follows + 1] = exits[:, k]
+            own = before[end] - before[entry]
+            own[follows] += more[:, k]
+            out[:, k] = np.bincount(text, own, len(sizes))
+        # where a parse met none of the next block's boundaries, the text is parsed from its beginning
+        for i, k in sorted(set(zip(text[follows[lost // many]].tolist(), (lost % many).tolist(), strict=True))):
+            out[i, k] = self._one(codes[first[i] : first[i] + sizes[i]].tolist(), k)
         return out
 
-    def _parse(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Blocks, longest first, in step: the phrases of each in each language."""
-        n, many = len(begin), len(self.languages)
-        # step t needs character t of each block: rows of the transposed blocks
-        reach = np.minimum(begin[:, None] + np.arange(int(size[0])), len(codes) - 1)
-        steps = np.ascontiguousarray(codes[reach].T)
+    def _one(self, codes: list[int], k: int) -> int:
+        """The phrases of one text in one language, character by character."""
+        edge, spread, begun = memoryview(self.edges.edge), self.edges.spread.tolist(), self.begun[:, k].tolist()
+        mask, part, state, phrases = self.edges.mask, int(self.edges.part[k]), int(self.edges.lone[k]), 0
+        for c in codes:
+            found = edge[((state + spread[c]) & mask) + part]
+            if found >> 32 == state:
+                state = found & 0xFFFFFFFF
+            else:
+                state, phrases = begun[c], phrases + 1
+        return phrases
+
+    def _parse(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All blocks in step, each from its begin on: where a phrase starts, (characters, languages),
+        and the state of each block at its end."""
+        starts = np.zeros((len(codes), len(self.languages)), bool)
+        states = np.repeat(self.edges.lone[None, :], len(begin), axis=0)
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        if not len(begin) or not self.languages:
+            return starts, states
+        state, spread = states.copy(), self.edges.spread[codes]
         live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-        counts = np.ones((n, many), np.int32)
-        state = np.repeat(self.roots[None, :], n, axis=0)
-        at, to = np.empty((n, many), np.int64), np.empty((n, many), np.int32)
         for t, m in enumerate(live.tolist()):
-            here, next_, now = at[:m], to[:m], state[:m]
-            np.add(now, steps[t, :m, None], out=here)
-            np.take(self.table, here, out=next_, mode="clip")
-            np.right_shift(next_, 31, out=now)  # -1 where a phrase ended
-            counts[:m] -= now
-            np.bitwise_xor(next_, now, out=now)
-        return counts
+            at = begin[:m] + t
+            after = self.edges.follow(state[:m], spread[at][:, None], self.edges.part)
+            new = after < 0
+            starts[at] = new
+            np.copyto(after, np.take(self.begun, codes[at], axis=0), where=new)
+            state[:m] = after
+        states[order] = state
+        return starts, states
+
+    def _go_on(self, codes, starts, states, follows, end, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parses of the blocks ``follows``, beyond their ends, up to the first phrase start they
+        share with the next block's: its place, the phrases begun until then, and which parses
+        (block times languages plus language) found none; one that ends with its text needs none."""
+        many = len(self.languages)
+        exits, more = np.zeros((len(follows), many), np.int64), np.zeros((len(follows), many), np.int64)
+        lost = []
+        lane = np.arange(len(follows) * many)
+        at, state = np.repeat(end[follows], many), states[follows].ravel()
+        limit, close = np.repeat(end[follows + 1], many), np.repeat(last[follows], many)
+        while lane.size:
+            k, code = lane % many, codes[at]
+            after = self.edges.follow(state, self.edges.spread[code], self.edges.part[k])
+            begins = after < 0
+            met = begins & starts[at, k]
+            exits.ravel()[lane[met]] = at[met]
+            more.ravel()[lane[begins & ~met]] += 1
+            state = np.where(begins, self.begun[code, k], after)
+            at = at + 1
+            out = ~met & (at == limit)
+            exits.ravel()[lane[out]] = at[out]
+            lost.append(lane[out & (at < close)])
+            stay = ~met & ~out
+            lane, at, state, limit, close = lane[stay], at[stay], state[stay], limit[stay], close[stay]
+        return exits, more, np.concatenate([np.zeros(0, np.int64), *lost])
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and how far it leads: 1 - best / second best phrase count.
@@ -190,35 +282,29 @@ def learn(
     text_col: str = "text",
     lang_col: str = "lang",
     id_col: str = "doc_id",
+    rows: int = TRAIN_ROWS,
     chars: int = TRAIN_CHARS,
 ) -> LanguageModel:
     """Train on documents that are not held out and have a language and a text.
 
-    The sample is bounded: the beginnings (``DOC_CHARS``) of the documents with the smallest hashed
-    ids, ``chars`` characters for each language and ``ALL_TRAIN_CHARS`` in all.
+    The sample of each language is bounded: of its ``rows`` documents with the smallest hashed ids,
+    those of a sixteenth of ``chars`` at most before longer ones, whole texts are taken while they
+    hold no more than ``chars`` characters in all; the first is taken whatever its length. Every
+    character of the sample counts. The model grows with the languages times ``chars``.
     """
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    size = F.char_length("text")
     usable = usable.select(
-        F.col(lang_col).cast("string").alias("lang"),
-        F.xxhash64(F.col(id_col).cast("string")).alias("order"),
-        F.substring(text_col, 1, DOC_CHARS).alias("text"),
-    )
-    take = max(16, 4 * chars // DOC_CHARS)
-    first = Window.partitionBy("lang").orderBy("order", "text")
-    picked = usable.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= take)
-
-    def training_text(rows: pd.DataFrame) -> pd.DataFrame:
-        text, size = [], 0
-        for t in rows.sort_values(["order", "text"])["text"]:
-            text.append(t)
-            size += len(t) + 1
-            if size >= chars:
-                break
-        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "text": [" ".join(text)[:chars]]})
-
-    found = picked.groupBy("lang").applyInPandas(training_text, "lang string, text string").collect()
-    share = min(chars, ALL_TRAIN_CHARS // max(1, len(found)))
-    return LanguageModel.train({r.lang: r.text[:share] for r in found if r.text})
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).alias("text")
+    ).withColumn("long", F.when(size > chars // 16, size).otherwise(0))
+    first = Window.partitionBy("lang").orderBy("long", "order", "text")
+    picked = usable.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    total = F.sum(size + 1).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    found = picked.withColumn("total", total).where((F.col("total") <= chars) | (F.col("rank") == 1)).select("lang", "rank", "text").collect()
+    texts: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r["rank"])):
+        texts.setdefault(r.lang, []).append(r.text)
+    return LanguageModel.train({k: " ".join(v) for k, v in texts.items()})
 
 
 def identify(

@@ -3,8 +3,9 @@
 A source's repetition rate is its target share of the wanted number of documents over the documents
 it has. Each document's count is a Poisson variate with that mean, found by inverting the
 distribution at a uniform number hashed from the seed and the document; the document is exploded by
-its count, and the copies are shuffled globally by a second hash. Every number follows from the seed
-and the document alone, so a lost task that runs again gives the same rows.
+its count, and the copies are shuffled globally: a second uniform number is each copy's place, and
+the partitions hold equal ranges of places in ascending order. Every number follows from the seed and
+the document alone, so a lost task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -33,17 +34,23 @@ def rates(docs: DataFrame, source_col: str = "source", power: float = POWER, tar
     """``source, n, rate, parts, cdf``: documents, repetition rate and cumulative distribution.
 
     ``targets`` (``source, weight``) sets the weights; without it they are ``n ** power``. The mix
-    keeps the number of documents. A source that is absent from ``targets`` gets no weight. A rate
-    above PART_MEAN is the sum of ``parts`` equal ones, whose table stays short.
+    keeps the number of documents. A source that is absent from ``targets`` gets no weight; one that
+    stands there twice, and a weight that is null, negative or not finite, is an error. A rate above
+    PART_MEAN is the sum of ``parts`` equal ones, whose table stays short.
     """
     counted = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
         weighted = counted.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
-        given = targets.select(F.col("source").alias("given"), F.col("weight").cast("double").alias("weight"))
+        given = materialise(targets.select(F.col("source").alias("given"), F.col("weight").cast("double").alias("weight")), "mix-targets")
+        wrong = F.col("weight").isNull() | ~F.coalesce(F.col("weight").between(0.0, 1.7e308), F.lit(False))
+        if not given.where(wrong).isEmpty():
+            raise ValueError("a target weight is null, negative or not finite")
+        if not given.groupBy("given").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise ValueError("a source has two target weights")
         weighted = counted.join(given, F.col("source").eqNullSafe(F.col("given")), "left").drop("given").fillna(0.0, ["weight"])
     weighted = materialise(weighted, "mix-weights")
-    totals = weighted.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows"))
+    weights, rows = weighted.agg(F.sum("weight"), F.sum("n")).first()
     mean = F.col("rate") / F.col("parts")
     # p(0..k) by the recursion p(k) = p(k - 1) * mean / k, summed as it goes
     steps = F.aggregate(
@@ -56,8 +63,7 @@ def rates(docs: DataFrame, source_col: str = "source", power: float = POWER, tar
         lambda acc: acc["cdf"],
     )
     return (
-        weighted.join(F.broadcast(totals))
-        .withColumn("rate", F.coalesce(F.col("rows") * F.col("weight") / F.nullif(F.col("weights"), F.lit(0.0)) / F.col("n"), F.lit(0.0)))
+        weighted.withColumn("rate", F.lit(float(rows)) * F.col("weight") / F.lit(float(weights)) / F.col("n") if weights else F.lit(0.0))
         .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int"))
         .select("source", "n", "rate", "parts", steps.alias("cdf"))
     )
@@ -82,10 +88,10 @@ def mix(
 ) -> DataFrame:
     """The rows of ``docs``, each repeated by its Poisson count, in a global random order.
 
-    Adds ``mix_copy`` (0 for the first copy), ``mix_rate`` and ``mix_order``, a uniform number that
-    deals the copies out to partitions at random and orders them; any column of these names in
-    ``docs`` is replaced. A null source is a source of its own. Rows that repeat an id get the same
-    count. An empty table gives an empty result.
+    Adds ``mix_copy`` (0 for the first copy), ``mix_rate`` and ``mix_order``, a uniform number by which
+    the result is ordered, from its first partition to its last; equal numbers go by id and copy. Any
+    column of these names in ``docs`` is replaced. A null source is a source of its own. Rows that
+    repeat an id get the same count. An empty table gives an empty result.
     """
     docs = docs.drop("mix_copy", "mix_rate", "mix_order")
     columns = docs.columns
@@ -97,11 +103,14 @@ def mix(
         lambda total, part: total
         + F.size(F.filter("__mix_cdf", lambda c: c < uniform(*own, F.lit("count"), part.cast("string")))),
     )
+    # places are uniform, so equal ranges of them hold about equally many rows: no sample is needed
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.withColumn("__mix_count", count)
         .where("__mix_count > 0")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_count") - 1)))
-        .withColumn("mix_order", F.round(uniform(*own, F.lit("order"), F.col("mix_copy").cast("string")), 12))
+        .withColumn("mix_order", uniform(*own, F.lit("order"), F.col("mix_copy").cast("string")))
         .select(*columns, F.col("__mix_rate").alias("mix_rate"), "mix_copy", "mix_order")
-        .repartition("mix_order")
+        .repartitionById(parts, F.floor(F.col("mix_order") * parts).cast("int"))
+        .sortWithinPartitions("mix_order", id_col, "mix_copy")
     )

@@ -39,8 +39,11 @@ from gapbook.llm.components import connected_components
 
 #: Words in a shingle and percent of the union, as in the near-duplicate stages by default.
 WORDS, AT_LEAST = 5, 80
-#: Classes in a tile; bits of a bitmap signature for each element, and at least.
-TILE, LOAD, LEAST_BITS = 512, 8, 256
+#: Classes and elements of their sets in a tile at most (a larger set has one of its own); bits of a
+#: bitmap signature for each element, and at least.
+TILE, ELEMENTS, LOAD, LEAST_BITS = 512, 1 << 22, 8, 256
+#: Parts into which the sets of one size in a group are dealt before they are numbered.
+SALTS = 64
 #: Keys a map task holds before it passes them on; rows of ids that are broadcast at most.
 HELD_KEYS, BROADCAST_ROWS = 1 << 20, 1_000_000
 #: Up to so many parts none is spared for being empty.
@@ -91,8 +94,12 @@ def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]
     # a word's hash: a polynomial in its mixed bytes, by position from its start
     at = np.zeros(len(data), np.int64)
     at[begins[0] :] = np.arange(begins[0], len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
-    power = _powers(min(int(at.max()) + 1, 1 << 16), _POW)
-    terms = np.where(solid, _BYTE[data] * power[at & 0xFFFF] + (at >> 16).astype(np.uint64), np.uint64(0))
+    longest = int(at.max())
+    power = _powers(min(longest + 1, 1 << 16), _POW)
+    terms = np.where(solid, _BYTE[data] * power[at & 0xFFFF], np.uint64(0))
+    if longest >> 16:
+        # the power of a far place is that of its multiple of 65,536 times that of the rest
+        terms *= _powers((longest >> 16) + 1, (power[-1:] * _POW)[0])[at >> 16]
     word = _mix(np.add.reduceat(terms, begins) + (ends - begins).astype(np.uint64))
     counts = np.searchsorted(begins, offsets[1:]) - np.searchsorted(begins, offsets[:-1])
     first = np.cumsum(counts) - counts
@@ -371,8 +378,8 @@ def _signatures(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _set_rows(rows: DataFrame, words: int) -> DataFrame:
-    """``doc_id, group, n, hash1, hash2, set`` of ``doc_id, group, text``: the sorted set as bytes, or
-    null where an equal set of a smaller id stands in the same batch."""
+    """``doc_id, group, n, hash1, hash2, lead, set`` of ``doc_id, group, text``: the smallest id of an
+    equal set in the same batch, and the sorted set as bytes, or null where that is another's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -390,25 +397,30 @@ def _set_rows(rows: DataFrame, words: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(one),
                     pa.array(two),
+                    pa.array([ids[kept[one[k], two[k], len(s)]] for k, s in enumerate(sets)], pa.int64()),
                     pa.array([s.tobytes() if k in chosen else None for k, s in enumerate(sets)], pa.binary()),
                 ],
-                ["doc_id", "group", "n", "hash1", "hash2", "set"],
+                ["doc_id", "group", "n", "hash1", "hash2", "lead", "set"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, group long, n long, hash1 long, hash2 long, set binary")
+    return rows.mapInArrow(run, "doc_id long, group long, n long, hash1 long, hash2 long, lead long, set binary")
 
 
 def _tile_pairs(classes: DataFrame, at_least: int, tile: int) -> DataFrame:
     """``doc_id, group, x, y, side``: each row of ``doc_id, group, n`` once for every pair of tiles it
     takes part in. Tiles hold neighbouring sizes; pairs come from the tiles' ranges of sizes."""
-    # places by size without a window over a whole group: counts per size, then places inside a size
-    sized = classes.groupBy("group", "n").agg(F.count(F.lit(1)).alias("rows"))
-    below = Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.select("group", "n", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("below"))
-    same = Window.partitionBy("group", "n").orderBy("doc_id")
-    placed = classes.withColumn("nth", F.row_number().over(same) - 1).join(sized, ["group", "n"])
+    # places by size without a window over a whole group, nor over all of one size: counts of each size
+    # and part, then places inside these. A set weighs as much as its elements, and a tile's share at least.
+    share = max(1, ELEMENTS // tile)
+    weight = F.greatest(F.col("n"), F.lit(share))
+    dealt = classes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    sized = dealt.groupBy("group", "n", "salt").agg((F.count(F.lit(1)) * weight).alias("weight"))
+    below = Window.partitionBy("group").orderBy("n", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.select("group", "n", "salt", F.coalesce(F.sum("weight").over(below), F.lit(0)).alias("below"))
+    same = Window.partitionBy("group", "n", "salt").orderBy("doc_id")
+    placed = dealt.withColumn("nth", F.row_number().over(same) - 1).join(sized, ["group", "n", "salt"])
     placed = materialise(
-        placed.select("doc_id", "group", "n", F.floor((F.col("below") + F.col("nth")) / tile).alias("tile")), "tiles"
+        placed.select("doc_id", "group", "n", F.floor((F.col("below") + F.col("nth") * weight) / (share * tile)).alias("tile")), "tiles"
     )
     spans = placed.groupBy("group", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = spans.select("group", F.col("tile").alias("y"), F.col("least").alias("y_least"))
@@ -481,9 +493,12 @@ def jaccard_links(rows: DataFrame, words: int, at_least: int, tile: int = TILE)
     groups = _candidate_groups(rows, words, at_least, tile)
     chosen = rows.join(_small(groups), "doc_id").select("doc_id", "group", "text")
     sets = materialise(_set_rows(chosen, words), "shingle-sets")
+    # rows meet in their batch first, so a large class is as many rows here as batches hold it
     same = ["group", "hash1", "hash2", "n"]
-    leaders = sets.groupBy(*same).agg(F.min("doc_id").alias("class"))
-    members = sets.select("doc_id", *same).join(leaders, same).select("doc_id", "class").distinct()
+    heads = sets.where("set is not null").select(F.col("doc_id").alias("lead"), *same)
+    leaders = heads.groupBy(*same).agg(F.min("lead").alias("class"))
+    classes = heads.join(leaders, same).select("lead", "hash1", "class").distinct()
+    members = sets.select("doc_id", "lead", "hash1").join(classes, ["lead", "hash1"]).select("doc_id", "class").distinct()
     leaders = leaders.select(F.col("class").alias("doc_id"), "group", "n")
     pairs = materialise(_tile_pairs(materialise(leaders, "shingle-classes"), at_least, tile), "tile-pairs")
     return members, _decide(sets.where("set is not null"), pairs, "set", at_least)

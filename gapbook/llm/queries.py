@@ -106,40 +106,42 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.to_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.id = d.doc_id GROUP BY d.doc_id"""
 
 
+#: Levels of the path tree that the SQL spells out; the tables' paths are no deeper.
+SQL_DEPTH = 5
+
+
 def _op6() -> str:
     rules = [(v, *r.partition("/")[::2], r) for v, r in url_filter.RULES]
     values = ", ".join(f"('{v}', '{h}', '/{p}', '{r}')" for v, h, p, r in rules)
-    depth, many, rare = url_filter.DEPTH, url_filter.MANY, url_filter.RARE
-    levels = "".join(
-        f"""
-g{k} AS (SELECT t.host, t.raw, CASE WHEN r.rare THEN list_concat(t.template[1:{k - 1}], ['*'], t.template[{k + 1}:]) ELSE t.template END AS template, t.pages, t.labelled, t.bad
-  FROM g{k - 1} t LEFT JOIN (SELECT n.host, n.above, n.here, true AS rare FROM n{k} n
-      JOIN (SELECT host, above, count(*) AS siblings, sum(n) AS total FROM n{k} GROUP BY 1, 2) p ON n.host = p.host AND n.above = p.above WHERE siblings > {many} AND n < {rare} * total) r
-    ON r.host = t.host AND r.above = t.template[1:{k - 1}] AND r.here = t.template[{k}]),"""
-        for k in range(1, depth + 1)
-    )
-    # the nodes of each level come before the templates that rest on them
-    for k in range(1, depth + 1):
-        levels = levels.replace(f"\ng{k} AS", f"\nn{k} AS (SELECT host, template[1:{k - 1}] AS above, template[{k}] AS here, sum(pages) AS n FROM g{k - 1} WHERE template[{k}] IS NOT NULL GROUP BY 1, 2, 3),\ng{k} AS")
+    down = up = ""
+    for k in range(1, SQL_DEPTH + 1):
+        star = f"list_concat(list_append(t.t[1:{k - 1}], '*'), t.t[{k + 1}:])"
+        down += f"""
+n{k} AS (SELECT host, t[1:{k - 1}] AS above, t[{k}] AS here, count(*) AS n FROM g{k - 1} WHERE t[{k}] IS NOT NULL GROUP BY 1, 2, 3),
+w{k} AS (SELECT host, above, here FROM (SELECT *, count(*) OVER s AS siblings, sum(n) OVER s AS pages FROM n{k} WINDOW s AS (PARTITION BY host, above))
+  WHERE siblings >= {url_filter.MANY} AND n * siblings <= pages AND n < {url_filter.ENOUGH}),
+g{k} AS (SELECT t.* REPLACE (CASE WHEN w.here IS NOT NULL THEN {star} ELSE t.t END AS t) FROM g{k - 1} t LEFT JOIN w{k} w ON w.host = t.host AND w.above = t.t[1:{k - 1}] AND w.here = t.t[{k}]),"""
+    for k in range(SQL_DEPTH, 0, -1):
+        star = f"list_concat(list_append(t.t[1:{k - 1}], '*'), t.t[{k + 1}:])"
+        up += f"""
+o{k} AS (SELECT *, sum(n) OVER s AS pn, sum(b) OVER s AS pb FROM (SELECT host, t[1:{k - 1}] AS above, t[{k}] AS here, sum(n) AS n, sum(b) AS b FROM m{k} WHERE t[{k}] IS NOT NULL GROUP BY 1, 2, 3) WINDOW s AS (PARTITION BY host, above)),
+e{k} AS (SELECT *, pb / nullif(pn, 0) AS share, sqrt(pb / nullif(pn, 0) * (1 - pb / nullif(pn, 0)) * (1 / nullif(n, 0) + 1 / nullif(pn - n, 0))) AS error FROM o{k}),
+a{k} AS (SELECT host, above, here FROM e{k} WHERE n >= {url_filter.LEAST} AND error > 0 AND abs(b / nullif(n, 0) - (pb - b) / nullif(pn - n, 0)) > {url_filter.Z} * error),
+m{k - 1} AS (SELECT t.* REPLACE (CASE WHEN t.t[{k}] IS NOT NULL AND a.here IS NULL THEN {star} ELSE t.t END AS t) FROM m{k} t LEFT JOIN a{k} a ON a.host = t.host AND a.above = t.t[1:{k - 1}] AND a.here = t.t[{k}]),"""
     return rf"""
 WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS rawhost, rest FROM u),
 p AS (SELECT page_id, url, translate(rawhost, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(rawhost) + 1), '^[^?#]*') AS path FROM h),
-q AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)?$') ELSE s END) AS parts FROM p),
-rows AS (SELECT page_id, url, host, path, CASE WHEN len(parts) > {depth} THEN list_append(parts[1:{depth}], '**') ELSE parts END AS raw FROM q),
-lab AS (SELECT page_id, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad FROM rows r JOIN labels l ON l.doc_id = try_cast(regexp_extract(r.url, '/([0-9]+)', 1) AS BIGINT)),
-g0 AS (SELECT host, raw, raw AS template, count(*) AS pages, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM rows r LEFT JOIN (SELECT page_id, max(bad) AS bad FROM lab GROUP BY 1) b ON r.page_id = b.page_id GROUP BY 1, 2),{levels}
-nodes AS (SELECT host, template, template[1:greatest(len(template) - 1, 0)] AS parent, sum(labelled) AS n, sum(bad) AS b FROM g{depth} GROUP BY 1, 2),
-pool AS (SELECT host, parent, sum(n) AS pn, sum(b) AS pb FROM nodes GROUP BY 1, 2),
-tested AS (SELECT o.host, o.template, o.parent, o.n, o.b, pn - n AS onn, pb - b AS ob, pb / nullif(pn, 0) AS share FROM nodes o JOIN pool l ON o.host = l.host AND o.parent = l.parent),
-branch AS (SELECT *, CASE WHEN coalesce(sqrt(share * (1 - share) * (1 / nullif(n, 0) + 1 / nullif(onn, 0))) > 0 AND abs(b / nullif(n, 0) - ob / nullif(onn, 0)) > {url_filter.Z} * sqrt(share * (1 - share) * (1 / nullif(n, 0) + 1 / nullif(onn, 0))), false)
-    THEN template ELSE list_append(parent, '*') END AS branch FROM tested),
-pure AS (SELECT host, branch, 1 - (sum(b) + {url_filter.PRIOR} * (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) FROM branch)) / (sum(n) + {url_filter.PRIOR}) AS purity FROM branch GROUP BY 1, 2),
-fit AS (SELECT r.page_id, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict FROM rows r JOIN (VALUES {values}) AS v(verdict, rhost, rpath, rule)
+lab AS (SELECT page_id, max(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END) AS bad FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) GROUP BY 1),
+g0 AS (SELECT p.page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS t FROM p LEFT JOIN lab ON lab.page_id = p.page_id),{down}
+m{SQL_DEPTH} AS (SELECT host, t AS raw, t, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM g{SQL_DEPTH} GROUP BY 1, 2),{up}
+base AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS share FROM m0),
+pure AS (SELECT host, t, 1 - (sum(b) + {url_filter.PRIOR} * any_value(share)) / (sum(n) + {url_filter.PRIOR}) AS purity,
+  any_value(share) > 0 AND (sum(b) + {url_filter.PRIOR} * any_value(share)) / (sum(n) + {url_filter.PRIOR}) >= {url_filter.LIFT} * any_value(share) AS rejected FROM m0, base GROUP BY 1, 2),
+fit AS (SELECT r.page_id, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict FROM g0 r JOIN (VALUES {values}) AS v(verdict, rhost, rpath, rule)
   ON (r.host = v.rhost OR ends_with(r.host, '.' || v.rhost)) AND starts_with(r.path, v.rpath) GROUP BY r.page_id)
-SELECT r.page_id, r.host, r.path, f.rule, coalesce(f.verdict, CASE WHEN purity < {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(b.branch, '/') AS template, round(purity, 9) AS purity
-FROM rows r LEFT JOIN fit f ON f.page_id = r.page_id LEFT JOIN g{depth} t ON t.host = r.host AND t.raw = r.raw LEFT JOIN branch b ON b.host = t.host AND b.template = t.template
-  LEFT JOIN pure ON pure.host = b.host AND pure.branch = b.branch"""
+SELECT r.page_id, r.host, r.path, f.rule, coalesce(f.verdict, CASE WHEN pure.rejected THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(m.t, '/') AS template, round(purity, 9) AS purity
+FROM g{SQL_DEPTH} r LEFT JOIN fit f ON f.page_id = r.page_id LEFT JOIN m0 m ON m.host = r.host AND m.raw = r.t LEFT JOIN pure ON pure.host = m.host AND pure.t = m.t"""
 
 
 def _uniform(text: str) -> str:
@@ -154,14 +156,19 @@ f AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PART
 d AS (SELECT *, {_uniform(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|count|1'")} AS u FROM documents),
 m AS (SELECT d.* EXCLUDE (u), rate, (SELECT count(*) FROM f WHERE f.source = d.source AND cdf < u) AS copies FROM d JOIN r ON r.source = d.source)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, CAST(copy AS INTEGER) AS mix_copy,
-  round({_uniform(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|order|' || copy")}, 12) AS mix_order
+  {_uniform(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|order|' || copy")} AS mix_order
 FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS copy FROM m WHERE copies > 0)"""
 
 
 def _op9() -> str:
     lanes = ", ".join(f"coalesce(sum((bits >> {i}) & 1), 0)" for i in range(fingerprint.LANES))
+    wide = ", ".join(f"coalesce(sum(CAST('0x' || substr(sha256(p), {8 * i + 1}, 8) AS BIGINT)), 0) % {fingerprint.WIDE_MOD}" for i in range(fingerprint.WIDE))
+
+    def hexes(name: str) -> str:
+        return f"array_to_string(list_transform({name}, lambda x: printf('%X', x)), '.')"
+
     def shown(v: str) -> str:
-        return f"printf('%X', {v}.pieces) || '-' || printf('%X', {v}.a) || '-' || printf('%X', {v}.b) || '-' || array_to_string(list_transform({v}.lanes, lambda x: printf('%X', x)), '.')"
+        return f"printf('%X', {v}.pieces) || '-' || {hexes(v + '.wide')} || '-' || {hexes(v + '.lanes')}"
 
     def centred(v: str) -> str:
         return f"list_transform({v}.lanes, lambda x: CAST(2 * x - {v}.pieces AS DOUBLE))"
@@ -169,17 +176,18 @@ def _op9() -> str:
     def near(x: str, y: str) -> str:
         dot = f"list_dot_product({centred(x)}, {centred(y)})"
         norm = f"sqrt(list_dot_product({centred(x)}, {centred(x)})) * sqrt(list_dot_product({centred(y)}, {centred(y)}))"
-        same = f"{x}.pieces = {y}.pieces AND {x}.a = {y}.a AND {x}.b = {y}.b AND {x}.lanes = {y}.lanes"
-        return f"round(CASE WHEN {same} THEN 1.0 WHEN {norm} > 0 THEN greatest(0.0, least(1.0, {dot} / ({norm}))) ELSE 0.0 END, 9)"
+        same = f"{x}.pieces = {y}.pieces AND {x}.wide = {y}.wide AND {x}.lanes = {y}.lanes"
+        return f"round(CASE WHEN {same} THEN 1.0 WHEN {norm} > 0 THEN greatest(0.0, least({fingerprint.MOST_UNEQUAL}, {dot} / ({norm}))) ELSE 0.0 END, 9)"
 
     return rf"""
 WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next_id FROM documents),
 e AS (SELECT d.*, substr(d.text, 1, d.n - d.n // 4) || substr(x.text, 1, d.n // 4) AS edited FROM d JOIN d x ON x.id = d.next_id),
 t AS (SELECT id, 0 AS which, text AS t FROM e UNION ALL SELECT id, 1, edited FROM e),
-m AS (SELECT id, which, md5(unnest(regexp_extract_all(t, '{fingerprint._PIECE}'))) AS digest FROM t),
-v AS (SELECT id, which, CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS bits, CAST('0x' || substr(digest, 16, 10) AS BIGINT) AS a, CAST('0x' || substr(digest, 26, 7) AS BIGINT) AS b FROM m),
-f AS (SELECT t.id, t.which, count(bits) AS pieces, CAST(coalesce(sum(a), 0) % {fingerprint.WIDE_A_MOD} AS BIGINT) AS a, CAST(coalesce(sum(b), 0) % {fingerprint.WIDE_B_MOD} AS BIGINT) AS b,
-    CAST([{lanes}] AS BIGINT[]) AS lanes FROM t LEFT JOIN v ON v.id = t.id AND v.which = t.which GROUP BY 1, 2)
+m AS (SELECT id, which, CAST('0x' || substr(md5(unnest(regexp_extract_all(t, '{fingerprint._PIECE}'))), 1, 15) AS BIGINT) AS bits FROM t),
+v AS (SELECT id, which, count(*) AS pieces, CAST([{lanes}] AS BIGINT[]) AS lanes FROM m GROUP BY 1, 2),
+w AS (SELECT id, which, CAST([{wide}] AS BIGINT[]) AS wide FROM (SELECT id, which, unnest(regexp_extract_all(t, '{fingerprint._PARAGRAPH}')) AS p FROM t) GROUP BY 1, 2),
+f AS (SELECT t.id, t.which, coalesce(v.pieces, 0) AS pieces, coalesce(v.lanes, CAST(list_transform(range({fingerprint.LANES}), lambda x: 0) AS BIGINT[])) AS lanes,
+    coalesce(w.wide, CAST(list_transform(range({fingerprint.WIDE}), lambda x: 0) AS BIGINT[])) AS wide FROM t LEFT JOIN v ON v.id = t.id AND v.which = t.which LEFT JOIN w ON w.id = t.id AND w.which = t.which)
 SELECT e.id AS doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, {shown("o")} AS fingerprint, {shown("c")} AS edited_fingerprint, {near("o", "c")} AS near_edited, {near("o", "x")} AS near_next
 FROM e JOIN f o ON o.id = e.id AND o.which = 0 JOIN f c ON c.id = e.id AND c.which = 1 JOIN f x ON x.id = e.next_id AND x.which = 0"""
 

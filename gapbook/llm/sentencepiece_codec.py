@@ -10,6 +10,7 @@ every text: a marker character that stands in the text itself is encoded as byte
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +25,11 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Zipf-Mandelbrot shift of the log scores, and what an uncovered character costs below the least.
 SHIFT, UNKNOWN = 2.7, 10.0
-#: Remembered stretches in each Python worker; longer ones than WIDE are split one by one.
-MEMORY, WIDE = 300_000, 256
+#: Bytes of remembered stretches in each Python worker (the memory starts anew when it is full), and
+#: characters of one that is remembered at most; parts longer than WIDE are split one by one.
+MEMORY, MEMORABLE, WIDE = 128 << 20, 64, 256
+#: Characters whose pieces are looked up together.
+WINDOW = 1 << 16
 
 _STRETCH = re.compile(r" *[^ ]+| +")
 
@@ -130,6 +134,7 @@ class Codec:
     pieces: Pieces
     trie: DoubleArray
     known: dict[str, bytes] = field(default_factory=dict)
+    held: int = 0
 
     @classmethod
     def of(cls, pieces: Pieces) -> Codec:
@@ -139,7 +144,7 @@ class Codec:
         return codec
 
     def __getstate__(self):
-        return {"pieces": self.pieces, "trie": self.trie, "known": {}}
+        return {"pieces": self.pieces, "trie": self.trie, "known": {}, "held": 0}
 
     def __post_init__(self):
         self.unknown = float(self.pieces.scores[self.pieces.normal].min()) - UNKNOWN
@@ -168,22 +173,61 @@ class Codec:
         """All ids in a row, and where each text's ids begin and end."""
         cut = [self.stretches(t) for t in texts]
         words = set().union(*cut)
-        if len(self.known) > MEMORY:
-            self.known = {}
-        if new := words - self.known.keys():
-            self._learn(list(new))
-        look = self.known.__getitem__
+        if self.held > MEMORY:
+            self.known, self.held = {}, 0
+        once = self._split([w for w in words if w not in self.known])
+        look = ({w: once[w] if w in once else self.known[w] for w in words} if once else self.known).__getitem__
         parts = [b"".join(map(look, c)) for c in cut]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
         return np.frombuffer(b"".join(parts), np.int32), ends
 
-    def _learn(self, words: list[str]) -> None:
-        near = [w for w in words if len(w) <= WIDE]
+    def _split(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new stretches: short ones are remembered, the others come back."""
+        near, once = [w for w in words if len(w) <= WIDE], {}
         for a in range(0, len(near), 20_000):
-            self._split_together(near[a : a + 20_000])
+            for w, ids in self._split_together(near[a : a + 20_000]).items():
+                if len(w) > MEMORABLE:
+                    once[w] = ids
+                else:
+                    self.known[w] = ids
+                    self.held += 200 + 4 * len(w) + len(ids)
         for w in words:
             if len(w) > WIDE:
-                self.known[w] = self._as_ids(w, self._split_alone(w))
+                once[w] = self._split_long(w)
+        return once
+
+    def _split_long(self, word: str) -> bytes:
+        """A long stretch is cut where no piece goes across: every split goes through these places, so
+        the parts are split alone."""
+        ends = self._cuts(word)
+        parts = [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
+        short = list({p for p in parts if len(p) <= WIDE})
+        found: dict[str, bytes] = {}
+        for a in range(0, len(short), 20_000):
+            found |= self._split_together(short[a : a + 20_000])
+        return b"".join(found[p] if p in found else self._as_ids(p, self._split_alone(p)) for p in parts)
+
+    def _cuts(self, word: str) -> list[int]:
+        """Places inside the stretch that no piece of it goes across."""
+        t, n = self.trie, len(word)
+        codes = t.code[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        across = np.zeros(n + 1, np.int32)
+        for low in range(0, n, WINDOW):
+            at, node = np.arange(low, min(n, low + WINDOW)), np.zeros(min(WINDOW, n - low), np.int64)
+            for k in range(t.longest):
+                inside = at + k < n
+                at, node = at[inside], node[inside]
+                c = codes[at + k]
+                child = t.base[node] + c
+                fits = (c > 0) & (t.check[child] == node)
+                at, node = at[fits], child[fits]
+                if not at.size:
+                    break
+                ends = at[t.value[node] >= 0]
+                if k:
+                    np.add.at(across, ends + 1, 1)
+                    np.add.at(across, ends + k + 1, -1)
+        return (np.flatnonzero(np.cumsum(across[1:n]) == 0) + 1).tolist()
 
     def _as_ids(self, word: str, found: list[tuple[int, int]]) -> bytes:
         """Ids of (start, id) pairs; id -1 is a character without a piece."""
@@ -200,7 +244,9 @@ class Codec:
             self.lists = t.base.tolist(), t.check.tolist(), t.value.tolist(), self.pieces.scores.tolist()
         base, check, value, scores = self.lists
         n = len(word)
-        best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
+        # of each place: the best sum, the piece that ends there and its length
+        best, piece, size = array("d", [-np.inf]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [1]) * (n + 1)
+        best[0] = 0.0
         for i in range(n):
             node, k, here, single = 0, i, best[i], False
             while k < n and codes[k]:
@@ -211,16 +257,16 @@ class Codec:
                 if value[node] >= 0:
                     single |= k == i + 1
                     if (s := here + scores[value[node]]) > best[k]:
-                        best[k], back[k] = s, (i, value[node])
+                        best[k], piece[k], size[k] = s, value[node], k - i
             if not single and (s := here + self.unknown) > best[i + 1]:
-                best[i + 1], back[i + 1] = s, (i, -1)
+                best[i + 1], piece[i + 1], size[i + 1] = s, -1, 1
         out, at = [], n
         while at:
-            out.append(back[at])
-            at = back[at][0]
+            out.append((at - size[at], piece[at]))
+            at -= size[at]
         return out[::-1]
 
-    def _split_together(self, words: list[str]) -> None:
+    def _split_together(self, words: list[str]) -> dict[str, bytes]:
         """Viterbi along many short stretches in step."""
         t, sizes = self.trie, np.array([len(w) for w in words], np.int64)
         codes = t.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -275,13 +321,14 @@ class Codec:
         ids = piece[edge].astype(np.int32)
         ends = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
         odd = set(owner[ids < 0].tolist())
-        raw = ids.tobytes()
+        raw, out = ids.tobytes(), {}
         for k, w in enumerate(words):
             a, b = ends[k], ends[k + 1]
             if k in odd:
-                self.known[w] = self._as_ids(w, list(zip((start[edge[a:b]] - first[k]).tolist(), ids[a:b].tolist(), strict=True)))
+                out[w] = self._as_ids(w, list(zip((start[edge[a:b]] - first[k]).tolist(), ids[a:b].tolist(), strict=True)))
             else:
-                self.known[w] = raw[4 * a : 4 * b]
+                out[w] = raw[4 * a : 4 * b]
+        return out
 
     # -- decoding
 

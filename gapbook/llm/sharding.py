@@ -51,7 +51,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
     of the text (none for null) plus 8; ``law`` is ``key``; ``slot`` runs from 0 in each shard by id,
     then crc, then size (rows equal in all three are alike, so their order is immaterial);
     ``grown_shard`` is the shard if there were one more. The crc of a null text is that of an empty
-    one. A null id hashes as a key of its own. Other columns are ignored.
+    one. All null ids share a key and a shard, where they stand first. Other columns are ignored.
     """
     data = text_or_empty(text_col).cast("binary")
     rows = docs.select(
@@ -65,7 +65,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
         "text_crc32",
         shard_of(F.col("key"), shards).alias("shard"),
         shard_of(F.col("key"), shards + 1).alias("grown_shard"),
-        F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62))).cast("long").alias("block"),
+        # rows without an id stand before all others, in blocks by the first bits of their crc
+        F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62)) + F.shiftright("text_crc32", 16)).cast("long").alias("block"),
     )
     rows = materialise(rows, "shard")
     before = (

@@ -3,14 +3,18 @@
 A huge document is encoded in overlapping chunks with offsets. Two neighbouring encodings are
 spliced where both have token boundaries at the same places for a run of tokens inside the overlap
 and one of these places is a proven boundary of the pre-tokeniser; while there is none, the overlap
-is widened, up to the rest of the text. An ordinary document is a single chunk: its stable
-boundaries are known beforehand (before any single space that a non-blank follows), so equal pieces
-between them are encoded once and remembered.
+is widened, up to the whole chunk, and then the chunk is doubled. An ordinary document is a single
+chunk: its stable boundaries are known beforehand (before any single space that a non-blank follows),
+so equal pieces between them are encoded once and remembered.
+
+Boundaries are proven for byte-level tokenizers without a normaliser or a prefix space. Any other
+tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,16 +28,25 @@ from gapbook.llm.common import sliced, text_or_empty
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Texts of more characters are encoded in chunks of so many, overlapping by OVERLAP.
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 OVERLAP = 256
 #: Tokens that must agree on both sides of a splice.
 RUN = 4
-#: Remembered pieces in each Python worker; the memory starts anew when it is full.
-MEMORY = 500_000
+#: Bytes of remembered pieces in each Python worker (the memory starts anew when it is full), and
+#: characters of a piece that is remembered at most.
+MEMORY, MEMORABLE = 64 << 20, 64
 
 
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 _PIECES = re.compile(r"(?: (?=\S))?(?:[^ ]| (?!\S))*", re.DOTALL)
+_LETTER = r"a-zA-Z\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARK = r"!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1f"
+#: Where the pre-tokeniser always cuts: before a space that a non-blank follows, before and after any
+#: other last blank of a run, before the first blank of a run, and where a letter meets a digit or a
+#: sign follows either. Letters and signs are such that all Unicode tables know.
+_PROVEN = re.compile(
+    rf" (?=\S)|(?<=\S)[\n\t]|(?<=[\n\t])\S|(?<=[{_LETTER}])[0-9]|(?<=[0-9])[{_LETTER}]|(?<=[{_LETTER}0-9])[{_MARK}]"
+)
 
 
 def _alphabet() -> dict[int, str]:
@@ -57,7 +70,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class ChunkedCounter:
-    """Counts tokens of a ``tokenizers`` tokenizer whose pre-tokeniser is the byte-level one."""
+    """Counts tokens of a ``tokenizers`` tokenizer."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
@@ -66,14 +79,34 @@ class ChunkedCounter:
         self.tok = Tokenizer.from_file(path)
         self.chunk, self.overlap, self.run = chunk, overlap, run
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.provable = self._provable()
         self.alphabet = _alphabet()
-        self.known: dict[str, int] = {"": 0}
-        self.widened = 0
+        self.known: dict[str, int] = {}
+        self.held = self.widened = self.spliced = 0
+        self.tok.no_truncation()
+        self.tok.no_padding()
+
+    def _provable(self) -> bool:
+        """Whether this is a tokenizer for which ``_PROVEN`` holds."""
+        made = json.loads(self.tok.to_str())
+        before, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made.get("added_tokens") or ())
+        return (
+            plain
+            and made.get("normalizer") is None
+            and before.get("type") == "ByteLevel"
+            and not before.get("add_prefix_space")
+            and before.get("use_regex", True)
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
+        )
 
     def encode(self, text: str):
         return self.tok.encode(text, add_special_tokens=False)
 
     def counts(self, texts: list[str]) -> list[int]:
+        if not self.provable:
+            return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         out = [0] * len(texts)
         split: dict[int, list[str]] = {}
         for k, text in enumerate(texts):
@@ -83,10 +116,9 @@ class ChunkedCounter:
                 out[k] = len(self.encode(text))
             elif text:
                 split[k] = self.pieces(text)
-        self._learn(set().union(*split.values()))
-        known = self.known
+        lengths = self._lengths(set().union(*split.values()))
         for k, pieces in split.items():
-            out[k] = sum(map(known.__getitem__, pieces))
+            out[k] = sum(map(lengths.__getitem__, pieces))
         return out
 
     @staticmethod
@@ -97,31 +129,39 @@ class ChunkedCounter:
             return [head, *map(" ".__add__, rest)]
         return _PIECES.findall(text)
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > MEMORY:
-            self.known = {"": 0}
-        new = pieces - self.known.keys()
+    def _lengths(self, pieces: set[str]) -> dict[str, int]:
+        """The tokens of each piece; what is short enough is remembered."""
+        if self.held > MEMORY:
+            self.known, self.held = {}, 0
+        once: dict[str, int] = {}
         hard = []
-        for p in new:
+        for p in pieces - self.known.keys():
             word = p.rstrip(".,")
-            if word.lstrip(" ").isalpha() and len(p) - len(word) < 2 and p[1:2] != " " and max(word) < "\u0530":
+            if len(p) <= MEMORABLE and word.lstrip(" ").isalpha() and len(p) - len(word) < 2 and p[1:2] != " " and max(word) < "\u0530":
                 # one pre-token of letters old in Unicode, perhaps a full stop or comma after it
-                self.known[p] = self._word(word) + len(p) - len(word)
-            else:
+                self._remember(p, self._word(word) + len(p) - len(word))
+            elif p:
                 hard.append(p)
+            else:
+                once[p] = 0
         for p, e in zip(hard, self.tok.encode_batch_fast(hard, add_special_tokens=False), strict=True):
-            self.known[p] = len(e)
+            if len(p) <= MEMORABLE:
+                self._remember(p, len(e))
+            else:
+                once[p] = len(e)
+        return self.known if not once else {p: once[p] if p in once else self.known[p] for p in pieces}
+
+    def _remember(self, piece: str, tokens: int) -> None:
+        self.known[piece] = tokens
+        self.held += 160 + 4 * len(piece)
 
     def _word(self, word: str) -> int:
         if (n := self.known.get(word)) is None:
-            n = self.known[word] = len(self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet)))
+            n = len(self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet)))
+            self._remember(word, n)
         return n
 
-    def _proven(self, text: str, at: int) -> bool:
-        """Whether the pre-tokeniser always cuts before ``at``: a single space before a non-blank."""
-        return at + 1 < len(text) and text[at] == " " and not text[at + 1].isspace()
-
-    def _splice(self, text: str, left: list[int], right: list[int]) -> tuple[int, int] | None:
+    def _splice(self, proven: set[int], left: list[int], right: list[int]) -> tuple[int, int] | None:
         """Positions in two lists of token starts where both agree for ``run`` tokens before and
         after a proven boundary."""
         where = {s: i for i, s in enumerate(left)}
@@ -129,7 +169,7 @@ class ChunkedCounter:
             i = where.get(right[j])
             if (
                 i is not None
-                and self._proven(text, right[j])
+                and right[j] in proven
                 and left[i - self.run : i + self.run] == right[j - self.run : j + self.run]
             ):
                 return i, j
@@ -138,25 +178,29 @@ class ChunkedCounter:
     def huge(self, text: str) -> int:
         if any(s in text for s in self.specials):
             return self._around_specials(text)
-        total, begin, end = 0, 0, self.chunk
+        total, begin, end = 0, 0, min(self.chunk, len(text))
         starts = self._starts(text, begin, end)
         while end < len(text):
             overlap = self.overlap
             while True:
                 again = max(begin, end - overlap)
-                reach = min(len(text), end + self.chunk)
                 if again == begin:
-                    # no boundary in the whole chunk: both chunks become one
-                    starts = self._starts(text, begin, reach)
-                    break
-                right = self._starts(text, again, reach)
-                if cut := self._splice(text, starts, right):
-                    total += cut[0]
-                    begin, starts = right[cut[1]], right[cut[1] :]
+                    # no splice in the whole chunk: it is encoded anew, twice as long
+                    end = min(len(text), end + max(self.chunk, end - begin))
+                    starts = self._starts(text, begin, end)
                     break
+                # a start that stands alone is no proof: the right chunk begins there itself
+                proven = {m.start() for m in _PROVEN.finditer(text, again + 1, end)}
+                if proven:
+                    reach = min(len(text), end + self.chunk)
+                    right = self._starts(text, again, reach)
+                    if cut := self._splice(proven, starts, right):
+                        total += cut[0]
+                        begin, starts, end = right[cut[1]], right[cut[1] :], reach
+                        self.spliced += 1
+                        break
                 self.widened += 1
                 overlap *= 2
-            end = reach
         return total + len(starts)
 
     def _starts(self, text: str, begin: int, end: int) -> list[int]:
@@ -182,7 +226,8 @@ def token_counts(
     """Tokens of each whole text: ``id_col, n_bytes, n_tokens, over_limit``.
 
     A null or empty text has no tokens. Rows that repeat are counted one by one. The tokenizer's
-    file is a parameter; it is read by each Python worker from where the package keeps it.
+    file is a parameter; it is read by each Python worker from where the package keeps it. A text
+    without any proven boundary is encoded in one piece, in time linear in its length.
     """
     path = path or tokenizer_path()
 

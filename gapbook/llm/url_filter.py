@@ -1,10 +1,12 @@
 """URL filters: rules, and a path-template tree for the addresses that no rule fits; DataFrame
 functions alone.
 
-Paths become templates: segments with digits are generalised at once, then, level by level, segments
-that are rare among many siblings of a host become wildcards. Sibling templates whose labelled share
-of bad pages does not differ significantly from that of the others under the same parent are merged
-into the parent's wildcard. A template is rejected when its smoothed share of good pages is too low.
+Each host has a tree of path segments. From the root down, segments that are variable by the counts
+of their siblings become wildcards. Then, from the leaves up, branches under one parent whose labelled
+share of bad pages does not differ significantly from that of their siblings are merged into the
+parent's wildcard. A template is rejected when its smoothed purity (share of good pages) falls well
+below that of all labelled pages. Both passes take one level after the other, down to the deepest path
+there is.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Levels of the tree; siblings from which rare segments (below that share) are wildcards.
-DEPTH, MANY, RARE = 3, 20, 0.05
-#: Significance of a difference, weight of the prior in pages, least purity of a template.
-Z, PRIOR, PURITY = 1.96, 10.0, 0.5
+#: A segment is variable if it has at least MANY siblings, itself included, no more pages than their
+#: mean, and fewer pages than ENOUGH.
+MANY, ENOUGH = 8, 20
+#: Significance of a difference, and least labelled pages of a branch that stays apart.
+Z, LEAST = 2.58, 5
+#: Weight of the prior in pages; a template is rejected at LIFT times the share of bad pages of all.
+PRIOR, LIFT = 10.0, 1.25
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,68 +71,90 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.array_max(F.filter(own, lambda r: F.startswith(path, r["path"])))
 
 
-def template(path: Column) -> Column:
-    """The first DEPTH segments, those with digits generalised to ``*`` and their suffix, and ``**``
-    for what follows."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)?$", 0))).otherwise(s))
-    return F.concat(F.slice(general, 1, DEPTH), F.when(F.size(general) > DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
-
-
-def _generalise(templates: DataFrame) -> DataFrame:
-    """Wildcards for rare segments among many siblings, from the root down."""
-    for level in range(1, DEPTH + 1):
-        above = F.slice("template", 1, level - 1)
-        here = F.get("template", F.lit(level - 1))
-        rows = templates.withColumn("above", above).withColumn("here", here)
-        nodes = rows.where("here is not null").groupBy("host", "above", "here").agg(F.sum("pages").alias("n"))
-        parents = nodes.groupBy("host", "above").agg(F.count(F.lit(1)).alias("siblings"), F.sum("n").alias("all"))
-        rare = (
-            nodes.join(parents, ["host", "above"])
-            .where((F.col("siblings") > MANY) & (F.col("n") < RARE * F.col("all")))
-            .select("host", "above", "here", F.lit(True).alias("rare"))
+def segments(path: Column) -> Column:
+    """The parts of a path between slashes, empty ones left out."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is counted as small; beyond that a join with it shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _above(level: int) -> Column:
+    return F.slice("template", 1, level - 1)
+
+
+def _here(level: int) -> Column:
+    return F.get("template", F.lit(level - 1))
+
+
+def _replaced(level: int) -> Column:
+    """The template with a wildcard at this level."""
+    return F.concat(_above(level), F.array(F.lit("*")), F.slice("template", level + 1, F.greatest(F.size("template"), F.lit(1))))
+
+
+def _generalised(rows: DataFrame, depth: int) -> DataFrame:
+    """``host, template`` of rows: wildcards for variable segments, from the root down. Only segments
+    that stay under a parent of many children are joined back, of which each has pages enough."""
+    for level in range(1, depth + 1):
+        nodes = rows.select("host", _above(level).alias("above"), _here(level).alias("here")).where("here is not null").groupBy("host", "above", "here").agg(F.count(F.lit(1)).alias("n"))
+        nodes = materialise(nodes, "url-nodes")
+        wide = nodes.groupBy("host", "above").agg(F.count(F.lit(1)).alias("siblings"), F.sum("n").alias("pages")).where(F.col("siblings") >= MANY)
+        wide = materialise(wide, "url-wide")
+        kept = (
+            nodes.join(_small(wide), ["host", "above"])
+            .where((F.col("n") * F.col("siblings") > F.col("pages")) | (F.col("n") >= ENOUGH))
+            .select("host", "above", "here", F.lit(True).alias("stays"))
         )
-        templates = materialise(
-            rows.join(rare, ["host", "above", "here"], "left").withColumn(
-                "template",
-                F.when(
-                    F.col("rare"), F.concat("above", F.array(F.lit("*")), F.slice("template", level + 1, DEPTH + 1))
-                ).otherwise(F.col("template")),
-            ).select("host", "raw", "template", "pages", "labelled", "bad"),
-            "templates",
+        kept = materialise(kept, "url-kept")
+        rows = rows.withColumns({"above": _above(level), "here": _here(level)})
+        rows = rows.join(_small(wide.select("host", "above", F.lit(True).alias("many"))), ["host", "above"], "left")
+        rows = rows.join(_small(kept), ["host", "above", "here"], "left")
+        variable = F.col("here").isNotNull() & F.col("many") & F.col("stays").isNull()
+        rows = rows.withColumn("template", F.when(variable, _replaced(level)).otherwise(F.col("template"))).drop("above", "here", "many", "stays")
+        rows = materialise(rows, "url-templates")
+    return rows
+
+
+def _merged(known: DataFrame, depth: int) -> DataFrame:
+    """``host, raw, template, n, b`` with similar branches merged, from the leaves up; n labelled pages
+    of which b are bad."""
+    div = F.try_divide
+    for level in range(depth, 0, -1):
+        nodes = (
+            known.select("host", _above(level).alias("above"), _here(level).alias("here"), "n", "b")
+            .where("here is not null")
+            .groupBy("host", "above", "here")
+            .agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
         )
-    return templates
-
-
-def judged_templates(pages: DataFrame) -> DataFrame:
-    """``host, raw, template, purity`` of ``host, raw, bad`` (bad 1, 0, or null without a label)."""
-    counted = pages.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    counted = materialise(counted.withColumn("template", F.col("raw")), "templates")
-    known = _generalise(counted)
-    parent = F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))
-    nodes = known.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).withColumn("parent", parent)
-    pool = nodes.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
-    n, b, on, ob = F.col("n"), F.col("b"), F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
-    share, div = F.try_divide("pb", "pn"), F.try_divide
-    error = F.sqrt(share * (1 - share) * (div(F.lit(1), n) + div(F.lit(1), on)))
-    differs = F.coalesce((error > 0) & (F.abs(div(b, n) - div(ob, on)) > Z * error), F.lit(False))
-    branch = nodes.join(pool, ["host", "parent"]).select(
-        "host", "template", "n", "b", F.when(differs, F.col("template")).otherwise(F.concat("parent", F.array(F.lit("*")))).alias("branch")
-    )
-    totals = branch.agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-    base = F.coalesce(F.try_divide("all_b", "all_n"), F.lit(0.0))
-    purity = (
-        branch.groupBy("host", "branch")
-        .agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-        .join(F.broadcast(totals))
-        .select("host", "branch", (1 - (F.col("b") + PRIOR * base) / (F.col("n") + PRIOR)).alias("purity"))
-    )
-    return (
-        known.select("host", "raw", "template")
-        .join(branch.select("host", "template", "branch"), ["host", "template"])
-        .join(purity, ["host", "branch"])
-        .select("host", "raw", F.concat_ws("/", "branch").alias("template"), "purity")
-    )
+        pool = nodes.groupBy("host", "above").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
+        n, b, on, ob = F.col("n"), F.col("b"), F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
+        share = div("pb", "pn")
+        error = F.sqrt(share * (1 - share) * (div(F.lit(1), n) + div(F.lit(1), on)))
+        differs = F.coalesce((n >= LEAST) & (error > 0) & (F.abs(div(b, n) - div(ob, on)) > Z * error), F.lit(False))
+        apart = materialise(nodes.join(pool, ["host", "above"]).where(differs).select("host", "above", "here", F.lit(True).alias("apart")), "url-apart")
+        known = known.withColumns({"above": _above(level), "here": _here(level)}).join(_small(apart), ["host", "above", "here"], "left")
+        known = known.withColumn("template", F.when(F.col("here").isNotNull() & F.col("apart").isNull(), _replaced(level)).otherwise(F.col("template")))
+        known = materialise(known.select("host", "raw", "template", "n", "b"), "url-merged")
+    return known
+
+
+def judged_templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``host, template, bad`` (bad 1, 0, or null without a label; other columns stay) with
+    their generalised template, and ``host, raw, template, purity, rejected`` for each of those
+    (``raw``), where ``template`` is that of its merged branch."""
+    depth = rows.agg(F.max(F.size("template"))).first()[0] or 0
+    rows = _generalised(rows, depth)
+    known = rows.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    known = _merged(materialise(known.withColumn("raw", F.col("template")), "url-known"), depth)
+    all_n, all_b = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    base = all_b / all_n if all_n else 0.0
+    bad = (F.sum("b") + PRIOR * base) / (F.sum("n") + PRIOR)
+    purity = known.groupBy("host", "template").agg((1 - bad).alias("purity"), (bad >= LIFT * base).alias("rejected"))
+    if not all_b:
+        purity = purity.withColumn("rejected", F.lit(False))
+    return rows, known.select("host", "raw", "template").join(purity, ["host", "template"])
 
 
 def url_verdicts(
@@ -138,26 +167,28 @@ def url_verdicts(
     """``id_col, host, path, rule, verdict, template, purity`` for every page.
 
     ``labels`` (``id_col, bad`` as 0 or 1) feeds the purity; without labels everything is as pure as
-    the prior. A null url and one without ``://`` have an empty host and path, which no rule fits
-    and which the tree judges like any other. The longest fitting rule wins over the tree. Rows that
-    repeat are judged one by one; of labels that repeat an id the worst counts. Other columns are
-    ignored.
+    the prior and nothing is rejected. A null url and one without ``://`` have an empty host and path,
+    which no rule fits and which the tree judges like any other. The longest fitting rule wins over
+    the tree. Rows that repeat are judged one by one; of labels that repeat an id the worst counts.
+    Other columns are ignored. The number of jobs grows with the deepest path.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("raw", template(F.col("path")))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if labels is not None:
         worst = labels.groupBy(F.col(id_col).alias("page_id")).agg(F.max("bad").cast("int").alias("bad"))
-        labelled = rows.join(worst, "page_id", "left").select("host", "raw", "bad")
+        rows = rows.join(worst, "page_id", "left")
     else:
-        labelled = rows.select("host", "raw", F.lit(None).cast("int").alias("bad"))
-    trees = materialise(judged_templates(labelled), "url-purity")
+        rows = rows.withColumn("bad", F.lit(None).cast("int"))
+    rows = materialise(rows.withColumn("template", segments(F.col("path"))), "url-rows")
+    rows, trees = judged_templates(rows)
+    trees = materialise(trees, "url-purity")
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
-    return rows.withColumn("fit", fit).join(trees, ["host", "raw"], "left").select(
+    return rows.withColumnRenamed("template", "raw").withColumn("fit", fit).join(trees, ["host", "raw"], "left").select(
         F.col("page_id").alias(id_col),
         "host",
         "path",
         F.col("fit.rule").alias("rule"),
-        F.coalesce("fit.verdict", F.when(F.coalesce("purity", F.lit(1.0)) < PURITY, F.lit("block")).otherwise("allow")).alias("verdict"),
-        "template",
+        F.coalesce("fit.verdict", F.when(F.col("rejected"), F.lit("block")).otherwise("allow")).alias("verdict"),
+        F.concat_ws("/", "template").alias("template"),
         "purity",
     )
