@@ -41,7 +41,7 @@ from gapbook.llm.components import connected_components
 WORDS, AT_LEAST = 5, 80
 #: Classes and elements of their sets in a tile at most (a larger set has one of its own); bits of a
 #: bitmap signature for each element, and at least.
-TILE, ELEMENTS, LOAD, LEAST_BITS = 512, 1 << 22, 8, 256
+TILE, ELEMENTS, LOAD, LEAST_BITS = 256, 1 << 22, 8, 256
 #: Parts into which the sets of one size in a group are dealt before they are numbered.
 SALTS = 64
 #: Keys a map task holds before it passes them on; rows of ids that are broadcast at most.
