@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from gapbook.llm.common import sliced, text_or_empty
 
 #: Labelled documents sampled for each language, and characters of them that go into its automaton.
-TRAIN_ROWS, TRAIN_CHARS = 400, 40_000
+TRAIN_ROWS, TRAIN_CHARS = 200, 40_000
+#: Documents drawn for each of the sample.
+DRAWN = 4
 #: Characters after which the parse of a text also starts afresh, so that long texts run in parallel.
 BLOCK = 1024
 UNDETERMINED = "und"
@@ -287,16 +289,22 @@ def learn(
 ) -> LanguageModel:
     """Train on documents that are not held out and have a language and a text.
 
-    The sample of each language is bounded: of its ``rows`` documents with the smallest hashed ids,
-    those of a sixteenth of ``chars`` at most before longer ones, whole texts are taken while they
-    hold no more than ``chars`` characters in all; the first is taken whatever its length. Every
-    character of the sample counts. The model grows with the languages times ``chars``.
+    The sample of each language is bounded: about DRAWN times ``rows`` documents are drawn by their
+    hashed ids, all if there are fewer. Of these the first ``rows`` stay, those of a sixteenth of
+    ``chars`` at most before longer ones; their whole texts are taken while they hold no more than
+    ``chars`` characters in all, the first whatever its length. Every character of the sample counts.
+    The model grows with the languages times ``chars``.
     """
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     size = F.char_length("text")
     usable = usable.select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).alias("text")
-    ).withColumn("long", F.when(size > chars // 16, size).otherwise(0))
+    )
+    # drawn by the counts before texts move, so that no task meets more than the sample
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.shiftrightunsigned("order", 11) / float(1 << 53)
+    usable = usable.join(F.broadcast(counts), "lang").where(place * F.col("n") < DRAWN * rows)
+    usable = usable.withColumn("long", F.when(size > chars // 16, size).otherwise(0))
     first = Window.partitionBy("lang").orderBy("long", "order", "text")
     picked = usable.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
     total = F.sum(size + 1).over(first.rowsBetween(Window.unboundedPreceding, 0))
