@@ -3,8 +3,9 @@ the changes from last night's drifted book."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from gapbook.operators.portfolio import cost_rates
 from gapbook.operators.signals import candidates, top_n
 from gapbook.sources.scratch import materialise
 
+LEAST_ITERATIONS = 20
+
 
 @dataclass(frozen=True)
 class NightlySettings:
@@ -33,25 +36,43 @@ class NightlySettings:
     cash_rate: float = 0.0
     optimizer: opt.OptimizerSettings = field(default_factory=lambda: opt.OptimizerSettings(iterations=60, cvar_iterations=60))
 
+    def __post_init__(self) -> None:
+        """A night's optimizers take LEAST_ITERATIONS at least."""
+        o = self.optimizer
+        if min(o.iterations, o.cvar_iterations) < LEAST_ITERATIONS:
+            more = replace(o, iterations=max(o.iterations, LEAST_ITERATIONS), cvar_iterations=max(o.cvar_iterations, LEAST_ITERATIONS))
+            object.__setattr__(self, "optimizer", more)
+
+
+def nightly_features(bars: DataFrame, s: NightlySettings) -> DataFrame:
+    """The features that candidates and symbol costs rest on, with ``nth``, the number of the symbol's
+    overnight returns up to each date."""
+    so_far = F.count("overnight_return").over(Window.partitionBy("symbol").orderBy("date"))
+    names = ("date", "symbol", "exit_date", "overnight_return", "next_overnight_return", "overnight_sharpe")
+    return build_features(bars, FeatureSettings(s.lookback_days, s.min_history)).select(*names, so_far.alias("nth"))
 
-def nightly_books(bars: DataFrame, s: NightlySettings) -> DataFrame:
+
+def nightly_books(features: DataFrame, s: NightlySettings) -> DataFrame:
     """Each night's candidates with ``history``, their overnight returns of the last
     ``estimation_days`` calendar positions up to that night as ``array<struct<pos,ret>>``. The
-    calendar leaves out dates on which no symbol has a return."""
-    features = build_features(bars, FeatureSettings(s.lookback_days, s.min_history))
-    calendar = features.where("overnight_return is not null").select("date").distinct()
-    calendar = calendar.withColumn("pos", F.row_number().over(Window.orderBy("date")))
-    rows = features.join(F.broadcast(calendar), "date", "left")
-    back = Window.partitionBy("symbol").orderBy("pos").rangeBetween(-(s.estimation_days - 1), 0)
-    met = F.when(F.col("overnight_return").isNotNull(), F.struct("pos", F.col("overnight_return").alias("ret")))
-    rows = rows.withColumn("history", F.when(F.col("pos").isNotNull(), F.collect_list(met).over(back)))
-    chosen = top_n(candidates(rows, s.min_signal), s.top_n)
-    return chosen.select("date", "exit_date", "symbol", "overnight_sharpe", "next_overnight_return", "signal_rank", "pos", "history")
+    calendar leaves out dates on which no symbol has a return.
+
+    Candidates are chosen first; each takes a slice of its symbol's one array of returns.
+    """
+    returns = features.where("overnight_return is not null")
+    calendar = returns.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
+    own = returns.join(calendar, "date").select("symbol", F.struct("pos", F.col("overnight_return").alias("ret")).alias("v"))
+    arrays = own.groupBy("symbol").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    chosen = top_n(candidates(features, s.min_signal), s.top_n).join(calendar, "date", "left").join(arrays, "symbol", "left")
+    n = F.lit(s.estimation_days)
+    last = F.slice("v", F.greatest(F.lit(1), F.col("nth") - n + 1).cast("int"), F.least(F.col("nth"), n).cast("int"))
+    history = F.filter(last, lambda x: x["pos"] > F.col("pos") - n)
+    return chosen.select("date", "exit_date", "symbol", "overnight_sharpe", "next_overnight_return", "signal_rank", "pos", history.alias("history"))
 
 
 def nightly_weights(books: DataFrame, s: NightlySettings, methods: Sequence[str] = opt.NIGHTLY) -> DataFrame:
     """``method, date, symbol, weight, fallback``: all methods of a night share its window, of at most
-    ``top_n`` times ``estimation_days`` returns."""
+    ``top_n`` times ``estimation_days`` returns, and its moments."""
     unknown = [m for m in methods if m not in opt.NIGHTLY]
     if unknown:
         raise ValueError(f"unknown methods: {', '.join(unknown)}")
@@ -59,15 +80,23 @@ def nightly_weights(books: DataFrame, s: NightlySettings, methods: Sequence[str]
 
     def weigh(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("signal_rank")
-        series = [{h["pos"]: h["ret"] for h in (past if past is not None else ())} for past in rows["history"]]
-        common = sorted(set(series[0]).intersection(*series[1:]))
-        x = np.array([[one[p] for one in series] for p in common], float).reshape(len(common), len(series))
-        scores, out = rows["overnight_sharpe"].to_numpy(float), []
-        for m in methods:
-            w, fallback = opt.nightly_weights(x, scores, m, s.optimizer, least)
-            out.append(pd.DataFrame({"method": m, "date": key[0], "symbol": rows["symbol"], "weight": w, "fallback": fallback}))
-        return pd.concat(out)
-
+        places = [np.fromiter((h["pos"] for h in past), np.int64) if past is not None else np.zeros(0, np.int64) for past in rows["history"]]
+        common = functools.reduce(functools.partial(np.intersect1d, assume_unique=True), places)
+        returns = [np.fromiter((h["ret"] for h in past), float) if past is not None else np.zeros(0) for past in rows["history"]]
+        x = np.column_stack([r[np.searchsorted(at, common)] for at, r in zip(places, returns, strict=True)])
+        window, scores = opt.Estimates(x), rows["overnight_sharpe"].to_numpy(float)
+        found = [opt.nightly_weights(window, scores, m, s.optimizer, least) for m in methods]
+        return pd.DataFrame(
+            {
+                "method": np.repeat(np.array(methods, object), len(rows)),
+                "date": key[0],
+                "symbol": np.tile(rows["symbol"].to_numpy(object), len(methods)),
+                "weight": np.concatenate([w for w, _ in found]),
+                "fallback": np.repeat([short for _, short in found], len(rows)),
+            }
+        )
+
+    # a night's arrays come together in one shuffle; nights are many, so tasks share them evenly
     return books.groupBy("date").applyInPandas(weigh, "method string, date date, symbol string, weight double, fallback boolean")
 
 
@@ -85,13 +114,13 @@ def nightly_daily(books: DataFrame, weights: DataFrame, rates: DataFrame, s: Nig
     returns; names that leave are billed in full."""
     nights = books.select("date", "exit_date").groupBy("date").agg(F.max("exit_date").alias("exit_date"))
     nights = nights.withColumn("night", F.row_number().over(Window.orderBy("date")))
-    held = weights.join(books.select("date", "symbol", F.col("next_overnight_return").alias("r")), ["date", "symbol"]).join(F.broadcast(nights), "date")
+    held = weights.join(books.select("date", "symbol", F.col("next_overnight_return").alias("r")), ["date", "symbol"]).join(nights, "date")
     grown = 1 + F.sum(F.col("weight") * F.col("r")).over(Window.partitionBy("method", "night"))
     grown = F.when(F.abs(grown) < 1e-12, F.lit(1e-12)).otherwise(grown)
     drifted = held.select("method", (F.col("night") + 1).alias("night"), "symbol", (F.col("weight") * (1 + F.col("r")) / grown).alias("_old"))
     both = held.select("method", "night", "symbol", "weight", "r", "fallback").join(drifted, ["method", "night", "symbol"], "full_outer")
     change = F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))
-    rows = both.withColumn("_change", change).join(F.broadcast(rates), "symbol", "left")
+    rows = both.withColumn("_change", change).join(rates, "symbol", "left")
     days = rows.groupBy("method", "night").agg(
         F.sum(F.col("weight") * F.col("r")).alias("gross_return"),
         F.sum("_change").alias("turnover"),
@@ -103,7 +132,7 @@ def nightly_daily(books: DataFrame, weights: DataFrame, rates: DataFrame, s: Nig
     )
     cash = F.greatest(F.lit(0.0), 1 - F.col("weight_sum"))
     # the night after the last holds nothing and is no day
-    days = days.join(F.broadcast(nights.withColumnRenamed("date", "signal_date")), "night").withColumn("cash_weight", cash)
+    days = days.join(nights.withColumnRenamed("date", "signal_date"), "night").withColumn("cash_weight", cash)
     days = days.withColumn("net_return", F.col("gross_return") + F.col("cash_weight") * (s.cash_rate / 252) - F.col("cost_return"))
     days = days.withColumn("gross_exposure", F.col("weight_sum")).withColumn("round_trip_turnover", F.col("turnover"))
     return compound(days, s.initial_capital, ["method"])
@@ -113,10 +142,11 @@ def nightly_suite(bars: DataFrame, settings: NightlySettings | None = None, meth
     """All methods over the same books. Symbol costs rest on the volatility of the whole history, as
     the books themselves do not."""
     s = settings or NightlySettings()
-    books = materialise(nightly_books(bars, s), "books")
+    features = materialise(nightly_features(bars, s), "nightly-features")
+    books = materialise(nightly_books(features, s), "books")
     weights = materialise(nightly_weights(books, s, methods), "book-weights")
     books = books.drop("history")
-    returns = build_features(bars, FeatureSettings(2, 1)).select("symbol", F.col("overnight_return").alias("ret")).where("ret is not null")
+    returns = features.select("symbol", F.col("overnight_return").alias("ret")).where("ret is not null")
     daily = materialise(nightly_daily(books, weights, cost_rates(returns, s.fees_bps, s.slippage_bps), s), "nightly-days")
     extra = daily.groupBy("method").agg(
         F.sum("cost_return").alias("cost_return_total"),

@@ -15,8 +15,12 @@ from gapbook.operators.backtest import compound
 from gapbook.operators.metrics import performance_metrics
 from gapbook.sources.scratch import materialise
 
+# Fixed values of the estimation set: rungs of coverage, recent dates, least and most observations.
 LADDER = (0.98, 0.95, 0.90, 0.80, 0.70, 0.60)
 RECENT, FLOOR, CEILING = 10, 20, 252
+#: Symbols up to which a covariance goes by pairs; symbols in a block beyond, and pairs of blocks whose
+#: sums a task holds.
+PAIR_SYMBOLS, BLOCK_SYMBOLS, HELD_BLOCKS = 100, 128, 64
 PERIODS = {"monthly": "month", "quarterly": "quarter", "annually": "year"}
 LOWER_IS_BETTER = ("volatility", "var_95", "cvar_95", "max_weight")
 
@@ -108,7 +112,7 @@ def expected_returns(complete: DataFrame, method: str = "mean") -> DataFrame:
         raise ValueError("method must be mean, median or winsorized")
     ends = by.agg(F.percentile("ret", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
     clipped = F.least(F.greatest("ret", F.col("q")[0]), F.col("q")[1])
-    return complete.join(F.broadcast(ends), "symbol").groupBy("symbol").agg(F.avg(clipped).alias("mu"))
+    return complete.join(ends, "symbol").groupBy("symbol").agg(F.avg(clipped).alias("mu"))
 
 
 def _with_jitter(pairs: DataFrame) -> DataFrame:
@@ -116,6 +120,12 @@ def _with_jitter(pairs: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(diagonal)).select("a", "b", F.when(F.col("a") == F.col("b"), F.col("cov") + F.col("_j")).otherwise(F.col("cov")).alias("cov"))
 
 
+def covariance(complete: DataFrame) -> DataFrame:
+    """``a, b, cov`` with a <= b: by pairs up to PAIR_SYMBOLS symbols, by blocks beyond."""
+    few = complete.select("symbol").distinct().limit(PAIR_SYMBOLS + 1).count() <= PAIR_SYMBOLS
+    return covariance_pairs(complete) if few else covariance_blocks(complete)
+
+
 def covariance_pairs(complete: DataFrame) -> DataFrame:
     """``a, b, cov`` with a <= b, by joining dates to themselves: for up to about a hundred symbols."""
     left = complete.select("date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
@@ -124,28 +134,45 @@ def covariance_pairs(complete: DataFrame) -> DataFrame:
     return _with_jitter(pairs)
 
 
-def covariance_blocks(complete: DataFrame) -> DataFrame:
-    """The same for wide universes: each date is one vector, each task adds up products of its
-    vectors, and the partial sums meet by pair."""
-    names = [r.symbol for r in complete.select("symbol").distinct().orderBy("symbol").collect()]
-    mean = complete.groupBy("symbol").agg(F.avg("ret").alias("_m"))
-    centred = complete.join(F.broadcast(mean), "symbol").select("date", "symbol", (F.col("ret") - F.col("_m")).alias("c"))
-    vectors = centred.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("symbol", "c"))).alias("v")).select("date", F.transform("v", lambda s: s["c"]).alias("v"))
+def covariance_blocks(complete: DataFrame, block: int = BLOCK_SYMBOLS) -> DataFrame:
+    """The same for wide universes: symbols are numbered and dealt into blocks, each date is one vector
+    for each block, and tasks add up the products of their pairs of vectors. A task holds the sums of
+    HELD_BLOCKS pairs of blocks at most; partial sums meet by pair of symbols."""
+    numbers = complete.select("symbol").distinct().withColumn("i", F.row_number().over(Window.orderBy("symbol")) - 1)
+    numbers = materialise(numbers, "symbol-numbers")
+    mean = complete.groupBy("symbol").agg(F.avg("ret").alias("_m")).join(numbers, "symbol")
+    centred = complete.join(mean, "symbol").select("date", "i", (F.col("ret") - F.col("_m")).alias("c"))
+    vectors = centred.groupBy("date", F.floor(F.col("i") / block).cast("int").alias("part")).agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("v"))
+    vectors = vectors.select("date", "part", F.transform("v", lambda s: s["c"]).alias("v"))
+    other = vectors.select("date", F.col("part").alias("other"), F.col("v").alias("w"))
+    pairs = vectors.join(other, "date").where("part <= other").select("part", "other", "v", "w")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, rows = np.zeros((len(names), len(names))), 0
+        sums: dict[tuple[int, int], list] = {}
+
+        def table() -> pd.DataFrame:
+            out = []
+            for (p, q), (gram, rows) in sums.items():
+                i, j = np.indices(gram.shape).reshape(2, -1)
+                i, j = i + p * block, j + q * block
+                upper = i <= j
+                out.append(pd.DataFrame({"i": i[upper], "j": j[upper], "s": gram.ravel()[upper], "n": rows}))
+            sums.clear()
+            return pd.concat(out)
+
         for batch in batches:
-            x = np.array(batch["v"].tolist(), float)
-            if len(x):
-                gram += x.T @ x
-                rows += len(x)
-        if rows:
-            i, j = np.triu_indices(len(names))
-            yield pd.DataFrame({"i": i, "j": j, "s": gram[i, j], "n": rows})
+            for (p, q), rows in batch.groupby(["part", "other"]):
+                x, y = np.array(rows["v"].tolist(), float), np.array(rows["w"].tolist(), float)
+                held = sums.setdefault((p, q), [0.0, 0])
+                held[0], held[1] = held[0] + x.T @ y, held[1] + len(rows)
+                if len(sums) > HELD_BLOCKS:
+                    yield table()
+        if sums:
+            yield table()
 
-    sums = vectors.mapInPandas(partial, "i int, j int, s double, n long").groupBy("i", "j").agg((F.sum("s") / (F.sum("n") - 1)).alias("cov"))
-    table = F.array(*map(F.lit, names))
-    return _with_jitter(sums.select(table[F.col("i")].alias("a"), table[F.col("j")].alias("b"), "cov"))
+    sums = pairs.mapInPandas(partial, "i long, j long, s double, n long").groupBy("i", "j").agg((F.sum("s") / (F.sum("n") - 1)).alias("cov"))
+    named = sums.join(numbers.select(F.col("i"), F.col("symbol").alias("a")), "i").join(numbers.select(F.col("i").alias("j"), F.col("symbol").alias("b")), "j")
+    return _with_jitter(named.select("a", "b", "cov"))
 
 
 # -- costs and paths
@@ -157,7 +184,7 @@ def cost_rates(returns: DataFrame, fees_bps: float, slippage_bps: float, by: Seq
     fees, slip = max(fees_bps, 0.0) / 10_000, max(slippage_bps, 0.0) / 10_000
     vols = returns.groupBy(*by, "symbol").agg(F.stddev_pop("ret").alias("_v"))
     mean = vols.groupBy(*by).agg(F.avg(F.when(F.col("_v") > 0, F.col("_v"))).alias("_m"))
-    vols = vols.join(F.broadcast(mean), list(by)) if by else vols.join(F.broadcast(mean))
+    vols = vols.join(mean, list(by)) if by else vols.join(F.broadcast(mean))
     scale = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.try_divide("_v", "_m")))
     scale = F.when(F.col("_v").isNull() | F.col("_m").isNull(), 1.0).otherwise(scale)
     return vols.select(*by, "symbol", (F.lit(fees) + F.lit(slip) * scale).alias("rate"))
@@ -185,7 +212,7 @@ def static_path(weights: DataFrame, complete: DataFrame, s: PortfolioSettings) -
     first day bills the allocation, later days the drift, each symbol at its own rate."""
     rates = cost_rates(complete, s.fees_bps, s.slippage_bps)
     held = weights.join(complete, "symbol")
-    rows = daily_drift(held).join(F.broadcast(rates), "symbol")
+    rows = daily_drift(held).join(rates, "symbol")
     first = F.min("date").over(Window.partitionBy("portfolio"))
     rows = rows.withColumn("_trade", F.when(F.col("date") == first, F.abs("weight")).otherwise(F.col("drift")))
     days = rows.groupBy("portfolio", "date").agg(
@@ -250,28 +277,38 @@ def portfolio_statistics(weights: DataFrame, complete: DataFrame, risk_free: flo
 
 
 def suite_weights(complete: DataFrame, settings: opt.OptimizerSettings, methods: Sequence[str] = opt.SUITE) -> DataFrame:
-    """``portfolio, symbol, weight`` for all symbols, each method a group of its own. A group is the
-    estimation set: symbols times dates of doubles."""
+    """``portfolio, symbol, weight`` for all symbols. Each symbol's returns become one array on Spark;
+    the methods share one window, symbols times common dates of doubles, and its moments."""
+    arrays = complete.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "ret"))).alias("v")).select("symbol", F.transform("v", lambda x: x["ret"]).alias("x"))
 
-    def weigh(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="date", columns="symbol", values="ret")
-        w = opt.suite_weights(wide.to_numpy(float), key[0], settings)
-        return pd.DataFrame({"portfolio": key[0], "symbol": wide.columns, "weight": w})
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("symbol")
+        window = opt.Estimates(np.array(rows["x"].tolist(), float).T)
+        return pd.concat([pd.DataFrame({"portfolio": m, "symbol": rows["symbol"], "weight": opt.suite_weights(window, m, settings)}) for m in methods])
 
-    each = complete.select("*", F.explode(F.array(*map(F.lit, methods))).alias("portfolio"))
-    return each.groupBy("portfolio").applyInPandas(weigh, "portfolio string, symbol string, weight double")
+    return arrays.groupBy(F.lit(1).alias("_window")).applyInPandas(weigh, "portfolio string, symbol string, weight double")
 
 
 def held_weights(weights: DataFrame) -> DataFrame:
     return weights.where(F.abs("weight") > 1e-6)
 
 
+def with_settings(summary: DataFrame, s: opt.OptimizerSettings) -> DataFrame:
+    """Adds ``max_weight_limit`` and ``optimizer_parameters``, a row's cap and parameters in words."""
+    each = [(F.col("portfolio") == m, s.cap(m), s.parameters(m)) for m in opt.SUITE]
+    limit, said = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for is_it, cap, words in each:
+        limit, said = F.when(is_it, F.lit(cap).cast("double")).otherwise(limit), F.when(is_it, F.lit(words)).otherwise(said)
+    return summary.withColumns({"max_weight_limit": limit, "optimizer_parameters": said})
+
+
 def static_suite(complete: DataFrame, s: PortfolioSettings) -> tuple[DataFrame, DataFrame]:
-    """Summary and weights of all methods over one estimation set."""
+    """Summary and weights of all methods over one estimation set. Without rebalances the summary's
+    average turnover is 0 and the last rebalance is null."""
     weights = materialise(suite_weights(complete, s.optimizer), "suite-weights")
     summary = portfolio_metrics(static_path(weights, complete, s), s)
-    summary = summary.join(exposure(weights), "portfolio").withColumns({"rebalance_frequency": F.lit("none"), "rebalance_count": F.lit(0)})
-    return summary, held_weights(weights)
+    none = {"rebalance_frequency": F.lit("none"), "rebalance_count": F.lit(0), "average_turnover": F.lit(0.0), "last_rebalance_date": F.lit(None).cast("date")}
+    return with_settings(summary.join(exposure(weights), "portfolio").withColumns(none), s.optimizer), held_weights(weights)
 
 
 def rebalance_dates(calendar: DataFrame, frequency: str, lookback: int | None) -> DataFrame:
@@ -295,6 +332,8 @@ def rebalanced_weights(complete: DataFrame, rebalances: DataFrame, lookback: int
     settings = replace(s.optimizer, iterations=220, cvar_iterations=160)
     arrays = complete.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "ret"))).alias("v")).select("symbol", F.transform("v", lambda x: x["ret"]).alias("v"))
     length = F.least(F.col("pos"), F.lit(int(lookback))) if lookback and lookback > 0 else F.col("pos")
+    # a rebalance needs a slice of each symbol's array: rebalances are dates of a calendar, one a month at
+    # most, and each pair is an array of the lookback
     windows = arrays.join(F.broadcast(rebalances)).select("rebalance", "symbol", F.slice("v", (F.col("pos") - length + 1).cast("int"), length.cast("int")).alias("x"))
     fees, slip = max(s.fees_bps, 0.0) / 10_000, max(s.slippage_bps, 0.0) / 10_000
 
@@ -305,9 +344,10 @@ def rebalanced_weights(complete: DataFrame, rebalances: DataFrame, lookback: int
             return pd.DataFrame(columns=["rebalance", "portfolio", "symbol", "weight", "rate"])
         vol = x.std(axis=0)
         scale = np.clip(vol / vol[vol > 0].mean(), 0.25, 4.0) if (vol > 0).any() else np.ones(x.shape[1])
+        window = opt.Estimates(x)
         return pd.concat(
             [
-                pd.DataFrame({"rebalance": key[0], "portfolio": m, "symbol": rows["symbol"], "weight": opt.suite_weights(x, m, settings), "rate": fees + slip * scale})
+                pd.DataFrame({"rebalance": key[0], "portfolio": m, "symbol": rows["symbol"], "weight": opt.suite_weights(window, m, settings), "rate": fees + slip * scale})
                 for m in opt.SUITE
             ]
         )
@@ -347,6 +387,7 @@ def rebalanced_suite(complete: DataFrame, frequency: str, lookback: int | None,
     latest = latest_snapshot(dated)
     last = dates.select(F.col("rebalance").alias("_last"), F.col("date").alias("last_rebalance_date"))
     summary = summary.join(turns, "portfolio").join(F.broadcast(last), "_last").drop("_last").join(exposure(latest), "portfolio").withColumn("rebalance_frequency", F.lit(frequency))
+    summary = with_settings(summary, s.optimizer)
     return summary, held_weights(dated.select("portfolio", "rebalance_date", "symbol", "weight"))
 
 

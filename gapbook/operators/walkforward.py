@@ -83,16 +83,21 @@ def fold_windows(dates: DataFrame, s: WalkForwardSettings) -> DataFrame:
         folds = folds.withColumn("_back", F.row_number().over(Window.orderBy(F.col("test_start").desc())))
         folds = folds.where(F.col("_back") <= s.max_folds).drop("_back")
         folds = folds.withColumn("fold", F.row_number().over(Window.orderBy("test_start")))
+    if folds.isEmpty():
+        raise ValueError("no walk-forward window is left after start_date and max_folds")
     return folds
 
 
 def candidate_signals(bars: DataFrame, s: WalkForwardSettings) -> DataFrame:
-    """The books of every candidate on every date."""
+    """The books of every candidate on every date. Candidates that differ in the number of names alone
+    are prefixes of one ranking: each lookback and threshold is ranked once, to the largest number, and
+    only the ranked rows meet the grid."""
     grid = parameter_grid(bars.sparkSession, s)
     features = build_feature_grid(bars, s.features())
-    rows = features.join(F.broadcast(grid), ["lookback_days", "min_history"])
+    least = F.explode(F.array(*(F.lit(float(x)) for x in dict.fromkeys(s.min_signals))))
+    ranked = top_n(candidates(features.withColumn("min_signal", least), F.col("min_signal")), max(s.top_ns), ["lookback_days", "min_signal"])
+    chosen = ranked.join(F.broadcast(grid), ["lookback_days", "min_history", "min_signal"]).where(F.col("signal_rank") <= F.col("top_n"))
     by = ["candidate", "date"]
-    chosen = top_n(candidates(rows, F.col("min_signal")), F.col("top_n"), ["candidate"])
     return capped_weights(chosen, score_of("score", by), s.max_weight, by).withColumnRenamed("date", "signal_date")
 
 
