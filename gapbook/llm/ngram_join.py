@@ -41,7 +41,7 @@ from gapbook.llm.components import connected_components
 WORDS, AT_LEAST = 5, 80
 #: Classes and elements of their sets in a tile at most (a larger set has one of its own); bits of a
 #: bitmap signature for each element, and at least.
-TILE, ELEMENTS, LOAD, LEAST_BITS = 256, 1 << 22, 8, 256
+TILE, ELEMENTS, LOAD, LEAST_BITS = 512, 1 << 22, 8, 256
 #: Parts into which the sets of one size in a group are dealt before they are numbered.
 SALTS = 64
 #: Keys a map task holds before it passes them on; rows of ids that are broadcast at most.
@@ -414,9 +414,14 @@ def _tile_pairs(classes: DataFrame, at_least: int, tile: int) -> DataFrame:
     share = max(1, ELEMENTS // tile)
     weight = F.greatest(F.col("n"), F.lit(share))
     dealt = classes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # offsets in two levels: of sizes in a group, and of parts in a size
     sized = dealt.groupBy("group", "n", "salt").agg((F.count(F.lit(1)) * weight).alias("weight"))
-    below = Window.partitionBy("group").orderBy("n", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.select("group", "n", "salt", F.coalesce(F.sum("weight").over(below), F.lit(0)).alias("below"))
+    smaller = Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("group", "n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sized.groupBy("group", "n").agg(F.sum("weight").alias("weight"))
+    sizes = sizes.select("group", "n", F.coalesce(F.sum("weight").over(smaller), F.lit(0)).alias("base"))
+    sized = sized.withColumn("inner", F.coalesce(F.sum("weight").over(before), F.lit(0))).join(sizes, ["group", "n"])
+    sized = sized.select("group", "n", "salt", (F.col("base") + F.col("inner")).alias("below"))
     same = Window.partitionBy("group", "n", "salt").orderBy("doc_id")
     placed = dealt.withColumn("nth", F.row_number().over(same) - 1).join(sized, ["group", "n", "salt"])
     placed = materialise(
