@@ -15,6 +15,11 @@ def normalize_symbol(symbol: Column | str) -> Column:
     return F.replace(F.upper(F.regexp_replace(as_column(symbol), r"^\s+|\s+$", "")), F.lit("."), F.lit("-"))
 
 
+def normal_symbol(symbol: str) -> str:
+    """The same for a name that the caller holds."""
+    return symbol.strip().upper().replace(".", "-")
+
+
 def parse_symbols(text: Column | str) -> Column:
     """A list of tickers between newlines, spaces or commas: normalised, each once, in first order."""
     parts = F.filter(F.split(as_column(text), r"[\n ,]"), lambda s: F.trim(s) != "")

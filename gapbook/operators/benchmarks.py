@@ -43,7 +43,7 @@ def benchmark_returns(closes: DataFrame) -> DataFrame:
 def refresh_closes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``key, date, close``: what is kept stays, and later dates are added; the last of a date wins."""
     last = old.groupBy("key").agg(F.max("date").alias("_last"))
-    added = new.select("key", "date", "close").join(F.broadcast(last), "key", "left").where("_last is null or date > _last").drop("_last")
+    added = new.select("key", "date", "close").join(last, "key", "left").where("_last is null or date > _last").drop("_last")
     both = old.select("key", "date", "close", F.lit(0).alias("_from")).unionByName(added.withColumn("_from", F.lit(1)))
     pick = Window.partitionBy("key", "date").orderBy(F.col("_from").desc(), F.col("close").desc_nulls_last())
     return both.withColumn("_nth", F.row_number().over(pick)).where("_nth = 1").drop("_nth", "_from")
@@ -132,7 +132,7 @@ def common_date_curves(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``key, date, growth`` on dates that all keys share, rebased to 1 at the first of them."""
     own = curves.where(F.col("key").isin(list(keys)))
     shared = own.groupBy("date").agg(F.countDistinct("key").alias("n")).where(F.col("n") == len(keys)).select("date")
-    rows = own.join(F.broadcast(shared), "date", "left_semi")
+    rows = own.join(shared, "date", "left_semi")
     first = F.first("growth").over(_by_key().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.select("key", "date", F.try_divide(F.col("growth"), first).alias("growth"))
 
@@ -140,7 +140,7 @@ def common_date_curves(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
 def benchmark_comparison(strategy: DataFrame, benchmarks: DataFrame, names: DataFrame | None = None, risk_free: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """The summary of each benchmark and the curves of those that have one."""
     summary = relative_metrics(strategy, benchmarks, risk_free)
-    kept = benchmarks.join(F.broadcast(summary.select("key")), "key", "left_semi")
+    kept = benchmarks.join(summary.select("key"), "key", "left_semi")
     if names is not None:
-        summary = summary.join(F.broadcast(names.select("key", F.col("name").alias("benchmark"))), "key", "left")
+        summary = summary.join(names.select("key", F.col("name").alias("benchmark")), "key", "left")
     return summary, growth_curves(strategy, kept)

@@ -98,7 +98,7 @@ def performance_metrics(
     rows = daily.withColumn("_dd", drawdown("ending_equity", keys, "signal_date", floor=capital))
     r = "net_return"
     quantile = rows.groupBy(*keys).agg(F.percentile(r, 0.05).alias("_q"))
-    rows = rows.join(F.broadcast(quantile), keys) if keys else rows.join(F.broadcast(quantile))
+    rows = rows.join(quantile, keys) if keys else rows.join(F.broadcast(quantile))
     start, end, n = F.min("signal_date"), F.max("exit_date"), F.count(r)
     days = F.datediff(end, start)
     years = F.when(days > 0, F.greatest(days / 365.25, F.lit(1.0 / periods))).otherwise(n / periods)

@@ -356,7 +356,7 @@ FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN last_known ON brand = upper(p
 SELECT date, symbol, {_rounded(OHLCV, 8)} FROM bars WHERE symbol IN (SELECT DISTINCT symbol FROM bars ORDER BY symbol LIMIT 7)
   AND date IN (SELECT DISTINCT date FROM bars WHERE symbol IN (SELECT DISTINCT symbol FROM bars ORDER BY symbol LIMIT 7) ORDER BY date DESC LIMIT 250)""",
         "bars_data_window": "SELECT min(date) AS start_date, max(date) AS end_date, count(DISTINCT symbol) AS symbols, count(*) AS rows FROM bars",
-        "vendor_wide": f"SELECT date, symbol, {_rounded(OHLCV, 8)} FROM type_bars WHERE symbol IN (SELECT DISTINCT symbol FROM type_bars ORDER BY symbol LIMIT 20)",
+        "vendor_wide": f"SELECT date, symbol, {_rounded(OHLCV, 8)} FROM type_bars",
         "ticker_lists": """
 SELECT brand, string_agg(w, '|' ORDER BY f) AS symbols FROM (SELECT brand, w, min(k) AS f FROM (
     SELECT brand, replace(upper(unnest(parts)), '.', '-') AS w, generate_subscripts(parts, 1) AS k FROM (

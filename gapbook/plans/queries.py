@@ -122,9 +122,10 @@ def bars_data_window(spark, d):
 def vendor_wide(spark, d):
     """Bars pivoted to one column for each type and field, and back."""
     own = bars(spark, d, "p_type")
-    kinds = [r.symbol for r in own.select("symbol").distinct().orderBy("symbol").limit(20).collect()]
+    # the columns of a wide frame: one for each type and field, so types are few by nature
+    kinds = [r.symbol for r in own.select("symbol").distinct().orderBy("symbol").collect()]
     back = {v: k for k, v in sb.FIELDS.items()}
-    wide = own.where(F.col("symbol").isin(kinds)).groupBy("date").pivot("symbol", kinds).agg(*(F.first(c).alias(back[c]) for c in sb.OHLCV))
+    wide = own.groupBy("date").pivot("symbol", kinds).agg(*(F.first(c).alias(back[c]) for c in sb.OHLCV))
     return rounded(sb.from_vendor_wide(wide, kinds))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapbook.functions.columns import as_column, clean_double, normalize_symbol
+from gapbook.functions.columns import as_column, clean_double, normal_symbol, normalize_symbol
 
 OHLCV = ("open", "high", "low", "close", "volume")
 COLUMNS = ("date", "symbol", *OHLCV)
@@ -96,9 +96,9 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 def clean_bars(raw: DataFrame, as_of: dt.date, sequence: str | None = None) -> DataFrame:
     """Bars with all defects removed: rows without keys, dates or numbers, dates beyond ``as_of``,
-    and all but the last of each date and symbol. ``sequence`` orders the rows; without it they
-    count in the order read."""
-    order = F.col(sequence) if sequence else F.monotonically_increasing_id()
+    and all but the last of each date and symbol. ``sequence`` orders the rows: the order in which files
+    are read is none that holds. Without it the largest by its numbers is the last."""
+    order = F.col(sequence) if sequence else F.lit(0)
     parsed = raw.where("date is not null and symbol is not null").select(
         F.col("date").try_cast("date").alias("date"),
         normalize_symbol("symbol").alias("symbol"),
@@ -107,7 +107,7 @@ def clean_bars(raw: DataFrame, as_of: dt.date, sequence: str | None = None) -> D
     )
     latest = as_of + dt.timedelta(days=FUTURE_DAYS)
     whole = parsed.where(F.col("date").isNotNull() & (F.col("date") <= F.lit(latest))).dropna(subset=list(OHLCV))
-    return keep_last(whole, ["date", "symbol"], [F.col("_order")]).drop("_order").select(*COLUMNS)
+    return keep_last(whole, ["date", "symbol"], [F.col("_order"), *map(F.col, OHLCV)]).drop("_order").select(*COLUMNS)
 
 
 def validation_report(bars: DataFrame) -> DataFrame:
@@ -180,8 +180,7 @@ def between(bars: DataFrame, start: dt.date | None = None, end: dt.date | None =
     if isinstance(symbols, DataFrame):
         return bars.join(symbols.select(normalize_symbol("symbol").alias("symbol")).distinct(), "symbol", "left_semi").select(*bars.columns)
     if symbols:
-        names = bars.sparkSession.range(1).select(F.array(*(normalize_symbol(F.lit(s)) for s in symbols)).alias("s")).first().s
-        bars = bars.where(F.col("symbol").isin(names))
+        bars = bars.where(F.col("symbol").isin([normal_symbol(s) for s in symbols]))
     return bars
 
 

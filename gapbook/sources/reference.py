@@ -23,23 +23,25 @@ SECTOR_CODES = {
 }
 
 
-def read_universe(spark: SparkSession, path: str) -> DataFrame:
+def read_universe(spark: SparkSession, path: str, sequence: str | None = None) -> DataFrame:
     """``symbol, name, sector`` of a CSV whose names may hold quoted commas."""
-    return universe(spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    return universe(spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path), sequence)
 
 
-def universe(raw: DataFrame) -> DataFrame:
-    """Normalised symbols, the first row of each in the order read."""
+def universe(raw: DataFrame, sequence: str | None = None) -> DataFrame:
+    """Normalised symbols, the first row of each by the number in ``sequence``. The order in which files
+    are read is none that holds, so without a sequence the least row by its columns is the first."""
     if "symbol" not in raw.columns:
         raise ValueError("universe: missing column symbol")
-    first = Window.partitionBy("symbol").orderBy("_order")
+    others = sorted(c for c in raw.columns if c != "symbol")
+    order = [F.col(sequence).try_cast("double").asc_nulls_last()] if sequence else []
+    first = Window.partitionBy("symbol").orderBy(*order, *(F.col(c).asc_nulls_last() for c in others))
     return (
-        raw.withColumn("_order", F.monotonically_increasing_id())
-        .withColumn("symbol", normalize_symbol("symbol"))
+        raw.withColumn("symbol", normalize_symbol("symbol"))
         .where("symbol is not null")
         .withColumn("_nth", F.row_number().over(first))
         .where("_nth = 1")
-        .drop("_order", "_nth")
+        .drop("_nth")
     )
 
 
@@ -58,7 +60,7 @@ def membership(raw: DataFrame) -> DataFrame:
 
 def universe_metadata(base: DataFrame, caps: DataFrame, bars: DataFrame) -> DataFrame:
     """``symbol, name, sector, sector_code, market_cap, in_price_cache`` of the universe
-    (``symbol, name, sector``), of stored market caps (``symbol, market_cap``) and of all symbols
+    (``symbol, name, sector``; of several rows of a symbol the least by name), of stored market caps (``symbol, market_cap``) and of all symbols
     that have bars; sorted by sector code, larger caps first, then symbol."""
     own = base.select(normalize_symbol("symbol").alias("symbol"), "name", "sector")
     known = caps.select(normalize_symbol("symbol").alias("symbol"), clean_double("market_cap").alias("market_cap"))
