@@ -39,9 +39,9 @@ from gapbook.llm.components import connected_components
 
 #: Words in a shingle and percent of the union, as in the near-duplicate stages by default.
 WORDS, AT_LEAST = 5, 80
-#: Classes and elements of their sets in a tile at most (a larger set has one of its own); bits of a
-#: bitmap signature for each element, and at least.
-TILE, ELEMENTS, LOAD, LEAST_BITS = 512, 1 << 22, 8, 256
+#: Classes and elements of their sets in a tile at most (a larger set has one of its own), and how many
+#: times as many where a tile holds bitmaps alone; bits of a bitmap for each element, and at least.
+TILE, ELEMENTS, BIT_TILES, LOAD, LEAST_BITS = 512, 1 << 22, 4, 8, 256
 #: Parts into which the sets of one size in a group are dealt before they are numbered.
 SALTS = 64
 #: Keys a map task holds before it passes them on; rows of ids that are broadcast at most.
@@ -406,12 +406,12 @@ def _set_rows(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, group long, n long, hash1 long, hash2 long, lead long, set binary")
 
 
-def _tile_pairs(classes: DataFrame, at_least: int, tile: int) -> DataFrame:
+def _tile_pairs(classes: DataFrame, at_least: int, tile: int, elements: int) -> DataFrame:
     """``doc_id, group, x, y, side``: each row of ``doc_id, group, n`` once for every pair of tiles it
     takes part in. Tiles hold neighbouring sizes; pairs come from the tiles' ranges of sizes."""
     # places by size without a window over a whole group, nor over all of one size: counts of each size
     # and part, then places inside these. A set weighs as much as its elements, and a tile's share at least.
-    share = max(1, ELEMENTS // tile)
+    share = max(1, elements // tile)
     weight = F.greatest(F.col("n"), F.lit(share))
     dealt = classes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     # offsets in two levels: of sizes in a group, and of parts in a size
@@ -485,7 +485,7 @@ def _candidate_groups(rows: DataFrame, words: int, at_least: int, tile: int) ->
     met = connected_components(ties, "ties").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     met = materialise(met, "met")
     signed = materialise(_signatures(rows.join(_small(met.select("doc_id")), "doc_id").select("doc_id", "text"), words), "signatures")
-    pairs = materialise(_tile_pairs(met.join(signed.select("doc_id", "n"), "doc_id"), at_least, tile), "tile-pairs")
+    pairs = materialise(_tile_pairs(met.join(signed.select("doc_id", "n"), "doc_id"), at_least, BIT_TILES * tile, BIT_TILES * ELEMENTS), "tile-pairs")
     passed = connected_components(_decide(signed, pairs, "bits", at_least), "candidates")
     return materialise(passed.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "candidate-groups")
 
@@ -505,7 +505,7 @@ def jaccard_links(rows: DataFrame, words: int, at_least: int, tile: int = TILE)
     classes = heads.join(leaders, same).select("lead", "hash1", "class").distinct()
     members = sets.select("doc_id", "lead", "hash1").join(classes, ["lead", "hash1"]).select("doc_id", "class").distinct()
     leaders = leaders.select(F.col("class").alias("doc_id"), "group", "n")
-    pairs = materialise(_tile_pairs(materialise(leaders, "shingle-classes"), at_least, tile), "tile-pairs")
+    pairs = materialise(_tile_pairs(materialise(leaders, "shingle-classes"), at_least, tile, ELEMENTS), "tile-pairs")
     return members, _decide(sets.where("set is not null"), pairs, "set", at_least)
 
 

@@ -432,12 +432,11 @@ def test_long_words_hash_by_all_their_letters():
     assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[-1]
 
 
-def test_tiles_hold_no_more_elements_than_they_may(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ELEMENTS", 64)
+def test_tiles_hold_no_more_elements_than_they_may(spark):
     sizes = [3] * 200 + [40] * 20 + [500]
     classes = spark.createDataFrame([(k, 1, n) for k, n in enumerate(sizes)], "doc_id long, group long, n long")
     tiles = defaultdict(list)
-    for r in ngram_join._tile_pairs(classes, 90, 8).where("x = y").collect():
+    for r in ngram_join._tile_pairs(classes, 90, 8, 64).where("x = y").collect():
         tiles[r.x].append(sizes[r.doc_id])
     assert sum(map(len, tiles.values())) == len(sizes)
     assert all(len(t) <= 9 and sum(t) - max(t) <= 64 for t in tiles.values())
