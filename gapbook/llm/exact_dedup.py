@@ -85,6 +85,7 @@ class PatriciaTrie:
             middle = [label[:n], {label[n]: child}, None]
             child[0] = label[n:]
             node[1][text[at]] = node = middle
+            self._grew(first, 0)
             at += n
         value = node[2]
         node[2] = [owner, rows] if value is None else [_smaller(value[0], owner), value[1] + rows]
