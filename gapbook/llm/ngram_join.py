@@ -12,7 +12,9 @@ their union. The work runs in five steps:
    first inside each map task, so that a key leaves a task once however many copies hold it, then
    across tasks. There are no more ties than keys. Two sets that share a key may be tied to different
    ids, those of their tasks, and these to a third; so groups are the connected components of the
-   ties, in which every link shows up.
+   ties, in which every link shows up. A large component that passages shared by unlike documents
+   string together has few ties for its size; there, each id with what one or two ties lead to it is
+   a group of its own, if that makes fewer rows.
 3. *Bit counts.* Groups are cut into size-banded tiles; each pair of tiles whose sizes allow a link is
    work of its own. There, hashed bitmap signatures bound the overlap of each pair from above by a
    bit count; pairs that pass, and are not yet connected in that tile, are kept. Their connected
@@ -329,8 +331,8 @@ def shingle_counts(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _meeting_keys(rows: DataFrame, words: int, at_least: int) -> DataFrame:
-    """``key, doc_id``: each key once for every run of ``HELD_KEYS`` keys of a task, with the
-    smallest id there; another id of that run is tied to it under a key of their own."""
+    """``key, doc_id, near``: each key once for every run of ``HELD_KEYS`` keys of a task, with the
+    smallest id there; another id of that run is tied to it under a key of their own (``near``)."""
     band_ends = bands(at_least)
 
     def tied(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -344,8 +346,9 @@ def _meeting_keys(rows: DataFrame, words: int, at_least: int) -> DataFrame:
             [
                 pa.array(np.concatenate([keys[first], pair, pair]).view(np.int64)),
                 pa.array(np.concatenate([ids[first], ties[0], ties[1]])),
+                pa.array(np.repeat([False, True], [np.count_nonzero(first), 2 * len(pair)])),
             ],
-            ["key", "doc_id"],
+            ["key", "doc_id", "near"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +365,7 @@ def _meeting_keys(rows: DataFrame, words: int, at_least: int) -> DataFrame:
         if held:
             yield tied(np.concatenate(keys), np.concatenate(ids))
 
-    return rows.mapInArrow(run, "key long, doc_id long")
+    return rows.mapInArrow(run, "key long, doc_id long, near boolean")
 
 
 def _signatures(rows: DataFrame, words: int) -> DataFrame:
@@ -477,14 +480,47 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _candidate_groups(rows: DataFrame, words: int, at_least: int, tile: int) -> DataFrame:
-    """``doc_id, group`` of the documents that pass a bit count with another one."""
-    keys = _meeting_keys(rows, words, at_least)
+def _meeting_groups(keys: DataFrame, size: int) -> DataFrame:
+    """``group, doc_id``: groups in which every two sets that share a key of ``keys`` meet. These are
+    the components of the ties, but one of more than ``size`` members that weak ties string together
+    falls into its stars where these have fewer rows than its pairs of tiles.
+
+    The star of an id holds what is tied to it, and what is tied within a run to one of these: a key's
+    smallest ids of each run are tied to its smallest of all, and its other holders to those of their
+    runs, so all that share the key are in the star of its smallest id.
+    """
     least = F.min("doc_id").over(Window.partitionBy("key"))
-    ties = keys.withColumn("least", least).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    ties = keys.withColumn("least", least).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"), "near")
+    ties = materialise(ties.distinct(), "meeting-ties")
     met = connected_components(ties, "ties").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     met = materialise(met, "met")
-    signed = materialise(_signatures(rows.join(_small(met.select("doc_id")), "doc_id").select("doc_id", "text"), words), "signatures")
+    wide = met.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > size)
+    # rows that the stars have at most, from counts of the ties alone
+    below = ties.where("near").groupBy(F.col("b").alias("doc_id")).agg(F.count(F.lit(1)).alias("below"))
+    above = ties.where("not near").groupBy(F.col("a").alias("doc_id")).agg(F.count(F.lit(1)).alias("above"))
+    rows = ties.select(F.col("b").alias("doc_id"), F.lit(1).cast("long").alias("rows")).unionByName(
+        below.join(above, "doc_id").select("doc_id", (F.col("below") * F.col("above")).alias("rows"))
+    )
+    rows = rows.join(met, "doc_id").groupBy("group").agg(F.sum("rows").alias("rows"))
+    loose = wide.join(rows, "group").where(F.col("rows") < F.col("members") / size * F.col("members"))
+    loose = materialise(loose.select("group"), "loose-groups")
+    if loose.isEmpty():
+        return met.select("group", "doc_id")
+    inside = met.join(loose, "group", "left_semi").select(F.col("doc_id").alias("b"))
+    ties = materialise(ties.join(inside, "b"), "loose-ties")
+    centre = ties.select(F.col("b").alias("group"), F.col("b").alias("doc_id"))
+    direct = ties.select(F.col("b").alias("group"), F.col("a").alias("doc_id"))
+    step = ties.where("not near").select(F.col("b").alias("group"), F.col("a").alias("b"))
+    second = ties.where("near").join(step, "b").select("group", F.col("a").alias("doc_id"))
+    stars = centre.unionByName(direct).unionByName(second).distinct()
+    return materialise(met.join(loose, "group", "left_anti").select("group", "doc_id").unionByName(stars), "meeting-groups")
+
+
+def _candidate_groups(rows: DataFrame, words: int, at_least: int, tile: int) -> DataFrame:
+    """``doc_id, group`` of the documents that pass a bit count with another one."""
+    met = _meeting_groups(_meeting_keys(rows, words, at_least), BIT_TILES * tile)
+    ids = materialise(met.select("doc_id").distinct(), "meeting-ids")
+    signed = materialise(_signatures(rows.join(_small(ids), "doc_id").select("doc_id", "text"), words), "signatures")
     pairs = materialise(_tile_pairs(met.join(signed.select("doc_id", "n"), "doc_id"), at_least, BIT_TILES * tile, BIT_TILES * ELEMENTS), "tile-pairs")
     passed = connected_components(_decide(signed, pairs, "bits", at_least), "candidates")
     return materialise(passed.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "candidate-groups")

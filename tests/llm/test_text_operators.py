@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapbook.llm import components, exact_dedup, fingerprint, langid, mixing, ngram_join, pii, queries, sentencepiece_codec, sharding, token_counts, url_filter
+from gapbook.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -432,6 +433,47 @@ def test_long_words_hash_by_all_their_letters():
     assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[-1]
 
 
+def passages_in_common(seed):
+    """Unlike texts strung together by passages that several hold, and a few near copies of some."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}_{i}" for i in range(40)] for k in range(30)]
+    data = []
+    for k in range(150):
+        words = [f"d{k}_{i}" for i in range(15)]
+        for passage in rng.sample(passages, 2):
+            words += passage
+        data.append((k, " ".join(words)))
+        if k % 10 == 0:
+            at = rng.randrange(len(words))
+            data.append((1000 + k, " ".join([*words[:at], "other", *words[at + 1 :]])))
+    rng.shuffle(data)
+    return data
+
+
+@pytest.mark.parametrize("held", [200, 1 << 20])
+def test_components_strung_together_fall_into_stars(spark, monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_KEYS", held)
+    data = passages_in_common(5)
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(data, 3), "doc_id long, text string")
+    keys = materialise(ngram_join._meeting_keys(frame, 5, 80), "keys").cache()
+    whole, parted = ({(r.group, r.doc_id) for r in ngram_join._meeting_groups(keys, size).collect()} for size in (1 << 40, 2))
+    groups = defaultdict(set)
+    for group, i in parted:
+        groups[group].add(i)
+    # the largest component is no group any more, and all that share a part are still in one group
+    assert max(Counter(g for g, _ in whole).values()) > max(map(len, groups.values()))
+    sets = dict(zip([i for i, _ in data], ngram_join.shingle_sets(pa.array([t for _, t in data]), 5), strict=True))
+    ends, holders = ngram_join.bands(80), defaultdict(set)
+    for i, hashes in sets.items():
+        for key in ngram_join.part_keys(hashes, ends, 80).tolist():
+            holders[key].add(i)
+    for same in holders.values():
+        assert len(same) < 2 or any(same <= g for g in groups.values())
+    for tile in (1, 512):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame, tile=tile).collect()}
+        assert got == brute_components(data, 5, 80)
+
+
 def test_tiles_hold_no_more_elements_than_they_may(spark):
     sizes = [3] * 200 + [40] * 20 + [500]
     classes = spark.createDataFrame([(k, 1, n) for k, n in enumerate(sizes)], "doc_id long, group long, n long")
