@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import threading
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,6 +18,7 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
 _writers: dict[str, list] = {}
 _folders: dict[str, SparkSession] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +46,11 @@ def remove_folder(folder: str) -> None:
     """Delete what an application has written, if its session still runs. Tables read back from there
     can no longer be used."""
     spark = _folders.pop(folder, None)
-    if spark is None or spark.sparkContext._jsc is None:
-        return
+    if spark is not None and spark.sparkContext._jsc is not None:
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -69,11 +74,22 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
                 del _writers[session]
 
 
-def materialise(frame: DataFrame, tag: str) -> DataFrame:
-    """``frame`` written as Parquet and read back: computed once, a cut in the lineage, and safe from
-    lost executors."""
+def materialise(frame: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
+    """``frame`` written as Parquet (in a codec other than the session's, if one is named) and read back:
+    computed once, a cut in the lineage, and safe from lost executors."""
     spark = frame.sparkSession
     path = f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    writer = frame.write.option("compression", codec) if codec else frame.write
     with shuffles_removed(spark):
-        frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+        writer.parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete what ``materialise`` has written for ``frame``, once nothing derived from it is still to be
+    computed: a loop frees the table of its former step."""
+    path = _paths.pop(frame, None)
+    if path is not None:
+        _delete(frame.sparkSession, path)
