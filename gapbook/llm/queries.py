@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapbook.llm import (
+    collocations,
     exact_dedup,
     fingerprint,
     langid,
@@ -70,6 +71,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_exact_dedup,
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_langid,
         op9_fingerprints,
         op10_sentencepiece,
+        op11_collocations,
     )
     return {f.__name__: f for f in own}
 
@@ -192,6 +198,25 @@ SELECT e.id AS doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, {shown
 FROM e JOIN f o ON o.id = e.id AND o.which = 0 JOIN f c ON c.id = e.id AND c.which = 1 JOIN f x ON x.id = e.next_id AND x.which = 0"""
 
 
+OP11 = rf"""
+WITH t AS (SELECT coalesce(lang, '{collocations.UNDETERMINED}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+i AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, least({collocations.MOST_WORDS}, len(ws) - i + 1))) AS k FROM i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+j AS (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c),
+s AS (SELECT j.lang, j.phrase, j.a, l.a AS l, r.a AS r, j, {collocations.SCALE}::HUGEINT * j.a // (l.a + r.a) AS score
+  FROM j JOIN f l ON l.lang = j.lang AND l.phrase = array_to_string(j.ws[1:j.j], ' ') JOIN f r ON r.lang = j.lang AND r.phrase = array_to_string(j.ws[j.j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+m AS (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
+x AS (SELECT lang, array_to_string(ws[o:o + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS o FROM m) GROUP BY ALL),
+y AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase
+  WHERE NOT coalesce(100 * x.longer >= {collocations.INSIDE} * b.a, false))
+SELECT y.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM y JOIN n ON n.lang = y.lang WHERE rank <= {collocations.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Without SQL: personal data (offsets of matches), sharding and language models, tokenizers."""
-    return {"op1_exact_dedup": OP1, "op5_ngram_join": OP5, "op6_url_filters": _op6(), "op7_mixing": OP7, "op9_fingerprints": _op9()}
+    return {"op1_exact_dedup": OP1, "op5_ngram_join": OP5, "op6_url_filters": _op6(), "op7_mixing": OP7, "op9_fingerprints": _op9(), "op11_collocations": OP11}
