@@ -17,6 +17,7 @@ from gapbook.llm import (
     pii,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     token_counts,
     url_filter,
 )
@@ -75,6 +76,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_exact_dedup,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_fingerprints,
         op10_sentencepiece,
         op11_collocations,
+        op12_spelling_variants,
     )
     return {f.__name__: f for f in own}
 
@@ -217,6 +223,23 @@ y AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC,
 SELECT y.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM y JOIN n ON n.lang = y.lang WHERE rank <= {collocations.TOP}"""
 
 
+_CRC_TABLE = "list_transform(range(256), lambda c: list_reduce(list_prepend(c, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+o AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM r WHERE length(run) >= {spelling_variants.LEAST_LETTERS} GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM o, crc),
+w AS (SELECT CASE WHEN h % {spelling_variants.TYPO} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1),
+words AS (SELECT word, n FROM w WHERE length(word) >= {spelling_variants.LEAST_LETTERS} AND n >= {spelling_variants.LEAST_COUNT}),
+v AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words)),
+p AS (SELECT a.word, b.word AS other FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word UNION SELECT v.word, b.word FROM v JOIN words b ON b.word = v.v UNION SELECT b.word, v.word FROM v JOIN words b ON b.word = v.v),
+q AS (SELECT p.word, p.other, x.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near FROM p JOIN words x ON x.word = p.other QUALIFY row_number() OVER (PARTITION BY p.word ORDER BY x.n DESC, p.other) = 1),
+f AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling_variants.MORE_FREQUENT} * n THEN other END AS form, CASE WHEN m >= {spelling_variants.MORE_FREQUENT} * n THEN m END AS form_n FROM words LEFT JOIN q ON q.word = words.word),
+g AS (SELECT word, word AS root FROM f UNION SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word JOIN f l ON l.word = g.root WHERE l.form IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Without SQL: personal data (offsets of matches), sharding and language models, tokenizers."""
-    return {"op1_exact_dedup": OP1, "op5_ngram_join": OP5, "op6_url_filters": _op6(), "op7_mixing": OP7, "op9_fingerprints": _op9(), "op11_collocations": OP11}
+    return {"op1_exact_dedup": OP1, "op5_ngram_join": OP5, "op6_url_filters": _op6(), "op7_mixing": OP7, "op9_fingerprints": _op9(), "op11_collocations": OP11, "op12_spelling_variants": OP12}
