@@ -224,7 +224,11 @@ def collocations(docs: DataFrame, s: CollocationSettings | None = None, text_col
     by its UTF-8 bytes. Sums are longs, products decimals of 38 digits.
     """
     s = s or CollocationSettings()
-    counted, totals = phrase_counts(docs, s, text_col, lang_col)
+    return ranked(*phrase_counts(docs, s, text_col, lang_col), s)
+
+
+def ranked(counted: DataFrame, totals: DataFrame, s: CollocationSettings) -> DataFrame:
+    """The candidates of ``lang, phrase, size, a`` by their scores, with each language's ``n``."""
     long = counted.where("size > 1").withColumn("words", F.split("phrase", " "))
     cuts = F.sequence(F.lit(1), F.col("size") - 1)
     sides = F.flatten(
@@ -242,5 +246,5 @@ def collocations(docs: DataFrame, s: CollocationSettings | None = None, text_col
     covered = F.expr(f"cast(longer as decimal(20, 0)) * 100 >= cast(a as decimal(20, 0)) * {int(s.inside)}")
     left = best.join(inside, ["lang", "phrase"], "left").where(~F.coalesce(covered, F.lit(False)))
     order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= s.top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    first = left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= s.top)
+    return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

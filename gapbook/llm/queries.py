@@ -11,6 +11,7 @@ from gapbook.llm import (
     collocations,
     exact_dedup,
     fingerprint,
+    hmm,
     langid,
     mixing,
     ngram_join,
@@ -80,6 +81,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_exact_dedup,
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_sentencepiece,
         op11_collocations,
         op12_spelling_variants,
+        op13_hmm,
     )
     return {f.__name__: f for f in own}
 
@@ -241,5 +247,5 @@ SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word =
 
 
 def oracle_sql() -> dict[str, str]:
-    """Without SQL: personal data (offsets of matches), sharding and language models, tokenizers."""
+    """Without SQL: personal data (offsets of matches), sharding, language models and tokenizers."""
     return {"op1_exact_dedup": OP1, "op5_ngram_join": OP5, "op6_url_filters": _op6(), "op7_mixing": OP7, "op9_fingerprints": _op9(), "op11_collocations": OP11, "op12_spelling_variants": OP12}

@@ -119,3 +119,10 @@ def numbered(frame: DataFrame, name: str, tag: str) -> DataFrame:
 def answers(rows: DataFrame, *values: str) -> DataFrame:
     """``chunk, answers``: for each chunk the structs ``values`` of its rows."""
     return rows.groupBy("chunk").agg(F.collect_list(F.struct(*values)).alias("answers"))
+
+
+def answered(chunked: DataFrame, back: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` of each chunk's row and of the rows of ``back`` for that ``chunk`` (none, if there are none),
+    one chunk at a time."""
+    asked = back.withColumn("asked", F.col("chunk") + 0).drop("chunk")
+    return chunked.groupBy("chunk").cogroup(asked.groupBy("asked")).applyInArrow(run, schema)
