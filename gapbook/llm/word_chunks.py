@@ -62,31 +62,32 @@ class _Chunk:
         return pa.RecordBatch.from_arrays(fields, ["chunk", "key", "ids", "lengths", "tokens", "words", "counts"])
 
 
-def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Callable[[bytes], list[bytes]], tag: str, gap: bytes | None = None) -> DataFrame:
+def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Callable[[bytes], list[bytes]], tag: str, gap: bytes | None = None, size: int | None = None) -> DataFrame:
     """A written table of chunks: of texts with the same ``key``, their ids, their numbers of tokens, all
     tokens in a row as 4-byte local numbers, and the words that these stand for from 1 on, with their
     counts. ``split`` makes tokens of the UTF-8 bytes of a text (a null text has none); the token ``gap``
     is no word and has number 0.
 
-    A chunk holds CHUNK_WORDS tokens, and those of one text more; a task holds no more than that over
-    all keys, as it writes all its chunks when they reach this sum.
+    A chunk holds ``size`` tokens (CHUNK_WORDS), and those of one text more; a task holds no more than
+    that over all keys, as it writes all its chunks when they reach this sum.
     """
+    most = size or CHUNK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, written, held, size = TaskContext.get().partitionId() << 32, 0, {}, 0
+        place, written, held, total = TaskContext.get().partitionId() << 32, 0, {}, 0
         for batch in sliced(batches, "text"):
             for i, k, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 chunk = held.get(k)
                 if chunk is None:
                     chunk = held[k] = _Chunk(gap)
-                size -= chunk.size
+                total -= chunk.size
                 chunk.add(i, split(t or b""))
-                size += chunk.size
-                if size >= CHUNK_WORDS:
+                total += chunk.size
+                if total >= most:
                     for name, full in held.items():
                         yield full.row(place + written, name)
                         written += 1
-                    held, size = {}, 0
+                    held, total = {}, 0
         for name, full in held.items():
             yield full.row(place + written, name)
             written += 1

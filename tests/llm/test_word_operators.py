@@ -277,7 +277,7 @@ def brute_base(rows):
 
 
 def test_language_model_counts_and_learns(docs, rows, monkeypatch):
-    monkeypatch.setattr(word_chunks, "CHUNK_WORDS", 3000)
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 3000)
     trained = hmm.train(docs, rounds=4)
     assert all(a < b for a, b in itertools.pairwise(trained.logs))
     found, expected = hmm.score(trained).collect(), brute_base(rows)
