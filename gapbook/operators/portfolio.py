@@ -21,6 +21,8 @@ RECENT, FLOOR, CEILING = 10, 20, 252
 #: Symbols up to which a covariance goes by pairs; symbols in a block beyond, and pairs of blocks whose
 #: sums a task holds.
 PAIR_SYMBOLS, BLOCK_SYMBOLS, HELD_BLOCKS = 100, 128, 64
+#: A rebalance that moves no more than this has not turned the book over: what rounding moves counts as nothing.
+NO_TURN = 1e-9
 PERIODS = {"monthly": "month", "quarterly": "quarter", "annually": "year"}
 LOWER_IS_BETTER = ("volatility", "var_95", "cvar_95", "max_weight")
 
@@ -381,7 +383,7 @@ def rebalanced_suite(complete: DataFrame, frequency: str, lookback: int | None,
     summary = portfolio_metrics(_as_daily(days, s.initial_capital, ["portfolio"]), s)
     turns = weights.groupBy("portfolio", "rebalance").agg(F.sum("_change").alias("_t"))
     turns = turns.groupBy("portfolio").agg(
-        F.count(F.lit(1)).alias("rebalance_count"), F.coalesce(F.avg(F.when(F.col("_t") > 0, F.col("_t"))), F.lit(0.0)).alias("average_turnover"), F.max("rebalance").alias("_last")
+        F.count(F.lit(1)).alias("rebalance_count"), F.coalesce(F.avg(F.when(F.col("_t") > NO_TURN, F.col("_t"))), F.lit(0.0)).alias("average_turnover"), F.max("rebalance").alias("_last")
     )
     dated = weights.join(F.broadcast(dates.select("rebalance", F.col("date").alias("rebalance_date"))), "rebalance")
     latest = latest_snapshot(dated)

@@ -296,6 +296,12 @@ def _rounded(names: str, digits: int) -> str:
     return ", ".join(f"round({n.strip()}, {digits}) AS {n.strip()}" for n in names.split(","))
 
 
+def _by_scale(names: str, digits: int = 9, money: int = 3) -> str:
+    """As the queries round: money to less than a cent, shares to ``digits`` places."""
+    return ", ".join(f"round({n.strip()}, {money if n.strip() in MONEY else digits}) AS {n.strip()}" for n in names.split(","))
+
+
+MONEY = ("starting_equity", "ending_equity", "deployed_capital")
 OHLCV = "open, high, low, close, volume"
 DAILY = "starting_equity, ending_equity, gross_return, cost_return, net_return, gross_exposure, round_trip_turnover, cost_rate_bps, deployed_capital, cash_weight"
 METRICS = (
@@ -385,8 +391,8 @@ SELECT (SELECT count(DISTINCT symbol) FROM members) AS member_symbols, (SELECT c
   string_agg(symbol, ',' ORDER BY symbol) AS missing_symbols, true AS point_in_time, printf('%d price symbols have no membership spell and are excluded.', count(*)) AS warning
 FROM (SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM members))""",
         "cost_as_of": "SELECT d.signal_date, e.rate_bps AS cost_rate_bps FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS signal_date FROM orders) d ASOF JOIN eras e ON d.signal_date >= e.start",
-        "backtest_daily": f"SELECT run, signal_date, exit_date, trade_count, {_rounded(DAILY, 4)} FROM daily",
-        "backtest_limited": f"SELECT run, signal_date, exit_date, trade_count, {_rounded(DAILY, 4)} FROM limited",
+        "backtest_daily": f"SELECT run, signal_date, exit_date, trade_count, {_by_scale(DAILY)} FROM daily",
+        "backtest_limited": f"SELECT run, signal_date, exit_date, trade_count, {_by_scale(DAILY)} FROM limited",
         "trade_blotter": f"SELECT run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 5)} FROM ({trades})",
         "trade_blotter_limited": f"SELECT run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 3)} FROM ({_blotter('limited', 'least(weight, adv_dollars * 1.93719::DOUBLE / deployed_capital)')})",
         "equity_curve": f"SELECT run, date, {_rounded('equity, drawdown', 6)} FROM ({_CURVE})",
@@ -448,7 +454,7 @@ FROM complete c JOIN (SELECT symbol, quantile_cont(ret, 0.02) AS a, quantile_con
 SELECT symbol, round(1.0 / 10000 + 2.0 / 10000 * greatest(0.25, least(4.0, v / m)), 10) AS rate
 FROM (SELECT symbol, stddev_pop(overnight_return) AS v FROM rets GROUP BY symbol), (SELECT avg(v) AS m FROM (SELECT stddev_pop(overnight_return) AS v FROM rets GROUP BY symbol))""",
         "constant_mix_path": f"""
-SELECT portfolio, date AS exit_date, date AS signal_date, trade_count, {_rounded("gross_return, cost_return, gross_exposure, round_trip_turnover, net_return, ending_equity, starting_equity", 4)}
+SELECT portfolio, date AS exit_date, date AS signal_date, trade_count, {_by_scale("gross_return, cost_return, gross_exposure, round_trip_turnover, net_return, ending_equity, starting_equity", 10)}
 FROM ({_compounded("(SELECT *, gross_return - cost_return AS net_return FROM mix_days)", str(CAPITAL), "portfolio", "date")})""",
         "constant_mix_statistics": f"""
 SELECT 'equal' AS portfolio, {_rounded("expected_return, volatility, sharpe, var_95, cvar_95", 7)} FROM (SELECT avg(gross_return) * 252 AS expected_return, stddev_pop(gross_return) * sqrt(252.0) AS volatility,

@@ -37,6 +37,18 @@ def rounded(frame: DataFrame, digits: int = 8) -> DataFrame:
     return frame.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in frame.dtypes))
 
 
+#: Columns in money; all other doubles of daily results are shares of it.
+MONEY = ("starting_equity", "ending_equity", "deployed_capital")
+
+
+def by_scale(frame: DataFrame, digits: int = 9, money: int = 3) -> DataFrame:
+    """Doubles rounded as far as their size lets two engines agree: money to less than a cent, returns,
+    costs and weights to ``digits`` places."""
+    return frame.select(
+        *(F.round(c, money if c in MONEY else digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in frame.dtypes)
+    )
+
+
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     return signals.generate_signals(bars(spark, d), SIGNAL)
 
@@ -193,11 +205,11 @@ def cost_as_of(spark, d):
 
 
 def backtest_daily(spark, d):
-    return rounded(_daily(spark, d), 4)
+    return by_scale(_daily(spark, d))
 
 
 def backtest_limited(spark, d):
-    return rounded(_daily(spark, d, LIMITED), 4)
+    return by_scale(_daily(spark, d, LIMITED))
 
 
 def trade_blotter(spark, d):
@@ -361,7 +373,7 @@ def _equal_book(complete):
 
 def constant_mix_path(spark, d):
     complete, _ = _complete(spark, d)
-    return rounded(pf.static_path(_equal_book(complete), complete, PORTFOLIO), 4)
+    return by_scale(pf.static_path(_equal_book(complete), complete, PORTFOLIO), 10)
 
 
 def constant_mix_statistics(spark, d):
@@ -404,7 +416,7 @@ def custom_portfolio(spark, d):
 
 
 def nightly_daily(spark, d):
-    return rounded(nightly.nightly_suite(bars(spark, d), NIGHTLY).daily, 6)
+    return by_scale(nightly.nightly_suite(bars(spark, d), NIGHTLY).daily)
 
 
 def nightly_metrics(spark, d):
