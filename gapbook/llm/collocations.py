@@ -59,13 +59,13 @@ class CollocationSettings:
     inside: int = INSIDE
 
 
-def _word_numbers(data: pa.Array) -> np.ndarray:
-    return np.frombuffer(data.as_py(), "<u4")
+def _word_numbers(data: pa.Scalar) -> np.ndarray:
+    return word_chunks.unpacked(data.as_py())
 
 
 def _frequent_chunks(chunked: DataFrame, back: DataFrame) -> DataFrame:
-    """``chunk, words, mask, grams``: the numbers of frequent words, a 0 for each stretch without any, as
-    bytes; which places have a word; and how many pairs of words."""
+    """``chunk, words, mask, grams``: the numbers of frequent words, a 0 for each stretch without any,
+    packed; which places have a word; and how many pairs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +83,7 @@ def _frequent_chunks(chunked: DataFrame, back: DataFrame) -> DataFrame:
 
 def _coded(chunk: int, words: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
     grams = int(np.count_nonzero(mask[:-1] & mask[1:]))
-    fields = [pa.array([chunk], pa.int64()), pa.array([words.astype("<u4").tobytes()], pa.binary()), pa.array([np.packbits(mask).tobytes()], pa.binary()), pa.array([grams], pa.int64())]
+    fields = [pa.array([chunk], pa.int64()), pa.array([word_chunks.packed(words)], pa.binary()), pa.array([np.packbits(mask).tobytes()], pa.binary()), pa.array([grams], pa.int64())]
     return pa.RecordBatch.from_arrays(fields, ["chunk", "words", "mask", "grams"])
 
 
@@ -182,7 +182,7 @@ def phrase_counts(docs: DataFrame, s: CollocationSettings | None = None, text_co
     if bits > 32:
         raise ValueError("more than 2 ** 32 frequent words")
     back = word_chunks.answers(each.join(words.select("key", "word", "word_id"), ["key", "word"]).select("chunk", "place", "word_id"), "place", "word_id")
-    coded = materialise(_frequent_chunks(chunked, back), "frequent-chunks", "zstd")
+    coded = materialise(_frequent_chunks(chunked, back), "frequent-chunks")
     discard(chunked)
     levels = []
     for n in range(2, s.most_words + 1):
@@ -190,7 +190,7 @@ def phrase_counts(docs: DataFrame, s: CollocationSettings | None = None, text_co
         found = materialise(_merge(_runs(coded, layout), layout, s.least), "merged-filters")
         levels.append(found.where("chunk is null").select("gram", "a"))
         if n < s.most_words:
-            before, coded = coded, materialise(_extended(coded, found, layout), "extended-chunks", "zstd")
+            before, coded = coded, materialise(_extended(coded, found, layout), "extended-chunks")
             discard(before)
     discard(coded)
     one = words.select(F.col("key").alias("lang"), F.col("word").alias("phrase"), F.lit(1).alias("size"), "a")

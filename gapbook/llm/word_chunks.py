@@ -24,6 +24,19 @@ CHUNK_WORDS = 4_000_000
 SCHEMA = "chunk long, key string, ids array<long>, lengths array<long>, tokens binary, words array<string>, counts array<long>"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the greatest needs, compressed: a shuffle then moves little."""
+    top = int(numbers.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    raw = numbers.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{data[0]}").astype(np.uint32)
+
+
 class _Chunk:
     def __init__(self, gap: bytes | None) -> None:
         self.number: dict[bytes, int] = defaultdict(count(1).__next__)
@@ -55,7 +68,7 @@ class _Chunk:
             pa.array([key], pa.string()),
             one(pa.array(self.ids, pa.int64())),
             one(pa.array(self.lengths, pa.int64())),
-            pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+            pa.array([packed(tokens)], pa.binary()),
             one(words),
             one(pa.array(counts, pa.int64())),
         ]
@@ -64,7 +77,7 @@ class _Chunk:
 
 def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Callable[[bytes], list[bytes]], tag: str, gap: bytes | None = None, size: int | None = None) -> DataFrame:
     """A written table of chunks: of texts with the same ``key``, their ids, their numbers of tokens, all
-    tokens in a row as 4-byte local numbers, and the words that these stand for from 1 on, with their
+    tokens in a row as ``packed`` local numbers, and the words that these stand for from 1 on, with their
     counts. ``split`` makes tokens of the UTF-8 bytes of a text (a null text has none); the token ``gap``
     is no word and has number 0.
 
@@ -93,7 +106,7 @@ def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Ca
             written += 1
 
     rows = docs.select(doc_id.cast("long").alias("doc_id"), key.alias("key"), text.cast("binary").alias("text"))
-    return materialise(rows.mapInArrow(run, SCHEMA), f"{tag}-chunks", "zstd")
+    return materialise(rows.mapInArrow(run, SCHEMA), f"{tag}-chunks")
 
 
 def chunk_words(chunked: DataFrame) -> DataFrame:
