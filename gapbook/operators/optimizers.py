@@ -30,12 +30,14 @@ class OptimizerSettings:
     cvar_iterations: int = 500
 
     def __post_init__(self) -> None:
-        """Fractions and levels are brought into their range; what must be positive has to be."""
-        object.__setattr__(self, "kelly_fraction", min(max(float(self.kelly_fraction), 0.0), 1.0))
-        object.__setattr__(self, "cvar_alpha", min(max(float(self.cvar_alpha), 0.5), 0.999))
+        """Fractions and levels are brought into their range; where one is not finite, or a value has to be
+        positive and is not, the default stands in."""
+        for name, low, high in (("kelly_fraction", 0.0, 1.0), ("cvar_alpha", 0.5, 0.999)):
+            given = float(getattr(self, name))
+            object.__setattr__(self, name, min(max(given, low), high) if np.isfinite(given) else type(self).__dataclass_fields__[name].default)
         for name in ("risk_aversion", "bl_tau", "bl_prior_risk", "bl_risk_aversion"):
-            if not getattr(self, name) > 0:
-                raise ValueError(f"{name} must be positive")
+            if not float(getattr(self, name)) > 0:
+                object.__setattr__(self, name, type(self).__dataclass_fields__[name].default)
 
     def cap(self, method: str) -> float | None:
         value = dict(self.caps).get(method, self.max_weight)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from gapbook.operators import optimizers as opt
 from gapbook.operators.backtest import compound
 from gapbook.operators.metrics import performance_metrics
+from gapbook.operators.solver import Blocks
+from gapbook.operators.solver import suite_weights as solver_weights
 from gapbook.sources.scratch import materialise
 
 # Fixed values of the estimation set: rungs of coverage, recent dates, least and most observations.
@@ -21,6 +23,8 @@ RECENT, FLOOR, CEILING = 10, 20, 252
 #: Symbols up to which a covariance goes by pairs; symbols in a block beyond, and pairs of blocks whose
 #: sums a task holds.
 PAIR_SYMBOLS, BLOCK_SYMBOLS, HELD_BLOCKS = 100, 128, 64
+#: Numbers of returns, and of covariances, up to which one task weights a whole set (32 MB each).
+TASK_CELLS = 1 << 22
 #: A rebalance that moves no more than this has not turned the book over: what rounding moves counts as nothing.
 NO_TURN = 1e-9
 PERIODS = {"monthly": "month", "quarterly": "quarter", "annually": "year"}
@@ -278,9 +282,19 @@ def portfolio_statistics(weights: DataFrame, complete: DataFrame, risk_free: flo
 # -- suites
 
 
-def suite_weights(complete: DataFrame, settings: opt.OptimizerSettings, methods: Sequence[str] = opt.SUITE) -> DataFrame:
-    """``portfolio, symbol, weight`` for all symbols. Each symbol's returns become one array on Spark;
-    the methods share one window, symbols times common dates of doubles, and its moments."""
+def suite_weights(complete: DataFrame, settings: opt.OptimizerSettings, methods: Sequence[str] = opt.SUITE, task_cells: int = TASK_CELLS) -> DataFrame:
+    """``portfolio, symbol, weight`` for all symbols. A set of which returns and covariances both have
+    ``task_cells`` numbers at most is weighted in one task, where the methods share its moments; a larger
+    one by steps over blocks of its moments, to the same weights."""
+    size = complete.agg(F.count_distinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("cells")).first()
+    if max(size.symbols**2, size.cells) > task_cells:
+        blocks = Blocks(complete, covariance(complete), expected_returns(complete, "winsorized"))
+        found = solver_weights(blocks, settings, methods)
+        blocks.close()
+        frames = [pd.DataFrame({"portfolio": m, "i": np.arange(blocks.n), "weight": found[m]}) for m in methods]
+        # a row a symbol and method
+        rows = complete.sparkSession.createDataFrame(pd.concat(frames), "portfolio string, i int, weight double")
+        return rows.join(blocks.numbers, "i").select("portfolio", "symbol", "weight")
     arrays = complete.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "ret"))).alias("v")).select("symbol", F.transform("v", lambda x: x["ret"]).alias("x"))
 
     def weigh(rows: pd.DataFrame) -> pd.DataFrame:
