@@ -131,7 +131,7 @@ SQL_DEPTH = 5
 def _op6() -> str:
     rules = [(v, *r.partition("/")[::2], r) for v, r in url_filter.RULES]
     values = ", ".join(f"('{v}', '{h}', '/{p}', '{r}')" for v, h, p, r in rules)
-    down = up = ""
+    down, up, z = "", "", url_filter.REJECT_Z
     for k in range(1, SQL_DEPTH + 1):
         star = f"list_concat(list_append(t.t[1:{k - 1}], '*'), t.t[{k + 1}:])"
         down += f"""
@@ -154,8 +154,9 @@ lab AS (SELECT page_id, max(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0
 g0 AS (SELECT p.page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS t FROM p LEFT JOIN lab ON lab.page_id = p.page_id),{down}
 m{SQL_DEPTH} AS (SELECT host, t AS raw, t, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM g{SQL_DEPTH} GROUP BY 1, 2),{up}
 base AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS share FROM m0),
-pure AS (SELECT host, t, 1 - (sum(b) + {url_filter.PRIOR} * any_value(share)) / (sum(n) + {url_filter.PRIOR}) AS purity,
-  any_value(share) > 0 AND (sum(b) + {url_filter.PRIOR} * any_value(share)) / (sum(n) + {url_filter.PRIOR}) >= {url_filter.LIFT} * any_value(share) AS rejected FROM m0, base GROUP BY 1, 2),
+sums AS (SELECT host, t, sum(n) AS n, sum(b) AS b FROM m0 GROUP BY 1, 2),
+pure AS (SELECT host, t, 1 - (b + {url_filter.PRIOR} * share) / (n + {url_filter.PRIOR}) AS purity, CASE WHEN n >= {url_filter.LEAST_LABELS} THEN
+  (b / n + {z * z} / (2 * n) - {z} * sqrt(b / n * (1 - b / n) / n + {z * z} / (4 * n * n))) / (1 + {z * z} / n) > share ELSE false END AS rejected FROM sums, base),
 fit AS (SELECT r.page_id, arg_max(v.rule, length(v.rule)) AS rule, arg_max(v.verdict, length(v.rule)) AS verdict FROM g0 r JOIN (VALUES {values}) AS v(verdict, rhost, rpath, rule)
   ON (r.host = v.rhost OR ends_with(r.host, '.' || v.rhost)) AND starts_with(r.path, v.rpath) GROUP BY r.page_id)
 SELECT r.page_id, r.host, r.path, f.rule, coalesce(f.verdict, CASE WHEN pure.rejected THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(m.t, '/') AS template, round(purity, 9) AS purity

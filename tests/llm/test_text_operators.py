@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -943,3 +944,57 @@ def test_queries_are_registered(spark):
     names = queries.queries()
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+# -- url filters: what is rejected, and at what cost
+
+
+def judged(spark, pages):
+    """``pages`` are (url, bad or None)."""
+    frame = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(pages)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(pages) if b is not None], "page_id long, bad int")
+    return [r.verdict for r in url_filter.url_verdicts(frame, labels, rules=()).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("base", [0.05, 0.9])
+def test_bad_templates_go_at_any_base_share(spark, base):
+    """Half of a host's pages are all bad below one branch; the other pages are bad at the base share."""
+    rng = random.Random(1)
+    worst = [(f"http://a.com/spam/{k}", 1) for k in range(300)]
+    others = [(f"http://{h}.com/{s}/{k}", int(rng.random() < base)) for h in "bcd" for s in ("x", "y") for k in range(300)]
+    got = judged(spark, worst + others)
+    assert set(got[: len(worst)]) == {"block"} and set(got[len(worst) :]) == {"allow"}
+
+
+def test_few_labels_never_block(spark):
+    pages = [(f"http://h{k}.com/a/{j}", 1) for k in range(30) for j in range(2)] + [(f"http://good{k}.com/a/{j}", 0) for k in range(60) for j in range(20)]
+    assert set(judged(spark, pages)) == {"allow"}
+
+
+def test_labels_without_relation_to_addresses_block_nothing(spark):
+    rng = random.Random(7)
+    pages = [(f"http://{rng.choice('abcdefgh')}.com/{rng.choice(['en', 'fr', 'de'])}/{k}", int(rng.random() < 0.25)) for k in range(4000)]
+    assert judged(spark, pages).count("block") == 0
+
+
+def test_blocked_pages_are_worse_in_held_out_labels(spark):
+    """Labels of even pages teach; those of odd ones judge."""
+    rng = random.Random(3)
+    share = {("a", "x"): 0.7, ("a", "y"): 0.1, ("b", "x"): 0.1, ("b", "y"): 0.1, ("c", "x"): 0.6}
+    pages = [(f"http://{h}.com/{s}/{k}", int(rng.random() < p)) for k in range(200) for (h, s), p in share.items()]
+    got = judged(spark, [(u, b if k % 2 == 0 else None) for k, (u, b) in enumerate(pages)])
+    blocked = [b for k, ((_, b), v) in enumerate(zip(pages, got, strict=True)) if k % 2 and v == "block"]
+    allowed = [b for k, ((_, b), v) in enumerate(zip(pages, got, strict=True)) if k % 2 and v == "allow"]
+    assert len(blocked) > 150 and sum(blocked) / len(blocked) > 0.5 > 0.2 > sum(allowed) / len(allowed)
+
+
+def test_deep_paths_take_no_more_jobs(spark):
+    """One url of 2,000 segments, and pages that share 100 of them: segments from DEPTH on are one."""
+    deep = "/".join(f"s{k}" for k in range(2000))
+    shared = "/".join("abcdefghij" * 10)
+    pages = [(f"http://h.com/{deep}", 1)] + [(f"http://h.com/{shared}/{k}", 0) for k in range(40)]
+    began = time.time()
+    assert len(judged(spark, pages)) == 41
+    assert time.time() - began < 120
+    parts = spark.createDataFrame([(f"/{deep}", "/a//b/")], "deep string, short string").select(url_filter.segments(F.col("deep")).alias("d"), url_filter.segments(F.col("short")).alias("s")).first()
+    assert len(parts.d) == url_filter.DEPTH and "/".join(parts.d) == deep and parts.s == ["a", "b"]
