@@ -7,6 +7,7 @@ whole vocabulary, and nothing is broadcast, however large it grows.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -21,20 +22,26 @@ from gapbook.llm.common import materialise, sliced
 
 #: Words of a chunk; one text more may stand in it. A text is never divided.
 CHUNK_WORDS = 4_000_000
-SCHEMA = "chunk long, key string, ids array<long>, lengths array<long>, tokens binary, words array<string>, counts array<long>"
+SCHEMA = "chunk long, key string, ids array<long>, counted array<boolean>, lengths array<long>, tokens binary, words array<string>, counts array<long>"
+#: Words of all chunks that meet in a bucket of hashes, on average, and the least bits of a bucket's number.
+BUCKET_WORDS, LEAST_BITS = 1 << 17, 6
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers in as few bytes each as the greatest needs, compressed: a shuffle then moves little."""
     top = int(numbers.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
     raw = numbers.astype(f"<u{width}").tobytes()
     return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     raw = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, f"<u{data[0]}").astype(np.uint32)
+    return np.frombuffer(raw, f"<u{data[0]}").astype(np.uint32 if data[0] <= 4 else np.uint64)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
 class _Chunk:
@@ -43,13 +50,15 @@ class _Chunk:
         if gap is not None:
             self.number[gap] = 0
         self.ids: list[int | None] = []
+        self.counted: list[bool] = []
         self.lengths: list[int] = []
         self.parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, tokens: list[bytes]) -> None:
+    def add(self, doc_id: int | None, counted: bool, tokens: list[bytes]) -> None:
         part = np.fromiter(map(self.number.__getitem__, tokens), np.uint32, len(tokens))
         self.ids.append(doc_id)
+        self.counted.append(counted)
         self.lengths.append(len(part))
         self.parts.append(part)
         self.size += len(part) + 1
@@ -57,8 +66,14 @@ class _Chunk:
     def row(self, chunk: int, key: str) -> pa.RecordBatch:
         tokens = np.concatenate([np.zeros(0, np.uint32), *self.parts])
         own = [w for w, n in self.number.items() if n]
-        counts = np.bincount(tokens, minlength=len(own) + 1)[1:]
-        words = pa.array(own, pa.binary()).cast(pa.string())
+        # words are numbered anew in the order of their hashes, so that a bucket of hashes is a stretch
+        order = np.argsort(hashes(own), kind="stable")
+        place = np.zeros(len(own) + 1, np.uint32)
+        place[order + 1] = np.arange(1, len(own) + 1)
+        tokens = place[tokens]
+        told = np.repeat(np.array(self.counted, bool), self.lengths)
+        counts = np.bincount(tokens[told], minlength=len(own) + 1)[1:]
+        words = pa.array([own[k] for k in order.tolist()], pa.binary()).cast(pa.string())
 
         def one(values: pa.Array) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -67,18 +82,19 @@ class _Chunk:
             pa.array([chunk], pa.int64()),
             pa.array([key], pa.string()),
             one(pa.array(self.ids, pa.int64())),
+            one(pa.array(self.counted, pa.bool_())),
             one(pa.array(self.lengths, pa.int64())),
             pa.array([packed(tokens)], pa.binary()),
             one(words),
             one(pa.array(counts, pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(fields, ["chunk", "key", "ids", "lengths", "tokens", "words", "counts"])
+        return pa.RecordBatch.from_arrays(fields, ["chunk", "key", "ids", "counted", "lengths", "tokens", "words", "counts"])
 
 
-def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Callable[[bytes], list[bytes]], tag: str, gap: bytes | None = None, size: int | None = None) -> DataFrame:
+def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Callable[[bytes], list[bytes]], tag: str, gap: bytes | None = None, size: int | None = None, counted: Column | None = None) -> DataFrame:
     """A written table of chunks: of texts with the same ``key``, their ids, their numbers of tokens, all
-    tokens in a row as ``packed`` local numbers, and the words that these stand for from 1 on, with their
-    counts. ``split`` makes tokens of the UTF-8 bytes of a text (a null text has none); the token ``gap``
+    tokens in a row as ``packed`` local numbers, and the words that these stand for from 1 on, in the order
+    of their hashes, with their counts in texts that are ``counted`` (all). ``split`` makes tokens of the UTF-8 bytes of a text (a null text has none); the token ``gap``
     is no word and has number 0.
 
     A chunk holds ``size`` tokens (CHUNK_WORDS), and those of one text more; a task holds no more than
@@ -89,12 +105,12 @@ def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, written, held, total = TaskContext.get().partitionId() << 32, 0, {}, 0
         for batch in sliced(batches, "text"):
-            for i, k, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for i, k, told, t in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 chunk = held.get(k)
                 if chunk is None:
                     chunk = held[k] = _Chunk(gap)
                 total -= chunk.size
-                chunk.add(i, split(t or b""))
+                chunk.add(i, told, split(t or b""))
                 total += chunk.size
                 if total >= most:
                     for name, full in held.items():
@@ -105,7 +121,7 @@ def chunks(docs: DataFrame, doc_id: Column, key: Column, text: Column, split: Ca
             yield full.row(place + written, name)
             written += 1
 
-    rows = docs.select(doc_id.cast("long").alias("doc_id"), key.alias("key"), text.cast("binary").alias("text"))
+    rows = docs.select(doc_id.cast("long").alias("doc_id"), key.alias("key"), (F.lit(True) if counted is None else counted).alias("counted"), text.cast("binary").alias("text"))
     return materialise(rows.mapInArrow(run, SCHEMA), f"{tag}-chunks")
 
 
@@ -115,6 +131,46 @@ def chunk_words(chunked: DataFrame) -> DataFrame:
     return each.select("chunk", "key", (F.col("place") + 1).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
 
+def buckets(chunked: DataFrame) -> DataFrame:
+    """``bucket, chunk, start, words, counts``: the dictionaries of all chunks by the first bits of the
+    words' hashes, words joined by blanks and compressed, counts packed. There are as many buckets as keep
+    their words, of all chunks, to BUCKET_WORDS on average."""
+    total = chunked.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    shift = 32 - min(max(LEAST_BITS, (total // BUCKET_WORDS).bit_length()), 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(1)[k].values.cast(pa.binary()).to_pylist()
+                counts = batch.column(2)[k].values.to_numpy()
+                bucket = hashes(words).astype(np.int64) >> shift
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+                ends = [*starts[1:], len(words)]
+                fields = [
+                    pa.array(bucket[starts] if starts else [], pa.int64()),
+                    pa.array([batch.column(0)[k].as_py()] * len(starts), pa.int64()),
+                    pa.array(starts, pa.int64()),
+                    pa.array([pa.compress(b" ".join(words[a:b]), codec="zstd", asbytes=True) for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    pa.array([sum(map(len, words[a:b])) + b - a - 1 for a, b in zip(starts, ends, strict=True)], pa.int64()),
+                    pa.array([packed(counts[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(fields, ["bucket", "chunk", "start", "words", "size", "counts"])
+
+    return chunked.select("chunk", "words", "counts").mapInArrow(run, "bucket long, chunk long, start long, words binary, size long, counts binary")
+
+
+def bucket_words(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of one bucket's rows: the place of each word among the bucket's different ones, its count, and where
+    the words of each row end."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    places, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for words, size, own in zip(*(group.column(c).to_pylist() for c in ("words", "size", "counts")), strict=True):
+        each = pa.decompress(words, decompressed_size=size, codec="zstd", asbytes=True).split(b" ")
+        places.append(np.fromiter(map(number.__getitem__, each), np.int64, len(each)))
+        counts.append(unpacked(own).astype(np.int64))
+    return np.concatenate(places), np.concatenate(counts), np.cumsum([len(p) for p in places[1:]]).tolist()
+
+
 def numbered(frame: DataFrame, name: str, tag: str) -> DataFrame:
     """``frame`` written, with a gapless number from 1 on: each partition's rows follow those before it."""
     start = F.spark_partition_id().cast("long")

@@ -279,6 +279,7 @@ def brute_base(rows):
 
 def test_language_model_counts_and_learns(docs, rows, monkeypatch):
     monkeypatch.setattr(hmm, "CHUNK_TOKENS", 3000)
+    monkeypatch.setattr(word_chunks, "BUCKET_WORDS", 50)
     trained = hmm.train(docs, rounds=4)
     assert all(a < b for a, b in itertools.pairwise(trained.logs))
     found, expected = hmm.score(trained).collect(), brute_base(rows)
@@ -296,8 +297,8 @@ def test_chances_of_all_tokens_sum_to_one(docs):
     trained = hmm.train(docs, states=3, rounds=2)
     words = trained.stats.where("word_id > 0").orderBy("word_id").select("s0", "s1", "s2").collect()
     c = Counter()
-    for r in trained.corpus.coded.where("train").select("words", "occurrences").collect():
-        c.update(dict(zip(r.words, r.occurrences, strict=True)))
+    for r in trained.corpus.coded.select("words", "occurrences").collect():
+        c |= dict(zip(r.words, r.occurrences, strict=True))
     e = trained.model.emissions(np.array(words), np.array([c[k] for k in sorted(c)]))
     assert np.allclose(e.sum(axis=0), 1)
 
