@@ -1,13 +1,14 @@
 """Five stages that make a training corpus of ``documents``, each one of the text operators.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the
-columns of ``documents``. The driver writes a stage's rows as Parquet and reads them as the next
-stage's documents; ``run`` does the same.
+columns of ``documents``, and other columns, whatever their names, go. The driver writes a stage's rows
+as Parquet and reads them as the next stage's documents; ``run`` does the same. Texts of any length are
+judged whole, and an empty table leaves every stage empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapbook.llm import exact_dedup, langid, mixing, ngram_join, sentencepiece_codec
@@ -23,20 +24,23 @@ def _named(docs: DataFrame, name: str, text: Column) -> DataFrame:
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
-    """One row of ``docs`` for each ``name`` in ``verdicts``: of several the least by its columns."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy("text", "lang", "source", "n_chars", "doc_id"))
-    one = docs.withColumn("place", place).where("place = 1")
-    return one.join(verdicts.select(name), name, "left_semi").select(*COLUMNS)
+    """One row of ``docs`` for each ``name`` in ``verdicts``: of several the least by its columns. Tasks
+    choose among their own rows before these move, so that a name many rows share is no burden."""
+    own = ["text", "lang", "source", "n_chars", "doc_id"]
+    found = docs.join(verdicts.select(name), name, "left_semi").groupBy(name).agg(F.min(F.struct(*own)).alias("row"))
+    return found.select("row.*").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or not a letter in them) go."""
+    docs = docs.select(*COLUMNS)
     model = langid.learn(docs)
     return langid.keep_identified(docs, model).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row with the smallest id stays; a null id loses to any other."""
+    docs = docs.select(*COLUMNS)
     kept = exact_dedup.exact_dedup(docs).where("kept")
     kept = kept.select(F.concat_ws(":", "text_sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("row_name"))
     return _keep(_named(docs, "row_name", exact_dedup.normalised("text")), kept, "row_name")
@@ -46,6 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) one row with the smallest id stays; a
     null id loses to any other. Rows that share an id, or have none, are judged by their own texts;
     of rows that repeat both one stays."""
+    docs = docs.select(*COLUMNS)
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = materialise(ids.where("rows > 1").select("doc_id"), "repeated-ids")
     missing = docs.where("doc_id is null")
@@ -66,12 +71,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come nearer to equal weights: documents repeat or go by Poisson counts."""
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every row."""
-    return sentencepiece_codec.round_trip(docs)
+    return sentencepiece_codec.round_trip(docs.select(*COLUMNS))
 
 
 STAGES = [
