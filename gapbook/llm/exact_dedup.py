@@ -212,7 +212,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     Returns ``id_col, keep_id, group_size, kept, text_sha256``. A null text counts as empty, and
     empty texts are copies of one another. Of equal texts the smallest id stays; a null id loses to
     any other. Rows that repeat an id with the same text count in ``group_size`` and share one fate.
-    An empty table gives an empty result; other columns, whatever their names, are ignored.
+    Texts of any length are compared whole. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

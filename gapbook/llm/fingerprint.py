@@ -139,7 +139,8 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next`` for every row. A null text counts as empty; a lone document is its own next one. Rows
     stand by id, those without one first, rows that repeat an id by a hash of their texts; each has
-    the row after it as its next. Texts without a paragraph are alike. Other columns are ignored.
+    the row after it as its next. Texts without a paragraph are alike, and texts of any length are read
+    whole. Other columns are ignored.
     """
     rows, plain = numbered(docs, text_col, id_col)
     pairs = with_edited(rows.select("id", "text"))

@@ -285,7 +285,8 @@ def personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     credentials, of which ``n_secret`` are seeds. ``n_private`` counts the spans in both. A null text
     counts as empty and has no spans. Base matches are the leftmost that do not overlap for each
     kind, and ones that fail their check are dropped; matches of different kinds may overlap. Rows
-    that repeat are searched one by one; other columns are ignored.
+    that repeat are searched one by one; texts of any length are searched whole, in linear time; other
+    columns are ignored.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))

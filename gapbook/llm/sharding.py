@@ -2,8 +2,8 @@
 
 A document's shard follows from its key and the number of shards alone: there is no ring table, and
 going from n to n + 1 shards moves rows only into the new shard, about 1/(n + 1) of them. Slots
-number the rows of a shard without gaps; they come from counts per block of ids, so no task ever
-holds a whole shard.
+number the rows of a shard without gaps; they come from counts by ranges of rows, as many as there are
+partitions, so no task ever holds a whole shard, however sparse or alike the ids are.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from gapbook.llm.common import materialise, text_or_empty
 
 SHARDS = 24
-#: Consecutive rows of one shard are numbered in blocks of this many ids.
-BLOCK_IDS = 4096
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -51,7 +49,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
     of the text (none for null) plus 8; ``law`` is ``key``; ``slot`` runs from 0 in each shard by id,
     then crc, then size (rows equal in all three are alike, so their order is immaterial);
     ``grown_shard`` is the shard if there were one more. The crc of a null text is that of an empty
-    one. All null ids share a key and a shard, where they stand first. Other columns are ignored.
+    one. All null ids share a key and a shard, where they stand first. Ids may be sparse or negative.
+    Texts of any length are read whole and stay where they are; only ids and numbers move. Other columns
+    are ignored.
     """
     data = text_or_empty(text_col).cast("binary")
     rows = docs.select(
@@ -65,29 +65,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
         "text_crc32",
         shard_of(F.col("key"), shards).alias("shard"),
         shard_of(F.col("key"), shards + 1).alias("grown_shard"),
-        # rows without an id stand before all others, in blocks by the first bits of their crc
-        F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62)) + F.shiftright("text_crc32", 16)).cast("long").alias("block"),
+        # rows alike in all else may be a large part of a table, and still fall into several ranges
+        F.monotonically_increasing_id().alias("tie"),
     )
+    order = ["doc_id", "text_crc32", "size", "tie"]
     rows = materialise(rows, "shard")
-    before = (
-        rows.groupBy("shard", "block")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("stretch", F.floor(F.col("block") / BLOCK_IDS))
-    )
-    # prefix counts in two levels, so that no window holds all blocks of a shard
-    stretches = before.groupBy("shard", "stretch").agg(F.sum("n").alias("n"))
-    by_shard = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = stretches.select("shard", "stretch", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        before.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(stretches, ["shard", "stretch"])
-        .select("shard", "block", (F.col("base") + F.col("inner")).alias("offset"))
-    )
-    in_block = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "shard-ranges")
+    # a row for each range and shard
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("shard", "range").orderBy(*order)
     return (
-        rows.withColumn("rank", F.row_number().over(in_block) - 1)
-        .join(offsets, ["shard", "block"])
+        ranged.withColumn("rank", F.row_number().over(inside) - 1)
+        .join(offsets, ["shard", "range"])
         .select(
             F.col("doc_id").alias(id_col),
             "size",

@@ -290,6 +290,21 @@ def test_slots_of_rows_without_ids(spark):
     assert len({r.shard for r in got if r.doc_id is None}) == 1
 
 
+@pytest.mark.parametrize("kind", ["sparse", "negative", "alike"])
+def test_slots_of_sparse_negative_and_alike_rows(spark, kind):
+    """Slots follow id, crc and size in each shard; windows hold a range of a shard, never the whole."""
+    rng = random.Random(kind)
+    ids = {"sparse": [rng.randrange(-(2**63), 2**63) for _ in range(3000)], "negative": [-k for k in range(3000)], "alike": [7] * 3000}[kind]
+    frame = spark.createDataFrame([(i, f"t{i % 10}") for i in ids], "doc_id long, text string").repartition(4)
+    slots = defaultdict(list)
+    for r in sharding.shard(frame, shards=5).collect():
+        slots[r.shard].append((r.doc_id, r.text_crc32, r.size, r.slot))
+    assert sum(map(len, slots.values())) == 3000
+    for own in slots.values():
+        by_slot = sorted(own, key=lambda r: r[-1])
+        assert [r[-1] for r in by_slot] == list(range(len(own))) and [r[:3] for r in by_slot] == sorted(r[:3] for r in own)
+
+
 # -- token counts
 
 
@@ -940,9 +955,26 @@ def test_stages_judge_each_row(spark):
     assert spaced.total() == 1 and set(spaced) <= {(1, "a b"), (1, "a  b")}
 
 
+def test_stages_of_empty_tables_and_clashing_columns(spark):
+    """Null and repeated ids beside columns that steps use inside."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"w{k}_{i}" for i in range(60)) for k in range(4)]
+    data = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[3]), (3, texts[0])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], SCHEMA)
+    clashing = frame.withColumns({c: F.lit(1) for c in ("number", "row_name", "row_id", "component_id", "row", "place", "least", "key", "mix_rate", "keep_id", "rows")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), SF).count() == 0, name
+        found = stage(spark, clashing, SF)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.columns == corpus_pipeline.COLUMNS, name
+        if name in ("exact dedup", "n-gram Jaccard join"):
+            assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(set(data[:4])), name
+
+
 def test_queries_are_registered(spark):
     names = queries.queries()
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
