@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapbook.sources.scratch import materialise
+
 EXPORT_ORDER = ("exit_date", "signal_date", "symbol", "signal_rank")
 
 
@@ -39,6 +41,19 @@ def export_order(trades: DataFrame) -> DataFrame:
     return trades.repartitionByRange(*EXPORT_ORDER).sortWithinPartitions(*EXPORT_ORDER)
 
 
+def export_ranked(trades: DataFrame) -> DataFrame:
+    """``export_rank``, from 1 on, in the order of an export: places within ranges of rows, and the rows of
+    the ranges before, so that no task orders all trades."""
+    ranged = materialise(trades.repartitionByRange(*EXPORT_ORDER).withColumn("_range", F.spark_partition_id()), "export-ranges")
+    # a row a partition
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*EXPORT_ORDER))
+    ranked = ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
+    return ranked.withColumn("export_rank", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def trade_summary(source: DataFrame, filtered: DataFrame, returned: int | None = None) -> DataFrame:
     """One row about all trades and the filtered ones; ``returned`` is how many of these are shown."""
     whole = source.agg(

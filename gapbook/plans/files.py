@@ -4,7 +4,6 @@ tables in the shared folder, in the form a vendor or a report has, and reads the
 from __future__ import annotations
 
 import datetime as dt
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -28,6 +27,7 @@ from gapbook.sources.synthetic import SyntheticMarket, synthetic_bars
 
 FILES = 8
 OWN_ERAS = ((dt.date(1999, 1, 1), 3.0, 4.0), (dt.date(1996, 6, 1), 10.0, 20.0))
+MARKET = SyntheticMarket(dt.date(2019, 1, 1), dt.date(2021, 12, 31))
 CLOSED_FORM = ("score_weighted", "equal_weight", "inverse_volatility")
 #: A cap that binds on some names of a book, so that projections have work to do.
 CAPPED = opt.OptimizerSettings(max_weight=0.3, iterations=60, cvar_iterations=60)
@@ -86,10 +86,8 @@ def bars_from_vendor_csv(spark, d):
     path = _folder(spark, "vendor-csv")
     named = own.select("symbol", F.col("date").alias("Date"), *(F.col(c).alias(f) for f, c in sb.FIELDS.items()))
     write_report(named, path, "csv", ["symbol"])
-    names = [(r.symbol, r.vendor) for r in own.select("symbol").distinct().select("symbol", sb.vendor_symbol("symbol").alias("vendor")).collect()]
     whole = spark.read.option("header", True).csv(path)
-    each = [sb.from_vendor_csv(whole.where(F.col("symbol") == name), vendor) for name, vendor in sorted(names)]
-    return q.rounded(functools.reduce(DataFrame.unionByName, each))
+    return q.rounded(sb.from_vendor_csv(whole.select("Date", *sb.FIELDS, "symbol"), sb.vendor_symbol("symbol")))
 
 
 def universe_from_csv(spark, d):
@@ -117,7 +115,7 @@ def membership_from_csv(spark, d):
 def synthetic_market(spark, d):
     """Generated bars of the given brands."""
     brands = table(spark, d, "part").select(F.col("p_brand").alias("symbol"))
-    return synthetic_bars(spark, brands, SyntheticMarket(dt.date(2019, 1, 1), dt.date(2021, 12, 31)))
+    return synthetic_bars(spark, brands, MARKET)
 
 
 def _trades(spark, d):
@@ -133,8 +131,8 @@ def trades_reported(spark, d):
 
 
 def trades_exported(spark, d):
-    """The blotter in export order."""
-    return q.rounded(blotter.export_order(_trades(spark, d)), 5)
+    """The blotter with each trade's place in export order."""
+    return q.rounded(blotter.export_ranked(_trades(spark, d)), 5)
 
 
 def cost_own_eras(spark, d):

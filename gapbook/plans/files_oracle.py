@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gapbook.plans.files import MARKET
 from gapbook.plans.oracle import _BLOTTER, _CODES, CAPITAL, OHLCV, _blotter, _compounded, _rounded, with_steps
 
 
@@ -68,6 +69,32 @@ nights AS (SELECT s.*, n.date AS signal_date, n.exit_date, greatest(0, 1 - weigh
   FROM sums s JOIN (SELECT DISTINCT night, date, exit_date FROM held) n ON n.night = s.night)"""
 
 
+def _uniform(what: str, *keys: str) -> str:
+    text = " || '|' || ".join([f"'{MARKET.seed}|{what}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def _normal(what: str, *keys: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(what + '/r', *keys)})) * cos(2 * pi() * {_uniform(what + '/a', *keys)}))"
+
+
+def _between(what: str, low: float, high: float) -> str:
+    return f"({low}::DOUBLE + ({high}::DOUBLE - {low}::DOUBLE) * {_uniform(what, 'symbol')})"
+
+
+def _market() -> str:
+    key = ("symbol", "date")
+    return f"""
+WITH made_days AS (SELECT date, 0.00005 + 0.0045 * {_normal("market night", "date")} AS m_night, 0.006 * {_normal("market day", "date")} AS m_day
+  FROM (SELECT CAST(unnest(generate_series(DATE '{MARKET.start}', DATE '{MARKET.end}', INTERVAL 1 DAY)) AS DATE) AS date) WHERE isodow(date) < 6),
+made_own AS (SELECT symbol, {_between("price", MARKET.price_min, MARKET.price_max)} AS p0, {_between("volume", MARKET.volume_min, MARKET.volume_max)} AS v0, 0.0001 + 0.0001 * {_normal("mu night", "symbol")} AS mu_n,
+  -0.00001 + 0.00007 * {_normal("mu day", "symbol")} AS mu_d, {_between("vol night", 0.0045, 0.0110)} AS vol_n, {_between("vol day", 0.0075, 0.0175)} AS vol_d, {_between("beta", 0.65, 1.35)} AS beta FROM (SELECT DISTINCT p_brand AS symbol FROM part)),
+made AS (SELECT symbol, date, p0, v0, beta * m_night + mu_n + vol_n * {_normal("night", *key)} AS night, beta * m_day + mu_d + vol_d * {_normal("day", *key)} AS day, abs(0.006 + 0.004 * {_normal("spread", *key)}) AS spread,
+  exp(0.35 * {_normal("noise", *key)}) AS noise FROM made_own, made_days),
+made_priced AS (SELECT *, c * exp(-day) AS o FROM (SELECT *, p0 * exp(sum(night + day) OVER (PARTITION BY symbol ORDER BY date)) AS c FROM made))
+SELECT date, symbol, round(o, 4) AS open, round(greatest(o, c) * (1 + spread), 4) AS high, round(least(o, c) * greatest(0.01, 1 - spread), 4) AS low, round(c, 4) AS close, greatest(1.0::DOUBLE, floor(v0 * noise)) AS volume FROM made_priced"""
+
+
 def _queries() -> dict[str, str]:
     return {
         "bars_from_parquet": f"SELECT date, symbol, {_rounded(OHLCV, 8)} FROM bars",
@@ -79,7 +106,8 @@ def _queries() -> dict[str, str]:
         "membership_from_csv": """
 SELECT upper(m.symbol) AS symbol, a AS start_date, CASE WHEN n % 3 <> 0 THEN b END AS end_date FROM members m JOIN spells s ON s.symbol = m.symbol WHERE n % 7 <> 0""",
         "trades_reported": f"SELECT run, signal_date, exit_date, symbol, signal_rank, year(exit_date) AS year, {_rounded(_BLOTTER, 5)} FROM ({_blotter('daily', 'weight')})",
-        "trades_exported": f"SELECT run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 5)} FROM ({_blotter('daily', 'weight')})",
+        "synthetic_market": _market(),
+        "trades_exported": f"SELECT row_number() OVER (ORDER BY exit_date, signal_date, symbol, signal_rank) AS export_rank, run, signal_date, exit_date, symbol, signal_rank, {_rounded(_BLOTTER, 5)} FROM ({_blotter('daily', 'weight')})",
         "cost_own_eras": "SELECT CAST(o_orderdate AS DATE) AS signal_date, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1999-01-01' THEN 30.0::DOUBLE ELSE 7.0::DOUBLE END AS cost_rate_bps FROM orders GROUP BY 1, 2",
         "cost_model": """
 SELECT 'historical' AS mode, e.era_start AS start, e.fees_bps::DOUBLE AS fees_bps, e.slippage_bps::DOUBLE AS slippage_bps, count(o.date) AS dates
@@ -114,5 +142,4 @@ def _joined(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Without SQL: generated bars, and the custom job's choice of a shorter history."""
     return {name: _joined(sql) for name, sql in _queries().items()}

@@ -75,10 +75,10 @@ def from_vendor_json(payload: DataFrame, symbol: Column | str = "symbol") -> Dat
     return payload.select(day.alias("date"), as_column(symbol).alias("symbol"), *(F.col(f).cast("double").alias(c) for f, c in wanted.items()))
 
 
-def from_vendor_csv(frame: DataFrame, symbol: str) -> DataFrame:
-    """Bars of one symbol's file with capitalised columns."""
+def from_vendor_csv(frame: DataFrame, symbol: Column | str) -> DataFrame:
+    """Bars of files with capitalised columns: of one symbol, named by a string, or of many, by a column."""
     date = "Date" if "Date" in frame.columns else frame.columns[0]
-    return frame.select(F.to_date(date).alias("date"), F.lit(symbol).alias("symbol"), *(F.col(f).cast("double").alias(c) for f, c in FIELDS.items()))
+    return frame.select(F.to_date(date).alias("date"), (symbol if isinstance(symbol, Column) else F.lit(symbol)).alias("symbol"), *(F.col(f).cast("double").alias(c) for f, c in FIELDS.items()))
 
 
 def vendor_symbol(symbol: Column | str) -> Column:

@@ -23,9 +23,10 @@ class SyntheticMarket:
 
 
 def _uniform(seed: int, what: str, *keys: str) -> Column:
-    """In (0, 1), from a hash of the seed, a name and the keys, so that every bar is reproducible."""
-    digest = F.xxhash64(F.lit(seed), F.lit(what), *map(F.col, keys))
-    return (F.pmod(digest, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """In (0, 1), from the first 52 bits of the MD5 of the seed, a name and the keys, so that every bar is
+    reproducible, by other engines too."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(what), *(F.col(k).cast("string") for k in keys)).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def _normal(seed: int, what: str, *keys: str) -> Column:

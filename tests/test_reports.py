@@ -106,6 +106,9 @@ def test_blotter_views(spark):
     empty = blotter.trade_summary(trades, trades.where("false")).first()
     assert empty.filtered_trades == 0 and empty.total_net_pnl == 0.0 and empty.win_rate is None
     assert [r.symbol for r in blotter.export_order(trades).collect()] == ["aapl", "AAPL", "MSFT"]
+    ranked = blotter.export_ranked(trades.repartition(3)).orderBy("export_rank").collect()
+    assert [(r.export_rank, r.symbol) for r in ranked] == [(1, "aapl"), (2, "AAPL"), (3, "MSFT")]
+    assert blotter.export_ranked(trades.limit(0)).count() == 0
 
 
 def test_equal_books_and_risk(spark):
