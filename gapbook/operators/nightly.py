@@ -3,16 +3,17 @@ the changes from last night's drifted book."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapbook.operators import optimizers as opt
+from gapbook.operators import stacked
 from gapbook.operators.backtest import compound
 from gapbook.operators.features import FeatureSettings, build_features
 from gapbook.operators.metrics import performance_metrics
@@ -21,6 +22,8 @@ from gapbook.operators.signals import candidates, top_n
 from gapbook.sources.scratch import materialise
 
 LEAST_ITERATIONS = 20
+#: Days of the calendar whose books are weighted together.
+NIGHTS = 64
 
 
 @dataclass(frozen=True)
@@ -72,32 +75,49 @@ def nightly_books(features: DataFrame, s: NightlySettings) -> DataFrame:
 
 def nightly_weights(books: DataFrame, s: NightlySettings, methods: Sequence[str] = opt.NIGHTLY) -> DataFrame:
     """``method, date, symbol, weight, fallback``: all methods of a night share its window, of at most
-    ``top_n`` times ``estimation_days`` returns, and its moments."""
+    ``top_n`` times ``estimation_days`` returns, and its moments; NIGHTS of them are a group, and take each
+    step of a method together."""
     unknown = [m for m in methods if m not in opt.NIGHTLY]
     if unknown:
         raise ValueError(f"unknown methods: {', '.join(unknown)}")
-    least = max(20, s.min_history)
-
-    def weigh(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("signal_rank")
-        places = [np.fromiter((h["pos"] for h in past), np.int64) if past is not None else np.zeros(0, np.int64) for past in rows["history"]]
-        common = functools.reduce(functools.partial(np.intersect1d, assume_unique=True), places)
-        returns = [np.fromiter((h["ret"] for h in past), float) if past is not None else np.zeros(0) for past in rows["history"]]
-        x = np.column_stack([r[np.searchsorted(at, common)] for at, r in zip(places, returns, strict=True)])
-        window, scores = opt.Estimates(x), rows["overnight_sharpe"].to_numpy(float)
-        found = [opt.nightly_weights(window, scores, m, s.optimizer, least) for m in methods]
-        return pd.DataFrame(
-            {
-                "method": np.repeat(np.array(methods, object), len(rows)),
-                "date": key[0],
-                "symbol": np.tile(rows["symbol"].to_numpy(object), len(methods)),
-                "weight": np.concatenate([w for w, _ in found]),
-                "fallback": np.repeat([short for _, short in found], len(rows)),
-            }
-        )
-
-    # a night's arrays come together in one shuffle; nights are many, so tasks share them evenly
-    return books.groupBy("date").applyInPandas(weigh, "method string, date date, symbol string, weight double, fallback boolean")
+    least, days = max(20, s.min_history), s.estimation_days
+
+    def weigh(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("date", "ascending"), ("signal_rank", "ascending")]).combine_chunks()
+        date, symbol = group.column("date"), group.column("symbol")
+        night = np.unique(date.to_numpy().astype("datetime64[D]").astype(np.int64), return_inverse=True)[1]
+        rank = np.arange(len(night)) - np.searchsorted(night, night)
+        scores, pos = group.column("overnight_sharpe").to_numpy(), group.column("pos").to_pandas().fillna(0).to_numpy(np.int64)
+        history = group.column("history").combine_chunks()
+        many = pc.fill_null(pc.list_value_length(history), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        past = history.flatten()
+        row = np.repeat(np.arange(len(night)), many)
+        place = past.field("pos").to_numpy().astype(np.int64) - pos[row] + days - 1
+        ret = past.field("ret").to_numpy()
+        sizes = np.bincount(night)
+        columns: dict[str, list] = {"method": [], "row": [], "weight": [], "fallback": []}
+        for n in np.unique(sizes).tolist():
+            # all nights of as many names in one stack
+            nth = np.full(len(sizes), -1)
+            nth[sizes == n] = np.arange(np.count_nonzero(sizes == n))
+            own = np.flatnonzero(nth[night] >= 0)
+            x = np.full((int((sizes == n).sum()), days, n), np.nan)
+            mine = nth[night[row]] >= 0
+            x[nth[night[row[mine]]], place[mine], rank[row[mine]]] = ret[mine]
+            windows = stacked.Windows(x, ~np.isnan(x).any(axis=2))
+            for m in methods:
+                w, short = stacked.nightly_weights(windows, scores[own].reshape(-1, n), m, s.optimizer, least)
+                columns["method"].append(np.repeat(np.array([m], object), len(own)))
+                columns["row"].append(own)
+                columns["weight"].append(w.ravel())
+                columns["fallback"].append(np.repeat(short, n))
+        found = {c: np.concatenate(v) for c, v in columns.items()}
+        rows = pa.array(found["row"])
+        return pa.table({"method": pa.array(found["method"], pa.string()), "date": date.take(rows), "symbol": symbol.take(rows), "weight": pa.array(found["weight"]), "fallback": pa.array(found["fallback"])})
+
+    # nights come together by NIGHTS, whose steps are taken at once
+    own = books.select("date", "symbol", "overnight_sharpe", "signal_rank", "pos", "history").withColumn("_nights", F.floor(F.unix_date("date") / NIGHTS))
+    return own.groupBy("_nights").applyInArrow(weigh, "method string, date date, symbol string, weight double, fallback boolean")
 
 
 @dataclass(frozen=True)

@@ -199,7 +199,7 @@ def suite_weights(given: Estimates | np.ndarray, method: str, s: OptimizerSettin
     raise ValueError(f"unknown method {method}")
 
 
-_SUITE_NAME = {"kelly": SUITE[0], "mean_variance": SUITE[1], "minimum_variance": SUITE[2], "inverse_volatility": SUITE[3], "cvar": SUITE[4], "black_litterman": SUITE[5]}
+SUITE_NAME = {"kelly": SUITE[0], "mean_variance": SUITE[1], "minimum_variance": SUITE[2], "inverse_volatility": SUITE[3], "cvar": SUITE[4], "black_litterman": SUITE[5]}
 
 
 def nightly_weights(given: Estimates | np.ndarray, scores: np.ndarray, method: str, s: OptimizerSettings, least_rows: int) -> tuple[np.ndarray, bool]:
@@ -213,4 +213,4 @@ def nightly_weights(given: Estimates | np.ndarray, scores: np.ndarray, method: s
     if method == "score_weighted" or short:
         v = np.maximum(scores, 0.0)
         return project_capped(v if v.sum() > 0 else np.ones(len(v)), s.max_weight), short and method != "score_weighted"
-    return suite_weights(e, _SUITE_NAME[method], s), False
+    return suite_weights(e, SUITE_NAME[method], s), False
