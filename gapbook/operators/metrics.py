@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapbook.operators.quantiles import exact_quantiles
+
 from gapbook.functions.columns import finite, ratio, sample_kurtosis, sample_skewness
 from gapbook.operators.backtest import drawdown
 
@@ -33,11 +35,15 @@ def over(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
-def var_cvar(returns: DataFrame, r: str = "ret", alpha: float = 0.95, runs: Sequence[str] = ()) -> DataFrame:
+def var_cvar(returns: DataFrame, r: str = "ret", alpha: float = 0.95, runs: Sequence[str] = (), buffer: int | None = None) -> DataFrame:
     """``var, cvar`` of each run: the (1 - alpha) quantile by linear interpolation and the mean of
-    what is at it or below. Nothing gives 0 and 0."""
+    what is at it or below. Nothing gives 0 and 0. With a ``buffer`` runs may be of any length: no more
+    than so many values are held for one."""
     rows = returns.where(F.col(r).isNotNull())
-    quantile = rows.groupBy(*runs).agg(F.percentile(r, F.lit(1 - alpha)).alias("var"))
+    if buffer is None:
+        quantile = rows.groupBy(*runs).agg(F.percentile(r, F.lit(1 - alpha)).alias("var"))
+    else:
+        quantile = exact_quantiles(rows, r, [1 - alpha], runs, buffer).select(*runs, F.col("quantile").alias("var"))
     joined = rows.join(quantile, list(runs)) if runs else rows.join(F.broadcast(quantile))
     found = joined.groupBy(*runs).agg(F.first("var").alias("var"), F.avg(F.when(F.col(r) <= F.col("var"), F.col(r))).alias("cvar"))
     return found.select(*runs, F.coalesce("var", F.lit(0.0)).alias("var"), F.coalesce("cvar", "var", F.lit(0.0)).alias("cvar"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gapbook.operators import optimizers as opt
 from gapbook.operators.backtest import compound
 from gapbook.operators.metrics import performance_metrics
+from gapbook.operators.quantiles import exact_quantiles
 from gapbook.operators.solver import Blocks
 from gapbook.operators.solver import suite_weights as solver_weights
 from gapbook.sources.scratch import materialise
@@ -107,16 +108,22 @@ def last_dates(returns: DataFrame, n: int) -> DataFrame:
 # -- moments
 
 
-def expected_returns(complete: DataFrame, method: str = "mean") -> DataFrame:
-    """``symbol, mu``: mean, median, or mean of returns clipped to their 2 % and 98 % quantiles."""
+def expected_returns(complete: DataFrame, method: str = "mean", buffer: int | None = None) -> DataFrame:
+    """``symbol, mu``: mean, median, or mean of returns clipped to their 2 % and 98 % quantiles. With a
+    ``buffer`` no more than so many of a symbol's returns are held for a quantile."""
     by = complete.groupBy("symbol")
     if method == "mean":
         return by.agg(F.avg("ret").alias("mu"))
     if method == "median":
+        if buffer is not None:
+            return exact_quantiles(complete, "ret", [0.5], ["symbol"], buffer).select("symbol", F.col("quantile").alias("mu"))
         return by.agg(F.percentile("ret", 0.5).alias("mu"))
     if method != "winsorized":
         raise ValueError("method must be mean, median or winsorized")
-    ends = by.agg(F.percentile("ret", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    if buffer is None:
+        ends = by.agg(F.percentile("ret", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    else:
+        ends = exact_quantiles(complete, "ret", [0.02, 0.98], ["symbol"], buffer).groupBy("symbol").agg(F.array(F.min("quantile"), F.max("quantile")).alias("q"))
     clipped = F.least(F.greatest("ret", F.col("q")[0]), F.col("q")[1])
     return complete.join(ends, "symbol").groupBy("symbol").agg(F.avg(clipped).alias("mu"))
 

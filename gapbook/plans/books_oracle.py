@@ -125,6 +125,10 @@ SELECT CAST(night AS INTEGER) AS night, method, signal_date, exit_date, trade_co
         "capped_rebalanced_weights": f"WITH {_rebalanced(free, 'quarter')}\nSELECT portfolio, d.date AS rebalance_date, symbol, round(weight, 7) AS weight FROM r_weights w JOIN r_dates d ON d.k = w.k WHERE abs(weight) > 1e-6",
         "capped_rebalanced_portfolios": f"WITH {_rebalanced(free, 'quarter')},\n{_daily('r')}{_summary('r', free, 'quarterly')}",
         "capped_nightly_metrics": _night_metrics(books.NIGHTLY),
+        "market_tail_risk": """
+WITH tails AS (SELECT 'all' AS run, overnight_return AS r FROM rets WHERE overnight_return IS NOT NULL UNION ALL SELECT CAST(year(date) AS VARCHAR), overnight_return FROM rets WHERE overnight_return IS NOT NULL)
+SELECT t.run, round(any_value(v), 9) AS "var", round(avg(CASE WHEN r <= v THEN r END), 9) AS cvar FROM tails t JOIN (SELECT run, quantile_cont(r, 1 - 0.99::DOUBLE) AS v FROM tails GROUP BY run) q ON q.run = t.run GROUP BY t.run""",
+        "return_quantiles": " UNION ALL ".join(f"SELECT symbol, {p}::DOUBLE AS share, round(quantile_cont(ret, {p}::DOUBLE), 10) AS quantile FROM est GROUP BY symbol" for p in books.SHARES),
         "capped_nightly_book": _night_book(books.NIGHTLY, 7),
     }
 
