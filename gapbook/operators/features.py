@@ -8,8 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gapbook.operators.time_blocks import in_blocks
+
 TRADING_DAYS = 252
 ADV_DAYS, ADV_LEAST = 20, 5
+#: Bars of a symbol in a block of time.
+BLOCK_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -66,6 +70,17 @@ def build_features(bars: DataFrame, settings: FeatureSettings | None = None) ->
     return with_liquidity(with_returns(bars).withColumns(_rolling(s.lookback_days, s.min_history)))
 
 
+def build_features_in_blocks(bars: DataFrame, settings: FeatureSettings | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The same for symbols with more bars than a task should sort: windows run over blocks of ``rows`` bars
+    of a symbol, which see the bars around them that they need."""
+    s = settings or FeatureSettings()
+    before = max(s.lookback_days, ADV_DAYS)
+    cut = in_blocks(bars, "symbol", "date", max(rows, before), before, 1)
+    # a block of a symbol takes the symbol's part in all windows
+    cut = cut.withColumn("symbol", F.struct("symbol", "_block")).drop("_block")
+    return build_features(cut, s).where("not _halo").drop("_halo").withColumn("symbol", F.col("symbol.symbol"))
+
+
 def build_feature_grid(bars: DataFrame, settings: Sequence[FeatureSettings]) -> DataFrame:
     """The same for several settings at once, long: ``lookback_days, min_history`` and the features.
     All windows run over one sort of the bars."""

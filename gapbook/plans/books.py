@@ -65,6 +65,13 @@ def return_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return q.rounded(exact_quantiles(ft.long_returns(bars(spark, d, "p_type")), "ret", SHARES, ["symbol"], buffer=200), 10)
 
 
+def overnight_features_in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling features over blocks of 200 bars of a symbol."""
+    found = ft.build_features_in_blocks(bars(spark, d), ft.FeatureSettings(21, 13), rows=200)
+    names = ["overnight_return", "next_overnight_return", "overnight_mean", "overnight_vol", "overnight_sharpe", "overnight_win_rate", "adv_dollars"]
+    return q.rounded(found.select("date", "symbol", "exit_date", *names), 7)
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     capped_static_weights,
     capped_static_portfolios,
@@ -74,6 +81,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     capped_nightly_book,
     market_tail_risk,
     return_quantiles,
+    overnight_features_in_blocks,
 )
 
 
