@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gapbook.operators.features import FeatureSettings, build_features
 
+# The columns of a signal table, as it is stored.
 SIGNALS = (
     "signal_date",
     "exit_date",

@@ -18,6 +18,7 @@ from gapbook.operators.metrics import performance_metrics
 from gapbook.operators.signals import candidates, capped_weights, score_of, top_n
 from gapbook.sources.scratch import materialise
 
+# The metrics a fold may be chosen by; and below, the settings that runs have by default.
 METRICS = ("sharpe", "sortino", "calmar", "cagr")
 
 
