@@ -2,7 +2,7 @@
 
 Without limits equity is a running product. Limits on capital or on a share of the traded volume
 make each day depend on the equity before, so a run is then folded day by day: one group for each
-run, of days times names in a book at most.
+run, of days times names in a book at most, or one for each block of a run's days.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapbook.operators.costs import CostSettings, with_cost_rate
+from gapbook.sources.scratch import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -71,24 +72,83 @@ def compound(daily: DataFrame, capital: float, runs: Sequence[str] = (), order:
     return rows.withColumn("starting_equity", F.coalesce(F.lag("ending_equity").over(path), F.lit(float(capital))))
 
 
-def fold_limits(rows: pd.DataFrame, settings: BacktestSettings) -> pd.DataFrame:
-    """The days of one run in order: what is deployed, capped weights rolled up, and equity."""
+def fold_days(rows: pd.DataFrame, settings: BacktestSettings, start: float) -> tuple[pd.DataFrame, float]:
+    """The days of one run in order from an equity on: what is deployed, capped weights rolled up, and
+    equity; and how the last equity changes with the first (the slope of a line between the places where a
+    limit begins to bind)."""
     rows = rows.sort_values(["signal_date", "symbol"])
-    equity, out = float(settings.initial_capital), []
+    equity, slope, out = float(start), 1.0, []
     part, capacity = settings.max_adv_participation, settings.capital_capacity
     for date, day in rows.groupby("signal_date", sort=True):
         start = equity
+        bound = bool(capacity and 0 < capacity < start)
         deployed = min(start, capacity) if capacity and capacity > 0 else start
-        w = day["weight"].to_numpy(float)
+        w, r, rate = day["weight"].to_numpy(float), day["overnight_return"].to_numpy(float), day["cost_rate_bps"].iloc[0]
+        free = np.ones(len(w), bool)
         if part and deployed > 0:
-            w = np.minimum(w, day["adv_dollars"].to_numpy(float) * part / deployed)
-        exposure, gross = np.abs(w).sum(), float(w @ day["overnight_return"].to_numpy(float))
-        cost = 2 * exposure * day["cost_rate_bps"].iloc[0] / 10_000
+            most = day["adv_dollars"].to_numpy(float) * part / deployed
+            free, w = w <= most, np.minimum(w, most)
+        exposure, gross = np.abs(w).sum(), float(w @ r)
+        cost = 2 * exposure * rate / 10_000
         gain = deployed * (gross - cost) + (start - deployed) * settings.cash_rate / 252
         equity = start + gain
-        out.append((date, max(day["exit_date"]), exposure, gross, len(day), day["cost_rate_bps"].iloc[0], cost, start, equity, deployed, gain / start if start > 0 else 0.0))
+        # what names below their caps add for each further dollar; all cash earns the cash rate
+        slope *= 1 + (settings.cash_rate / 252 if bound else float(w[free] @ r[free]) - 2 * np.abs(w[free]).sum() * rate / 10_000)
+        out.append((date, max(day["exit_date"]), exposure, gross, len(day), rate, cost, start, equity, deployed, gain / start if start > 0 else 0.0))
     names = ["signal_date", "exit_date", "gross_exposure", "gross_return", "trade_count", "cost_rate_bps", "cost_return", "starting_equity", "ending_equity", "deployed_capital", "net_return"]
-    return pd.DataFrame(out, columns=names)
+    return pd.DataFrame(out, columns=names), slope
+
+
+def fold_limits(rows: pd.DataFrame, settings: BacktestSettings) -> pd.DataFrame:
+    """The days of one whole run."""
+    return fold_days(rows, settings, settings.initial_capital)[0]
+
+
+def _fold_in_blocks(rated: DataFrame, s: BacktestSettings, keys: list[str], days: int) -> DataFrame:
+    """The days of runs of any length, each block of ``days`` days in a task of its own.
+
+    Equity after a block is a line in the equity before it, between the places where limits begin to bind.
+    All blocks are folded from a guess; along each run, ends and slopes then tell better guesses, and the
+    true ones where no such place lies between. Blocks are folded again until no guess moves.
+    """
+    names = ", ".join(f"{k} {t}" for k, t in rated.select(*keys).dtypes)
+    calendar = rated.select(*keys, "signal_date").distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("signal_date")) - 1  # a row a day
+    calendar = calendar.withColumn("_block", F.floor(nth / days).cast("int"))
+    rows = materialise(rated.join(calendar, [*keys, "signal_date"]), "fold-blocks")
+    starts = materialise(rows.select(*keys, "_block").distinct().withColumn("_start", F.lit(float(s.initial_capital))), "fold-starts")
+    by = [*keys, "_block"]
+
+    def ends(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        start = float(own["_start"].iloc[0])
+        found, slope = fold_days(own, s, start)
+        return pd.DataFrame([[*key, start, found["ending_equity"].iloc[-1], slope]], columns=[*by, "_start", "_end", "_slope"])
+
+    def chained(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("_block")
+        out, here = [], float(s.initial_capital)
+        for b, start, end, slope in zip(blocks["_block"], blocks["_start"], blocks["_end"], blocks["_slope"], strict=True):
+            out.append([*key, b, here, abs(here - start) > 1e-13 * max(abs(here), 1.0)])
+            here = end + slope * (here - start)
+        return pd.DataFrame(out, columns=[*by, "_start", "_moved"])
+
+    while True:
+        told = rows.join(starts.select(*by, "_start"), by).groupBy(*by).applyInPandas(ends, f"{names}, _block int, _start double, _end double, _slope double")
+        # a row a block
+        after = materialise(told.groupBy(*keys).applyInPandas(chained, f"{names}, _block int, _start double, _moved boolean"), "fold-starts")
+        discard(starts)
+        starts = after
+        if starts.where("_moved").isEmpty():
+            break
+
+    def fold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        found = fold_days(own, s, float(own["_start"].iloc[0]))[0]
+        for name, value in zip(keys, key, strict=False):
+            found.insert(0, name, value)
+        return found
+
+    backward = ", ".join(f"{k} {t}" for k, t in reversed(rated.select(*keys).dtypes))
+    return rows.join(starts.select(*by, "_start"), by).groupBy(*by).applyInPandas(fold, f"{backward}, {_FOLD}")
 
 
 _FOLD = "signal_date date, exit_date date, gross_exposure double, gross_return double, trade_count long, cost_rate_bps double, cost_return double, starting_equity double, ending_equity double, deployed_capital double, net_return double"
@@ -109,13 +169,17 @@ DAILY = (
 )
 
 
-def run_backtest(signals: DataFrame, settings: BacktestSettings | None = None, runs: Sequence[str] = ()) -> DataFrame:
-    """DAILY for each run and signal date."""
+def run_backtest(signals: DataFrame, settings: BacktestSettings | None = None, runs: Sequence[str] = (), block_days: int | None = None) -> DataFrame:
+    """DAILY for each run and signal date. Days of a run with limits follow one another, in one task; with
+    ``block_days``, blocks of so many days are tasks of their own."""
     s = settings or BacktestSettings()
     clean = clean_signals(signals, runs)
     if s.limited:
         rated = with_cost_rate(clean, s.costs)
         keys = list(runs)
+        if block_days is not None:
+            rated, keys = (rated, keys) if keys else (rated.withColumn("_all", F.lit(1)), ["_all"])
+            return _told(_fold_in_blocks(rated, s, keys, block_days), runs)
 
         def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             days = fold_limits(rows, s)
@@ -132,6 +196,11 @@ def run_backtest(signals: DataFrame, settings: BacktestSettings | None = None, r
     else:
         daily = _roll_up(clean, s, runs).withColumn("net_return", F.col("gross_return") - F.col("cost_return"))
         daily = compound(daily, s.initial_capital, runs).withColumn("deployed_capital", F.col("starting_equity"))
+    return _told(daily, runs)
+
+
+def _told(daily: DataFrame, runs: Sequence[str]) -> DataFrame:
+    """DAILY, with turnover and cash."""
     start = F.col("starting_equity")
     return daily.withColumn("round_trip_turnover", 2 * F.col("gross_exposure")).withColumn(
         "cash_weight", F.when(start > 0, (start - F.col("deployed_capital")) / start).otherwise(0.0)

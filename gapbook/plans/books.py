@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapbook.operators import backtest as bt
 from gapbook.operators import features as ft
 from gapbook.operators import metrics as mx
 from gapbook.operators import nightly
@@ -72,6 +73,12 @@ def overnight_features_in_blocks(spark: SparkSession, d: str) -> DataFrame:
     return q.rounded(found.select("date", "symbol", "exit_date", *names), 7)
 
 
+def backtest_limited_in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The backtest with limits, blocks of 100 days in tasks of their own."""
+    own = q._signals(spark, d).withColumn("run", F.lit("base"))
+    return q.by_scale(bt.run_backtest(own, q.LIMITED, ["run"], block_days=100))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     capped_static_weights,
     capped_static_portfolios,
@@ -82,6 +89,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     market_tail_risk,
     return_quantiles,
     overnight_features_in_blocks,
+    backtest_limited_in_blocks,
 )
 
 

@@ -12,7 +12,7 @@ from gapbook.operators.portfolio import PortfolioSettings
 from gapbook.plans import books, files, queries
 from gapbook.plans.files_oracle import _RATES, _joined
 from gapbook.plans.optimizer_oracle import projection, rebalanced, static, suite
-from gapbook.plans.oracle import CAPITAL, METRICS, STEPS, _by_scale, _compounded, _metrics, _rounded
+from gapbook.plans.oracle import CAPITAL, DAILY, METRICS, STEPS, _by_scale, _compounded, _metrics, _rounded
 
 _CHAIN = ("est", "est_dates", "est_start", "est_work", "est_len", "est_recent", "est_syms", "est_rung", "est_kept", "complete")
 #: A year of daily rows, from which on annual growth is told.
@@ -129,6 +129,7 @@ SELECT CAST(night AS INTEGER) AS night, method, signal_date, exit_date, trade_co
 WITH tails AS (SELECT 'all' AS run, overnight_return AS r FROM rets WHERE overnight_return IS NOT NULL UNION ALL SELECT CAST(year(date) AS VARCHAR), overnight_return FROM rets WHERE overnight_return IS NOT NULL)
 SELECT t.run, round(any_value(v), 9) AS "var", round(avg(CASE WHEN r <= v THEN r END), 9) AS cvar FROM tails t JOIN (SELECT run, quantile_cont(r, 1 - 0.99::DOUBLE) AS v FROM tails GROUP BY run) q ON q.run = t.run GROUP BY t.run""",
         "overnight_features_in_blocks": f"SELECT date, symbol, exit_date, {_rounded('overnight_return, next_overnight_return, overnight_mean, overnight_vol, overnight_sharpe, overnight_win_rate, adv_dollars', 7)} FROM feats",
+        "backtest_limited_in_blocks": f"SELECT run, signal_date, exit_date, trade_count, {_by_scale(DAILY)} FROM limited",
         "return_quantiles": " UNION ALL ".join(f"SELECT symbol, {p}::DOUBLE AS share, round(quantile_cont(ret, {p}::DOUBLE), 10) AS quantile FROM est GROUP BY symbol" for p in books.SHARES),
         "capped_nightly_book": _night_book(books.NIGHTLY, 7),
     }
