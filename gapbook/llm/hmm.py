@@ -1,13 +1,15 @@
 """A hidden Markov language model, trained on the whole corpus.
 
-Latent states emit words and follow one another. Baum-Welch counts are gathered chunk by chunk and
-added up over partitions: of a word one row of expected counts by state, so that the model grows with
-the vocabulary and no task holds more of it than its own chunk's words. A scaled forward recursion
-gives the exact likelihood of each text.
+Latent states emit words and follow one another. Every training word, however rare and whatever the
+corpus holds, has expected counts of its own by state. Baum-Welch counts are gathered chunk by chunk
+and meet in buckets of words, from which each chunk gets back the sums of its own words, so that the
+model grows with the vocabulary and no task holds more of it than a chunk's or a bucket's words. A
+scaled forward recursion gives the exact likelihood of each text.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +25,6 @@ from gapbook.sources.scratch import discard
 #: Latent states, rounds of Baum-Welch, tokens of a training sequence (longer texts are several), and
 #: tokens of a text that are scored in a row before its parts are chained.
 STATES, ROUNDS, SEGMENT, SCORED = 6, 4, 512, 2048
-#: A word has expected counts of its own from ``own_least`` training occurrences on, LEAST or more: as many
-#: as tokens to the power OWN_POWER over OWN_SCALE, so that words with counts grow more slowly than the
-#: corpus. Others share those of all words that occur about as often, by classes of occurrences.
-LEAST, OWN_POWER, OWN_SCALE, CLASSES = 16, 0.75, 20_000, 160
 #: Tokens by which each state's emissions lean to the shares of all.
 PRIOR = 100.0
 #: A state's chance to stay, before the first round.
@@ -35,26 +33,16 @@ STAY = 0.8
 CHUNK_TOKENS, BATCH = 1_500_000, 120_000
 LEARN_MOD, LEARN_LEFT_OUT = 7, 2
 
-# symbols below SPECIAL are the same in all chunks: unknown words, the end of a text, and classes of
-# occurrences from 1 on
-UNKNOWN, END, ONCE = 0, 1, 2
-SPECIAL = ONCE + CLASSES
-# rows of expected counts that belong to no word, by number: of special symbols, transitions, first
-# states of texts and of their further parts, and the log likelihood
-SYMBOL_ROW, MOVE_ROW, START_ROW, ONWARD_ROW, LIKELIHOOD_ROW = -1, -1_000, -2_000, -2_001, -2_002
-
-
-
-def own_least(tokens: int) -> int:
-    return max(LEAST, int(tokens**OWN_POWER / OWN_SCALE))
-
-
-def occurrence_class(n: np.ndarray) -> np.ndarray:
-    """The class of words of n occurrences, from 0 on: each number up to LEAST its own, then four for each
-    doubling."""
-    more = LEAST - 1 + np.floor(4 * np.log2(np.maximum(n, LEAST) / LEAST)).astype(np.int64)
-    return np.where(n < LEAST, n - 1, np.minimum(more, CLASSES - 1))
+#: A word's expected counts travel as shares of its occurrences, in parts of WHOLE; words meet in buckets
+#: by their numbers without the last MEET bits (four buckets of hashes).
+WHOLE, MEET = (1 << 16) - 1, 26
 
+# symbols below SPECIAL are the same in all chunks: unknown words and the end of a text; the others are
+# not used
+UNKNOWN, END, SPECIAL = 0, 1, 8
+#: The bucket of what belongs to no word: counts of special symbols, transitions, first states of texts
+#: and of their further parts, and the log likelihood.
+SHARED = -1
 
 TRANSLATION = bytes(c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
 
@@ -241,61 +229,81 @@ def scattered(numbers: np.ndarray, states: int) -> np.ndarray:
     return u / u.sum(axis=1, keepdims=True)
 
 
+def in_parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts by word and state as parts of WHOLE, which sum to it, and their whole sums. Counts
+    that come from parts give the same parts again."""
+    total = counts.sum(axis=1)
+    parts = np.rint(counts * (WHOLE / np.maximum(total, 1e-300))[:, None]).astype(np.int64)
+    parts[np.arange(len(parts)), parts.argmax(axis=1)] += WHOLE - parts.sum(axis=1)
+    return parts, np.rint(total).astype(np.int64)
+
+
+def from_parts(parts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return parts * (n / WHOLE)[:, None]
+
+
+def _sent(parts: np.ndarray) -> bytes:
+    """Parts state by state; those of the last of several are what the others leave of WHOLE."""
+    return word_chunks.packed(parts[:, : max(parts.shape[1] - 1, 1)].T.ravel())
+
+
+def _received(data: bytes, states: int) -> np.ndarray:
+    parts = word_chunks.unpacked(data).astype(np.int64).reshape(max(states - 1, 1), -1).T
+    if states == 1:
+        return parts
+    return np.concatenate([parts, WHOLE - parts.sum(axis=1, keepdims=True)], axis=1)
+
+
 # -- training and scoring, on Spark
 
 
 @dataclass
 class Corpus:
-    """Coded chunks of all documents, and counts of the training ones: tokens, different tokens, the tokens
-    of each class of rare words, texts."""
+    """Coded chunks of all documents, and counts of the training ones: tokens, different tokens, words that
+    occur once, texts."""
 
     coded: DataFrame
     tokens: int
     types: int
-    masses: np.ndarray
+    once: int
     texts: int
 
 
-CODED = "chunk long, ids array<long>, train array<boolean>, lengths array<long>, known array<long>, base array<double>, extra array<double>, symbols binary, words array<long>, occurrences array<long>"
+CODED = "chunk long, ids array<long>, train array<boolean>, lengths array<long>, known array<long>, base array<double>, symbols binary, words array<long>, occurrences array<long>"
 
 
 def read_corpus(docs: DataFrame, text_col: str, id_col: str) -> Corpus:
-    """Words as symbols: a word of ``own_least`` training occurrences or more by its number, others by the
-    class of their occurrences; and each text's words that are known, its base score, and the log chances
-    of its rare words among their class, by their occurrences."""
+    """Words as symbols, each training word by its number; and each text's words that are known, and its
+    base score."""
     chunked = word_chunks.chunks(docs, F.col(id_col), F.lit(""), F.col(text_col), split, "hmm", size=CHUNK_TOKENS, counted=~held_out(id_col))
 
     words = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     texts = F.size(F.filter("counted", lambda x: x))
     words, texts = chunked.agg(F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.sum(texts), F.lit(0))).first()
     tokens = words + texts
-    least = own_least(tokens)
 
     def merge(group: pa.Table) -> pa.Table:
-        """Counts over all chunks of one bucket's words, back to each chunk; the numbers of frequent words;
+        """Counts over all chunks of one bucket's words, back to each chunk; the numbers of training words;
         and, in a row of its own, sums."""
         place, n, ends = word_chunks.bucket_words(group)
         total = np.bincount(place, n).astype(np.int64)
-        frequent = total >= least
-        number = np.where(frequent, np.cumsum(frequent), 0)
+        number = np.where(total > 0, np.cumsum(total > 0), 0)
         c, ids = np.split(total[place], ends[:-1]), np.split(number[place], ends[:-1])
         rows = group.num_rows
-        rare = total[(total > 0) & ~frequent]
-        masses = np.bincount(occurrence_class(rare), rare, CLASSES).astype(np.int64)
         columns = {
             "chunk": [*group.column("chunk").to_pylist(), None],
             "start": [*group.column("start").to_pylist(), None],
             "bucket": [*group.column("bucket").to_pylist(), None],
             "c": [*map(word_chunks.packed, c), None],
             "number": [*map(word_chunks.packed, ids), None],
-            "sums": [None] * rows + [[int((total > 0).sum()), *masses.tolist()]],
+            "sums": [None] * rows + [[int((total > 0).sum()), int((total == 1).sum())]],
         }
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64())], strict=True)})
 
     schema = "chunk long, start long, bucket long, c binary, number binary, sums array<long>"
     known = materialise(word_chunks.buckets(chunked).groupBy("bucket").applyInArrow(merge, schema), "hmm-words")
-    sizes = known.where("sums is not null").agg(*(F.coalesce(F.sum(F.get("sums", F.lit(k))), F.lit(0)) for k in range(CLASSES + 1))).first()
-    types, masses = sizes[0] + (texts > 0), np.array(sizes[1:], float)
+    types, once = known.where("sums is not null").agg(*(F.coalesce(F.sum(F.get("sums", F.lit(k))), F.lit(0)) for k in range(2))).first()
+    types += texts > 0
     back = known.where("chunk is not null").select("chunk", "start", "bucket", "c", "number")
 
     def code(own: pa.Table, given: pa.Table) -> pa.Table:
@@ -309,13 +317,9 @@ def read_corpus(docs: DataFrame, text_col: str, id_col: str) -> Corpus:
             count[start + 1 : start + 1 + len(c)] = c
             number[start + 1 : start + 1 + len(c)] = np.where(ids > 0, bucket << 24 | ids, 0)
         symbol = np.zeros(len(count), np.int64)
-        rare = (count > 0) & (number == 0)
-        kind = occurrence_class(count[rare])
-        symbol[rare] = ONCE + kind
-        frequent = number > 0
-        symbol[frequent] = SPECIAL + np.arange(np.count_nonzero(frequent))
-        among = np.zeros(len(count))
-        among[rare] = np.log10(count[rare] / masses[kind])
+        own_words = np.flatnonzero(number)
+        own_words = own_words[np.argsort(number[own_words])]
+        symbol[own_words] = SPECIAL + np.arange(len(own_words))
         # an end after each text's words
         ends = np.cumsum(lengths)
         symbols = np.insert(symbol[local], ends, END)
@@ -326,11 +330,11 @@ def read_corpus(docs: DataFrame, text_col: str, id_col: str) -> Corpus:
 
         base = summed(np.log10(count + 1.0)) + np.log10(texts + 1.0) - (lengths + 1) * np.log10(tokens + types + 1.0)
         known = summed((count > 0).astype(float)).astype(np.int64) + (texts > 0)
-        columns = [[row["chunk"]], [row["ids"]], [row["counted"]], [lengths + 1], [known], [base], [summed(among)], [word_chunks.packed(symbols)], [number[frequent]], [count[frequent]]]
+        columns = [[row["chunk"]], [row["ids"]], [row["counted"]], [lengths + 1], [known], [base], [word_chunks.packed(symbols)], [number[own_words]], [count[own_words]]]
         return pa.table(dict(zip(SCHEMA.names, (pa.array(v, t) for v, t in zip(columns, SCHEMA.types, strict=True)), strict=True)))
 
     coded = word_chunks.answered(chunked.select("chunk", "ids", "counted", "lengths", "tokens"), back, code, CODED)
-    found = Corpus(materialise(coded, "hmm-coded"), int(tokens), int(types), masses, int(texts))
+    found = Corpus(materialise(coded, "hmm-coded", "zstd"), int(tokens), int(types), int(once), int(texts))
     discard(chunked)
     discard(known)
     return found
@@ -338,85 +342,138 @@ def read_corpus(docs: DataFrame, text_col: str, id_col: str) -> Corpus:
 
 SCHEMA = pa.schema(
     [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64()))]
-    + [("base", pa.list_(pa.float64())), ("extra", pa.list_(pa.float64())), ("symbols", pa.binary()), ("words", pa.list_(pa.int64())), ("occurrences", pa.list_(pa.int64()))]
+    + [("base", pa.list_(pa.float64())), ("symbols", pa.binary()), ("words", pa.list_(pa.int64())), ("occurrences", pa.list_(pa.int64()))]
 )
 
 
-def _ready(own: pa.Table, given: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's symbols, lengths, word numbers and occurrences, and expected counts that came back."""
+def _ready(own: pa.Table, given: pa.Table, states: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's symbols, lengths, word numbers and occurrences, and expected counts that came back; before
+    the ``first`` round those that words are dealt."""
     symbols = word_chunks.unpacked(own.column("symbols")[0].as_py())
     lengths, words, occurrences = (own.column(c)[0].values.to_numpy() for c in ("lengths", "words", "occurrences"))
+    if first:
+        return symbols, lengths, words, occurrences, scattered(words, states) * occurrences[:, None]
     counts = np.zeros((len(words), states))
-    if given.num_rows:
-        counts[given.column("place").to_numpy()] = np.stack([given.column(f"s{k}").to_numpy() for k in range(states)], axis=1)
+    for start, data in zip(given.column("start").to_pylist(), given.column("parts").to_pylist(), strict=True):
+        parts = _received(data, states)
+        counts[start : start + len(parts)] = from_parts(parts, occurrences[start : start + len(parts)])
     return symbols, lengths, words, occurrences, counts
 
 
-def _asked(coded: DataFrame, stats: DataFrame | None, states: int) -> DataFrame:
-    """``chunk, place`` and the expected counts of the words of all chunks; none before the first round."""
-    each = coded.select("chunk", F.posexplode("words").alias("place", "word_id"))
-    names = [f"s{k}" for k in range(states)]
+def _asked(coded: DataFrame, stats: DataFrame | None) -> DataFrame:
+    """``chunk, start`` and the expected counts of the chunk's words from there on, as parts; none before the
+    first round."""
     if stats is None:
-        return each.where("false").select("chunk", "place", *(F.lit(0.0).cast("float").alias(c) for c in names))
-    return each.join(stats.where("word_id > 0"), "word_id").select("chunk", "place", *(F.col(c).cast("float").alias(c) for c in names))
+        return coded.where("false").select("chunk", F.lit(0).cast("long").alias("start"), F.lit(b"").alias("parts"))
+    return stats.where("chunk is not null").select("chunk", "start", "parts")
+
+
+STATS = "bucket long, chunk long, start long, ids binary, n binary, parts binary, sums array<double>"
+STATS_SCHEMA = pa.schema(
+    [("bucket", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("parts", pa.binary()), ("sums", pa.list_(pa.float64()))]
+)
+
+
+def _stats_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), STATS_SCHEMA.types, strict=True)], schema=STATS_SCHEMA)
 
 
 def _round(coded: DataFrame, stats: DataFrame | None, model: Model) -> DataFrame:
-    """One round's expected counts: a row for each word and for each of the model's own numbers."""
+    """One round's expected counts: for each chunk and bucket those of the chunk's words, summed over all
+    chunks; with no chunk, for each bucket those of all its words and their ``sums`` by state; and in the
+    bucket SHARED the sums of the model's own numbers."""
     k = len(model.start)
-    names, first = [f"s{j}" for j in range(k)], stats is None
+    first = stats is None
 
     def run(own: pa.Table, given: pa.Table) -> pa.Table:
-        symbols, lengths, words, occurrences, counts = _ready(own, given, k)
-        if first:
-            counts = scattered(words, k) * occurrences[:, None]
+        chunk = own.column("chunk")[0].as_py()
+        symbols, lengths, words, occurrences, counts = _ready(own, given, k, first)
         train = own.column("train")[0].values.to_numpy(zero_copy_only=False)
         symbols, lengths = symbols[np.repeat(train, lengths)], lengths[train]
         n, moves, starts, log = model.gather(symbols, lengths, model.emissions(counts, occurrences))
-        rows = np.concatenate([n[SPECIAL:], n[:SPECIAL], moves, starts, np.full((1, k), log)])
-        ids = np.concatenate([words, SYMBOL_ROW - np.arange(SPECIAL), MOVE_ROW - np.arange(k), [START_ROW, ONWARD_ROW, LIKELIHOOD_ROW]])
-        return pa.table({"word_id": pa.array(ids, pa.int64())} | {c: pa.array(rows[:, j]) for j, c in enumerate(names)})
+        rows = [(SHARED, chunk, None, None, None, None, np.concatenate([n[:SPECIAL].ravel(), moves.ravel(), starts.ravel(), [log]]))]
+        parts, total = in_parts(n[SPECIAL:])
+        # words stand in the order of their numbers, so that a bucket is a stretch; sent are their distances
+        bucket = words >> MEET
+        places = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(words)]
+        for s, e in itertools.pairwise(places):
+            ids = np.diff(words[s:e], prepend=bucket[s] << MEET)
+            rows.append((int(bucket[s]), chunk, s, word_chunks.packed(ids), word_chunks.packed(total[s:e]), _sent(parts[s:e]), None))
+        return _stats_table(rows)
+
+    def add(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket == SHARED:
+            return _stats_table([(bucket, None, None, None, None, None, np.sum(group.column("sums").to_pylist(), axis=0))])
+        given = [*zip(*(group.column(c).to_pylist() for c in ("chunk", "start", "ids", "n", "parts")), strict=True)]
+        ids = [np.cumsum(word_chunks.unpacked(g[2]), dtype=np.int64) for g in given]
+        own, place = np.unique(np.concatenate(ids), return_inverse=True)
+        counts = np.zeros((len(own), k))
+        ends = np.cumsum([len(i) for i in ids]).tolist()
+        for (*_, n, parts), s, e in zip(given, [0, *ends[:-1]], ends, strict=True):
+            counts[place[s:e]] += from_parts(_received(parts, k), word_chunks.unpacked(n))
+        parts, n = in_parts(counts)
+        rows = [(bucket, g[0], g[1], None, None, _sent(parts[place[s:e]]), None) for g, s, e in zip(given, [0, *ends[:-1]], ends, strict=True)]
+        rows.append((bucket, None, None, word_chunks.packed(own), word_chunks.packed(n), _sent(parts), from_parts(parts, n).sum(axis=0)))
+        return _stats_table(rows)
 
-    asked = _asked(coded, stats, k)
     needed = coded.select("chunk", "train", "lengths", "symbols", "words", "occurrences")
-    rows = word_chunks.answered(needed, asked, run, "word_id long, " + ", ".join(f"{c} double" for c in names))
-    return materialise(rows.groupBy("word_id").agg(*(F.sum(c).alias(c) for c in names)), "expected-counts")
+    rows = word_chunks.answered(needed, _asked(coded, stats), run, STATS)
+    return materialise(rows.groupBy("bucket").applyInArrow(add, STATS), "expected-counts")
 
 
 def _updated(model: Model, stats: DataFrame) -> tuple[Model, float]:
     """The model after a round, and the log likelihood before it."""
     k = len(model.start)
-    # a row a special symbol and a state: few by nature
-    own = {r[0]: np.array(r[1:]) for r in stats.where("word_id < 0").collect()}
-    if not own:
+    shared = stats.where(f"bucket = {SHARED}").select("sums").first()
+    if shared is None:
         return model, 0.0
-    total = stats.where(f"word_id > {MOVE_ROW}").agg(*(F.sum(f"s{j}") for j in range(k))).first()
-    special = np.array([own[SYMBOL_ROW - j] for j in range(SPECIAL)])
-    moves = np.array([own[MOVE_ROW - j] for j in range(k)]) + 1.0
+    special, moves, starts, log = np.split(np.array(shared[0]), np.cumsum([SPECIAL * k, k * k, 2 * k]))
+    special, moves, starts = special.reshape(-1, k), moves.reshape(k, k) + 1.0, starts.reshape(2, k)
+    words = stats.where(f"chunk is null and bucket <> {SHARED}")
+    total = words.agg(*(F.coalesce(F.sum(F.get("sums", F.lit(j))), F.lit(0.0)) for j in range(k))).first()
 
     def shares(x: np.ndarray) -> np.ndarray:
         return (x + 1.0) / (x + 1.0).sum()
 
-    after = Model(shares(own[START_ROW]), shares(own[ONWARD_ROW]), moves / moves.sum(axis=1, keepdims=True), special, np.array(total), model.share, model.unknown, model.tokens)
-    return after, float(own[LIKELIHOOD_ROW][0])
+    after = Model(shares(starts[0]), shares(starts[1]), moves / moves.sum(axis=1, keepdims=True), special, special.sum(axis=0) + np.array(total), model.share, model.unknown, model.tokens)
+    return after, float(log[0])
 
 
 @dataclass
 class Trained:
     corpus: Corpus
     model: Model
-    stats: DataFrame | None
+    packed: DataFrame | None
     logs: list[float]
 
+    @property
+    def stats(self) -> DataFrame | None:
+        """``word_id`` and its expected counts by state, ``s0`` and so on, a row a training word."""
+        if self.packed is None:
+            return None
+        k = len(self.model.start)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for bucket, ids, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    counts = from_parts(_received(parts, k), word_chunks.unpacked(n))
+                    words = word_chunks.unpacked(ids).astype(np.int64) + (bucket << MEET)
+                    yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(counts[:, j]) for j in range(k))], ["word_id", *(f"s{j}" for j in range(k))])
+
+        rows = self.packed.where(f"chunk is null and bucket <> {SHARED}").select("bucket", "ids", "n", "parts")
+        return rows.mapInArrow(run, "word_id long, " + ", ".join(f"s{j} double" for j in range(k)))
+
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, rounds: int = ROUNDS) -> Trained:
     """Baum-Welch over all documents that are not held out. ``logs`` has the log likelihood of the training
     sequences before each round."""
     corpus = read_corpus(docs, text_col, id_col)
     n = max(corpus.tokens, 1)
-    share = np.array([0.0, corpus.texts, *corpus.masses]) / n
+    share = np.zeros(SPECIAL)
+    share[END] = corpus.texts / n
     # the chance of a word not seen so far is the share of words seen once (Good and Turing)
-    unknown = min(max(share[ONCE], 1 / (corpus.tokens + corpus.types + 1)), 0.5) if corpus.tokens else 1.0
+    unknown = min(max(corpus.once / n, 1 / (corpus.tokens + corpus.types + 1)), 0.5) if corpus.tokens else 1.0
     even = np.full(states, 1 / states)
     move = np.full((states, states), (1 - STAY) / max(states - 1, 1))
     np.fill_diagonal(move, STAY if states > 1 else 1.0)
@@ -435,14 +492,12 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", state
 def score(trained: Trained) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of all documents."""
     model, k, tokens = trained.model, len(trained.model.start), trained.corpus.tokens
-    first = trained.stats is None
+    first = trained.packed is None
 
     def run(own: pa.Table, given: pa.Table) -> pa.Table:
-        symbols, lengths, words, occurrences, counts = _ready(own, given, k)
-        if first:
-            counts = scattered(words, k) * occurrences[:, None]
+        symbols, lengths, _, occurrences, counts = _ready(own, given, k, first)
         if tokens:
-            log = model.log_likelihoods(symbols, lengths, model.emissions(counts, occurrences)) / np.log(10) + own.column("extra")[0].values.to_numpy()
+            log = model.log_likelihoods(symbols, lengths, model.emissions(counts, occurrences)) / np.log(10)
         else:
             log = np.zeros(len(lengths))  # every word is the one unknown
         train = own.column("train")[0].values.to_numpy(zero_copy_only=False)
@@ -459,7 +514,7 @@ def score(trained: Trained) -> DataFrame:
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    asked = _asked(trained.corpus.coded, trained.stats, k)
+    asked = _asked(trained.corpus.coded, trained.packed)
     return word_chunks.answered(trained.corpus.coded, asked, run, schema)
 
 

@@ -303,6 +303,25 @@ def test_chances_of_all_tokens_sum_to_one(docs):
     assert np.allclose(e.sum(axis=0), 1)
 
 
+def test_every_training_word_has_counts_of_its_own(docs, rows):
+    """However rare, and whatever the size of the corpus."""
+    trained = hmm.train(docs, states=3, rounds=2)
+    n = Counter(w for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")))
+    found = trained.stats.collect()
+    assert len({r.word_id for r in found}) == len(found) == len(n)
+    assert np.allclose(sorted(r.s0 + r.s1 + r.s2 for r in found), sorted(n.values()))
+    assert not hasattr(hmm, "own_least")
+
+
+def test_expected_counts_travel_as_parts():
+    counts = np.random.default_rng(3).random((200, 6)) ** 8
+    counts *= (np.arange(200) / counts.sum(axis=1))[:, None]
+    parts, n = hmm.in_parts(counts)
+    again = hmm.from_parts(hmm._received(hmm._sent(parts), 6), n)
+    assert (parts.sum(axis=1) == hmm.WHOLE).all() and (n == np.arange(200)).all()
+    assert np.allclose(again, counts, atol=n.max() * 5 / hmm.WHOLE) and (hmm.in_parts(again)[0][1:] == parts[1:]).all()
+
+
 def test_language_model_of_odd_and_empty_tables(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found, expected = hmm.language_model(odd, rounds=2).collect(), brute_base(rows)
