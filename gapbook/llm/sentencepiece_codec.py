@@ -26,8 +26,9 @@ MARK = "▁"
 #: Zipf-Mandelbrot shift of the log scores, and what an uncovered character costs below the least.
 SHIFT, UNKNOWN = 2.7, 10.0
 #: Bytes of remembered stretches in each Python worker (the memory starts anew when it is full), and
-#: characters of one that is remembered at most; parts longer than WIDE are split one by one.
-MEMORY, MEMORABLE, WIDE = 128 << 20, 64, 256
+#: characters of one that is remembered at most; parts longer than WIDE are split one by one, others
+#: TOGETHER at a time.
+MEMORY, MEMORABLE, WIDE, TOGETHER = 32 << 20, 64, 256, 5_000
 #: Characters whose pieces are looked up together.
 WINDOW = 1 << 16
 
@@ -184,8 +185,8 @@ class Codec:
     def _split(self, words: list[str]) -> dict[str, bytes]:
         """The ids of new stretches: short ones are remembered, the others come back."""
         near, once = [w for w in words if len(w) <= WIDE], {}
-        for a in range(0, len(near), 20_000):
-            for w, ids in self._split_together(near[a : a + 20_000]).items():
+        for a in range(0, len(near), TOGETHER):
+            for w, ids in self._split_together(near[a : a + TOGETHER]).items():
                 if len(w) > MEMORABLE:
                     once[w] = ids
                 else:
@@ -203,8 +204,8 @@ class Codec:
         parts = [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
         short = list({p for p in parts if len(p) <= WIDE})
         found: dict[str, bytes] = {}
-        for a in range(0, len(short), 20_000):
-            found |= self._split_together(short[a : a + 20_000])
+        for a in range(0, len(short), TOGETHER):
+            found |= self._split_together(short[a : a + TOGETHER])
         return b"".join(found[p] if p in found else self._as_ids(p, self._split_alone(p)) for p in parts)
 
     def _cuts(self, word: str) -> list[int]:
@@ -241,7 +242,7 @@ class Codec:
         t = self.trie
         codes = t.code[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
         if not hasattr(self, "lists"):
-            self.lists = t.base.tolist(), t.check.tolist(), t.value.tolist(), self.pieces.scores.tolist()
+            self.lists = tuple(array(kind, x.tobytes()) for kind, x in (("i", t.base), ("i", t.check), ("i", t.value), ("d", self.pieces.scores)))
         base, check, value, scores = self.lists
         n = len(word)
         # of each place: the best sum, the piece that ends there and its length

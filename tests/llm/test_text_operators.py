@@ -1030,3 +1030,20 @@ def test_deep_paths_take_no_more_jobs(spark):
     assert time.time() - began < 120
     parts = spark.createDataFrame([(f"/{deep}", "/a//b/")], "deep string, short string").select(url_filter.segments(F.col("deep")).alias("d"), url_filter.segments(F.col("short")).alias("s")).first()
     assert len(parts.d) == url_filter.DEPTH and "/".join(parts.d) == deep and parts.s == ["a", "b"]
+
+
+def test_codec_of_many_different_words_stays_small():
+    """What a worker remembers beside Spark's own memory, of a million different words."""
+    import tracemalloc
+
+    codec = sentencepiece_codec.codec()
+    texts = [" ".join(f"{k * 7919 % 1000003}x" for k in range(a, a + 50_000)) for a in range(0, 1_000_000, 50_000)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            flat, _ = codec.encode_batch([text])
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert codec.decode(flat.tolist()) == texts[-1]
+    assert held < 64 << 20 and peak < 96 << 20
