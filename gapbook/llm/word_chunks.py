@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from gapbook.llm.common import materialise, sliced
 
-#: Words of a chunk; one text more may stand in it. A text is never divided.
-CHUNK_WORDS = 4_000_000
+#: Words of a chunk; one text more may stand in it. A text is never divided. Tasks sort a chunk's n-grams,
+#: some 100 bytes a word.
+CHUNK_WORDS = 1_500_000
 SCHEMA = "chunk long, key string, ids array<long>, counted array<boolean>, lengths array<long>, tokens binary, words array<string>, counts array<long>"
 #: Words of all chunks that meet in a bucket of hashes, on average, and the least bits of a bucket's number.
 BUCKET_WORDS, LEAST_BITS = 1 << 17, 6

@@ -342,3 +342,17 @@ def test_queries_read_whole_tables(spark):
     assert own["op13_hmm"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert own["op11_collocations"](spark, SF).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert own["op12_spelling_variants"](spark, SF).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_filters_of_a_full_chunk_stay_small():
+    import tracemalloc
+
+    words = np.random.default_rng(2).integers(1, 1 << 17, word_chunks.CHUNK_WORDS).astype(np.uint32)
+    mask = np.packbits(words > 0).tobytes()
+    tracemalloc.start()
+    try:
+        _, own = collocations._filter(words, mask, quotient_filter.Layout(2, 17, 6))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert own.counts.sum() == len(words) - 1 and peak < 200 << 20
