@@ -29,8 +29,11 @@ STATES, ROUNDS, SEGMENT, SCORED = 6, 4, 512, 2048
 PRIOR = 100.0
 #: A state's chance to stay, before the first round.
 STAY = 0.8
-#: Tokens of a chunk, of which a task holds one, and of those whose states it holds at once.
-CHUNK_TOKENS, BATCH = 1_500_000, 120_000
+#: Tokens of a chunk, of which a task holds one; of those whose states it holds at once; and of those whose
+#: transitions it sums in single precision, unless one step has more.
+CHUNK_TOKENS, BATCH, SUMMED = 1_500_000, 240_000, 4096
+#: Tokens that are scored in step, of which no states are held.
+SCORED_BATCH = 4 * BATCH
 LEARN_MOD, LEARN_LEFT_OUT = 7, 2
 
 #: A word's expected counts travel as shares of its occurrences, in parts of WHOLE; words meet in buckets
@@ -61,12 +64,11 @@ def split(text: bytes) -> list[bytes]:
 
 @dataclass
 class Steps:
-    """Sequences in step: of all tokens at place t of their sequences, longest sequences first, one stretch
-    ``of[t]`` to ``of[t + 1]``."""
+    """Sequences in step, longest sequences first: of all tokens at place t of their sequences, one stretch
+    ``of[t]`` to ``of[t + 1]``, and the token that each of them is."""
 
     order: np.ndarray
     of: np.ndarray
-    lane: np.ndarray
     token: np.ndarray
     sizes: np.ndarray
 
@@ -76,52 +78,104 @@ class Steps:
         starts, sizes = starts[order], sizes[order]
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
         of = np.concatenate([[0], np.cumsum(live)])
-        lane = np.arange(of[-1]) - np.repeat(of[:-1], live)
-        return cls(order, of, lane, starts[lane] + np.repeat(np.arange(len(live)), live), sizes)
-
-
-def forward(e: np.ndarray, steps: Steps, init: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The state shares after each token, scaled to a sum of 1, and the scales. ``e`` are emissions in
-    step, ``init`` the sequences' first shares, longest first."""
-    alpha, scale, ones = np.empty_like(e), np.empty(len(e), e.dtype), np.ones(e.shape[1], e.dtype)
-    a = init
-    for s, t in zip(steps.of[:-1].tolist(), steps.of[1:].tolist(), strict=True):
-        own = alpha[s:t]
-        np.multiply(a[: t - s], e[s:t], out=own)
-        c = scale[s:t]
-        np.dot(own, ones, out=c)
-        own /= c[:, None]
-        a = own @ move
-    return alpha, scale
-
-
-def expected(e: np.ndarray, steps: Steps, alpha: np.ndarray, scale: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's state shares given the whole sequence, and the expected transitions."""
-    k = e.shape[1]
-    gamma, moves = np.empty_like(alpha), np.zeros((k, k))
-    beta = np.ones((0, k), e.dtype)
-    for at in range(len(steps.of) - 2, -1, -1):
-        s, t = int(steps.of[at]), int(steps.of[at + 1])
-        if len(beta) < t - s:
-            beta = np.concatenate([beta, np.ones((t - s - len(beta), k), e.dtype)])
-        np.multiply(alpha[s:t], beta, out=gamma[s:t])
-        if at:
-            after = e[s:t] * beta
-            after /= scale[s:t, None]
-            before = int(steps.of[at - 1])
-            moves += alpha[before : before + t - s].T @ after
-            beta = after @ move.T
-    return gamma, moves * move
+        token = np.arange(of[-1])
+        token -= np.repeat(of[:-1], live)
+        token = starts[token]
+        token += np.repeat(np.arange(len(live)), live)
+        return cls(order, of, token, sizes)
+
+    @property
+    def last(self) -> np.ndarray:
+        """Where the sequences' last tokens stand."""
+        return self.of[self.sizes - 1] + np.arange(len(self.sizes))
+
 
+def stride(move: np.ndarray) -> int:
+    """Steps from one scaling of state shares to the next. Emissions are at most 1 and are 1 in some state, so that
+    a step leaves the least transition of the shares' sum, at least: sums then stay above 1e-20."""
+    return int(np.clip(20 / max(-np.log10(float(move.min())), 1e-9), 1, 8))
 
-def segments(lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in a row cut every ``longest`` tokens: where segments start, their sizes, their texts, and their
-    number within these."""
+
+def forward(e: np.ndarray, steps: Steps, init: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The state shares after each token, and the steps at which, and scales by which, they were scaled to a
+    sum of 1. ``e`` are emissions in step, a row a state, ``init`` the sequences' first shares, likewise."""
+    alpha, scales, onto, every = np.empty_like(e), [], np.ascontiguousarray(move.T), stride(move)
+    own = init
+    for at, (s, t) in enumerate(itertools.pairwise(steps.of.tolist())):
+        a = alpha[:, s:t]
+        if at:
+            np.matmul(onto, own[:, : t - s], out=a)
+            a *= e[:, s:t]
+        else:
+            np.multiply(init, e[:, s:t], out=a)
+        if at % every == 0:
+            c = np.add.reduce(a, axis=0)
+            a /= c
+            scales.append((at, c))
+        own = a
+    return alpha, scales
+
+
+def backward(e: np.ndarray, steps: Steps, alpha: np.ndarray, scales: list[tuple[int, np.ndarray]], move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's state shares given the whole sequence, and the expected transitions. ``e`` and
+    ``alpha`` are written over."""
+    k, of = len(e), steps.of.tolist()
+    for at, c in scales:
+        e[:, of[at] : of[at + 1]] /= c
+    beta = np.empty_like(alpha)
+    beta[:, steps.last] = 1 / alpha[:, steps.last].sum(axis=0)
+    for at in range(len(of) - 2, 0, -1):
+        s, t = of[at], of[at + 1]
+        after = e[:, s:t]
+        after *= beta[:, s:t]
+        np.matmul(move, after, out=beta[:, of[at - 1] : of[at - 1] + t - s])
+    # steps of as many sequences as the step before stand as far from it as all of these
+    moves, at = np.zeros((k, k)), 1
+    live = np.diff(steps.of).tolist()
+    while at < len(live):
+        to = at + 1
+        while to < len(live) and live[to] == live[at] == live[at - 1] and of[to + 1] - of[at] <= SUMMED:
+            to += 1
+        before = of[at - 1]
+        moves += alpha[:, before : before + of[to] - of[at]] @ e[:, of[at] : of[to]].T
+        at = to
+    alpha *= beta
+    return alpha, moves * move
+
+
+def passed(e: np.ndarray, symbols: np.ndarray, steps: Steps, init: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log probability of each sequence and its state shares after the last token. ``e`` are emissions
+    by symbol and state, ``init`` the sequences' first shares, a row a state."""
+    onto, every, of = np.ascontiguousarray(move.T), stride(move), steps.of.tolist()
+    logs, shares = np.zeros(len(steps.order)), init.copy()
+    for at, (s, t) in enumerate(itertools.pairwise(of)):
+        a = shares[:, : t - s]
+        if at:
+            a[...] = onto @ a
+        a *= e.take(symbols[steps.token[s:t]], axis=0).T
+        if at % every == 0:
+            c = np.add.reduce(a, axis=0)
+            a /= c
+            logs[: t - s] += np.log(c)
+    c = shares.sum(axis=0)
+    return logs + np.log(c), shares / c
+
+
+def in_parts_of_greatest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions by state and symbol, in parts of each symbol's greatest, and the logs of these."""
+    e = e.T.copy()
+    most = np.maximum(e.max(axis=0), np.finfo(e.dtype).tiny)
+    e /= most
+    return e, np.log(most)
+
+
+def segments(first: np.ndarray, lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, whose ``first`` tokens are given, cut every ``longest`` tokens: where segments start, their
+    sizes, their texts, and their number within these."""
     many = -(-lengths // longest)
     text = np.repeat(np.arange(len(lengths)), many)
     nth = np.arange(len(text)) - (np.cumsum(many) - many)[text]
-    start = (np.cumsum(lengths) - lengths)[text] + nth * longest
-    return start, np.minimum(lengths[text] - nth * longest, longest), text, nth
+    return first[text] + nth * longest, np.minimum(lengths[text] - nth * longest, longest), text, nth
 
 
 @dataclass
@@ -155,44 +209,46 @@ class Model:
         """Expected counts by symbol, of transitions, of first and further segments' first states, and the
         log likelihood. Shares go by single precision, their sums by double."""
         k = len(self.start)
-        counts, moves, starts, log = np.zeros(e.shape), np.zeros((k, k)), np.zeros((2, k)), 0.0
+        counts, moves, starts = np.zeros((k, len(e))), np.zeros((k, k)), np.zeros((2, k))
+        e, logs = in_parts_of_greatest(e)
+        log = float(np.bincount(symbols, minlength=len(logs)) @ logs)
         start, onward, move, e = (x.astype(np.float32) for x in (self.start, self.onward, self.move, e))
-        for low, high, tokens in batches_of(lengths, lengths):
-            begin, size, _, nth = segments(lengths[low:high], SEGMENT)
-            steps = Steps.lay(begin + tokens, size)
-            own = symbols[steps.token]
-            further = nth[steps.order] > 0
-            emitted = e[own]
-            alpha, scale = forward(emitted, steps, np.where(further[:, None], onward, start), move)
-            gamma, moved = expected(emitted, steps, alpha, scale, move)
-            order = np.argsort(own, kind="stable")
-            first = np.flatnonzero(np.diff(own[order], prepend=-1))
-            counts[own[order[first]]] += np.add.reduceat(gamma[order], first) if len(first) else 0
+        begin, size, _, nth = segments(np.cumsum(lengths) - lengths, lengths, SEGMENT)
+        for own in batches_of(size, size, BATCH):
+            steps = Steps.lay(begin[own], size[own])
+            token = symbols[steps.token].astype(np.intp)
+            further = nth[own][steps.order] > 0
+            emitted = e.take(token, axis=1)
+            alpha, scales = forward(emitted, steps, np.where(further, onward[:, None], start[:, None]), move)
+            log += sum(float(np.log(c).sum(dtype=float)) for _, c in scales) + float(np.log(alpha[:, steps.last].sum(axis=0)).sum(dtype=float))
+            gamma, moved = backward(emitted, steps, alpha, scales, move)
+            for j in range(k):
+                counts[j] += np.bincount(token, gamma[j], len(logs))
             moves += moved
-            opening = gamma[: len(further)]
-            starts += np.stack([opening[~further].sum(axis=0, dtype=float), opening[further].sum(axis=0, dtype=float)])
-            log += float(np.log(scale).sum(dtype=float))
-        return counts, moves, starts, log
+            opening = gamma[:, : len(further)]
+            starts += np.stack([opening[:, ~further].sum(axis=1, dtype=float), opening[:, further].sum(axis=1, dtype=float)])
+        return counts.T, moves, starts, log
 
     def log_likelihoods(self, symbols: np.ndarray, lengths: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The log probability of each text, exact: further segments of a text go from each state at once
         and are then chained."""
         k = len(self.start)
-        many = -(-lengths // SCORED)
-        out = np.zeros(len(lengths))
-        for low, high, tokens in batches_of(lengths, np.where(many > 1, lengths * k, lengths)):
-            begin, size, text, nth = segments(lengths[low:high], SCORED)
+        e, logs = in_parts_of_greatest(e)
+        e = np.ascontiguousarray(e.T)
+        out = np.bincount(np.repeat(np.arange(len(lengths)), lengths), logs[symbols], len(lengths))
+        begins = np.cumsum(lengths) - lengths
+        for texts in batches_of(lengths, lengths + (k - 1) * np.maximum(lengths - SCORED, 0), SCORED_BATCH):
+            begin, size, text, nth = segments(begins[texts], lengths[texts], SCORED)
             lanes = np.repeat(np.arange(len(begin)), np.where(nth > 0, k, 1))
             entry = np.arange(len(lanes)) - np.searchsorted(lanes, lanes)
-            steps = Steps.lay(begin[lanes] + tokens, size[lanes])
-            init = np.where((nth[lanes] > 0)[:, None], self.move[entry], self.start)
-            alpha, scale = forward(e[symbols[steps.token]], steps, init[steps.order], self.move)
+            steps = Steps.lay(begin[lanes], size[lanes])
+            init = np.where((nth[lanes] > 0)[:, None], self.move[entry], self.start)[steps.order]
+            logs, last = passed(e, symbols, steps, np.ascontiguousarray(init.T), self.move)
             back = np.argsort(steps.order)
-            logs = np.bincount(steps.lane, np.log(scale), len(lanes))[back]
-            last = alpha[steps.of[steps.sizes - 1] + np.arange(len(lanes))][back] if len(lanes) else alpha
+            logs, last = logs[back], last.T[back]
             place = np.searchsorted(lanes, np.arange(len(begin)))
             first = np.flatnonzero(nth == 0)
-            log, shares = np.zeros(high - low), np.zeros((high - low, k))
+            log, shares = np.zeros(len(texts)), np.zeros((len(texts), k))
             log[text[first]], shares[text[first]] = logs[place[first]], last[place[first]]
             for j in range(1, int(nth.max(initial=0)) + 1):
                 own = np.flatnonzero(nth == j)
@@ -204,19 +260,16 @@ class Model:
                 total = weight.sum(axis=1)
                 log[text[own]] += most + np.log(total)
                 shares[text[own]] = (weight[:, :, None] * last[at]).sum(axis=1) / total[:, None]
-            out[low:high] = log
+            out[texts] += log
         return out
 
 
-def batches_of(lengths: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Stretches of texts of about BATCH in weight: first, last, and tokens before; a heavier text alone."""
-    if not len(lengths):
-        return
-    cuts = np.cumsum(weights) // BATCH
-    starts = np.flatnonzero(np.diff(cuts, prepend=cuts[0] - 1))
-    before = np.cumsum(lengths) - lengths
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(lengths)], strict=True):
-        yield a, b, int(before[a])
+def batches_of(sizes: np.ndarray, weights: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Sequences, longest first, so that those of a batch are of like lengths, by about ``most`` in weight;
+    a heavier one alone."""
+    order = np.argsort(-sizes, kind="stable")
+    if len(order):
+        yield from np.split(order, np.flatnonzero(np.diff(np.cumsum(weights[order]) // most)) + 1)
 
 
 def scattered(numbers: np.ndarray, states: int) -> np.ndarray:

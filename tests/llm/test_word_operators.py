@@ -270,6 +270,88 @@ def test_chained_segments_are_exact(model, segment, monkeypatch):
     assert np.isclose(m.gather(symbols, lengths, e)[0].sum(), len(symbols), rtol=1e-5)
 
 
+def steps_taken(monkeypatch):
+    taken, lay = [], hmm.Steps.lay
+
+    def counted(*args):
+        taken.append(lay(*args))
+        return taken[-1]
+
+    monkeypatch.setattr(hmm.Steps, "lay", staticmethod(counted))
+    return lambda: sum(len(s.of) - 1 for s in taken)
+
+
+def test_texts_of_like_lengths_go_in_step(model, monkeypatch):
+    """Time goes by steps as well as by tokens: short texts among long ones must not each time wait for these."""
+    m, e = model
+    rng = np.random.default_rng(4)
+    lengths = rng.permutation(np.repeat([10, 100, 3000], [30_000, 3_000, 100]))
+    symbols = rng.integers(0, len(e), lengths.sum())
+    gathered = steps_taken(monkeypatch)
+    assert np.isclose(m.gather(symbols, lengths, e)[0].sum(), len(symbols), rtol=1e-5) and gathered() < 1500
+    scored = steps_taken(monkeypatch)
+    assert (m.log_likelihoods(symbols, lengths, e) < 0).all() and scored() < 2500
+
+
+def test_scoring_holds_no_states_of_a_long_text(model):
+    import tracemalloc
+
+    m, e = model
+    symbols = np.random.default_rng(6).integers(0, len(e), 400_000).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        log = m.log_likelihoods(symbols, np.array([len(symbols)]), e)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert log < 0 and peak < 60 << 20
+
+
+@pytest.mark.parametrize("rare", [0.1, 1e-3, 1e-9])
+def test_counts_equal_plain_recursions_with_rare_transitions(rare, monkeypatch):
+    """Shares are scaled seldom, in single precision: also words that a state hardly has, after one another."""
+    k, n = 3, 9
+    rng = np.random.default_rng(7)
+    move = np.full((k, k), rare)
+    np.fill_diagonal(move, 1 - (k - 1) * rare)
+    e = np.full((hmm.SPECIAL + n, k), 1e-12)
+    e[np.arange(len(e)), np.arange(len(e)) % k] = 1e-6
+    start, onward = np.array([1e-9, 0.3, 0.7 - 1e-9]), np.array([0.5, 0.25, 0.25])
+    m = hmm.Model(start, onward, move, None, None, None, 0.1, 50)
+    texts = [rng.integers(0, len(e), size) for size in (1, 2, 17, 40, 40, 40, 41, 300)]
+    counts, moves, starts, log = np.zeros(e.shape), np.zeros((k, k)), np.zeros((2, k)), 0.0
+    whole = []
+    for text in texts:
+        for at in range(0, len(text), 100):
+            own = e[text[at : at + 100]]
+            alpha, beta, scale = np.empty(own.shape), np.ones(own.shape), np.empty(len(own))
+            for t in range(len(own)):
+                alpha[t] = (alpha[t - 1] @ move if t else onward if at else start) * own[t]
+                scale[t] = alpha[t].sum()
+                alpha[t] /= scale[t]
+            for t in range(len(own) - 1, 0, -1):
+                after = own[t] * beta[t] / scale[t]
+                beta[t - 1] = move @ after
+                moves += np.outer(alpha[t - 1], after) * move
+            np.add.at(counts, text[at : at + 100], alpha * beta)
+            starts[int(at > 0)] += alpha[0] * beta[0]
+            log += np.log(scale).sum()
+        a, total = start * e[text[0]], 0.0
+        for s in text[1:]:
+            total += np.log(a.sum())
+            a = a / a.sum() @ move * e[s]
+        whole.append(total + np.log(a.sum()))
+    symbols, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    monkeypatch.setattr(hmm, "SEGMENT", 100)
+    found = m.gather(symbols, lengths, e)
+    assert np.allclose(found[0], counts, atol=1e-3) and np.allclose(found[1], moves, atol=1e-3) and np.allclose(found[2], starts, atol=1e-4)
+    assert np.isclose(found[3], log, rtol=1e-6)
+    for most in (50, 1 << 20):
+        monkeypatch.setattr(hmm, "SCORED_BATCH", most, raising=False)
+        monkeypatch.setattr(hmm, "SCORED", most)
+        assert np.allclose(m.log_likelihoods(symbols, lengths, e), whole, rtol=1e-10)
+
+
 def brute_base(rows):
     split = [(i, zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False, re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))) for i, t, *_ in rows]
     counts = Counter(w for _, held, words in split if not held for w in [*words, None])
